@@ -18,6 +18,7 @@ from fileledger.functions.paths import (
     stars, volatile_shape, volatile_wildcard,
 )
 from fileledger.functions.risk import is_dangerous_user_wildcard, is_user_writable
+from fileledger.session import cut_lineage
 from fileledger.settings import RuleSettings
 
 
@@ -46,9 +47,9 @@ def with_prefix(stats: DataFrame) -> DataFrame:
         & (F.col("low_sep") == F.col("high_sep"))
         & (F.size("prefix_parts") > 0)
     )
-    return shared.withColumn(
-        "prefix", F.when(usable, join_path(F.col("low_root"), F.col("prefix_parts"), F.col("low_sep")))
-    )
+    prefix = F.when(usable, join_path(F.col("low_root"), F.col("prefix_parts"), F.col("low_sep")))
+    # One row per group is left; keeping it stops filters from copying the prefix logic.
+    return cut_lineage(shared.withColumn("prefix", prefix))
 
 
 def _below(prefix: Column, sep: Column, leaf: Column) -> Column:
@@ -178,6 +179,7 @@ def compress_sets(sets: DataFrame, keys: Sequence[str], settings: RuleSettings)
             F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda t: t["token"]
         ).alias("tokens"),
     )
+    compressed = cut_lineage(compressed)
     budget = settings.max_compression_wildcards
     return (
         compressed.filter(

@@ -58,6 +58,12 @@ def report_totals(report: DataFrame) -> DataFrame:
     )
 
 
+def shared_hashes(report: DataFrame) -> DataFrame:
+    """Hashes reported by more than one application, with the number of them."""
+    pairs = report.select("hash", "application_id").distinct()
+    return pairs.groupBy("hash").agg(F.count(F.lit(1)).alias("applications")).filter("applications > 1")
+
+
 def top_applications(summary: DataFrame, limit: int = 15) -> DataFrame:
     """Applications with the most extra records; ties by ID."""
     return summary.orderBy(F.desc("estimated_extra_records"), "application_id").limit(limit)
@@ -175,6 +181,7 @@ def recent_responses(events: DataFrame, targets: DataFrame, limit: int = 10) ->
     """
     latest = (
         events.filter(F.col("kind") == V.RESPONSE_EVENT)
+        .select("id", "time", "app", "fid", "detail")
         .orderBy(F.desc("time"), F.desc("id"))
         .limit(limit)
     )

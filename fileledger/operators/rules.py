@@ -332,7 +332,7 @@ def _family_stage(
 ) -> DataFrame:
     """Run one family pass; ``rules`` comes in and goes out materialised."""
     keys = [*by, *IDENTITY]
-    found = cut_lineage(find(rules.filter("path is not null"), keys, settings))
+    found = find(rules.filter("path is not null"), keys, settings)
     if found.isEmpty():
         return rules
     return cut_lineage(_replace_covered(rules, found, keys, stage, keep_equal))
@@ -373,7 +373,6 @@ def compress_globally(rules: DataFrame, settings: RuleSettings, by: Sequence[str
     found = shaped.select(*keys, "family", F.concat(F.lit("1"), "first_path").alias("at"))
     whole = families.extension_families(paths, keys, settings)
     found = found.unionByName(whole.select(*keys, "family", F.lit("0").alias("at")))
-    found = cut_lineage(found)
     if found.isEmpty():
         return rules
     covered = pattern_pairs(
@@ -400,6 +399,8 @@ def add_certificate_anchors(rules: DataFrame, settings: RuleSettings, by: Sequen
     keys = [*by, "certificate"]
     signed = rules.filter("path is not null and certificate is not null")
     found = families.certificate_anchors(signed, keys, settings)
+    if found.isEmpty():
+        return rules
     new = found.select(
         *by, F.col("family").alias("path"),
         certificate_condition(certificate_vendor(F.col("certificate"))).alias("certificate"),

@@ -20,7 +20,7 @@ class ValidationError(ValueError):
 
 def violations(df: DataFrame, key: Column, checks: dict[str, Column]) -> DataFrame:
     """Rows failing a check, with the first reason that applies; one pass over the input."""
-    first = F.coalesce(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(reason)) for reason, bad in checks.items()])
+    first = F.coalesce(*[F.when(bad, F.lit(reason)) for reason, bad in checks.items()])
     return df.select(first.alias("reason"), key.cast("string").alias("key")).filter(
         F.col("reason").isNotNull()
     )
@@ -66,6 +66,9 @@ def record_violations(records: DataFrame, applications: DataFrame, organization:
     )
     joined = records.join(known, records["app"] == known["_app"], "left")
 
+    def field(name: str, kind: str = "string") -> Column:
+        return F.col(name) if name in records.columns else F.lit(None).cast(kind)
+
     def disagrees(column: Column, expected: Column) -> Column:
         return column.isNotNull() & (column != "") & ~F.coalesce(canonical_uuid(column) == expected, F.lit(False))
 
@@ -74,10 +77,10 @@ def record_violations(records: DataFrame, applications: DataFrame, organization:
         F.concat_ws("/", "app", "applicationFileId"),
         {
             "Unknown application.": F.col("_app").isNull(),
-            "Record organization mismatch.": disagrees(F.col("organizationId"), F.lit(organization)),
-            "Cross-application record received.": disagrees(F.col("applicationId"), F.col("app")),
-            "Record OS mismatch.": ~F.coalesce(F.col("osType"), F.lit(0)).isin(0)
-            & (F.col("osType") != F.col("_os")),
+            "Record organization mismatch.": disagrees(field("organizationId"), F.lit(organization)),
+            "Cross-application record received.": disagrees(field("applicationId"), F.col("app")),
+            "Record OS mismatch.": (F.coalesce(field("osType", "int"), F.lit(0)) != 0)
+            & (field("osType", "int") != F.col("_os")),
             "Invalid numeric file ID.": ~valid_id(F.col("applicationFileId")),
         },
     )

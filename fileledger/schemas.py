@@ -24,14 +24,14 @@ RECORD_FIELDS = T.StructType([T.StructField(n, t) for n, t in RECORD_TYPES.items
 RECORDS = T.StructType(
     [*RECORD_FIELDS.fields, T.StructField("extras", T.MapType(T.StringType(), T.StringType()))]
 )
-APPLICATIONS = T.StructType.fromDDL(
+APPLICATIONS = (
     "applicationId string, organizationId string, name string, osType int, isBuiltIn boolean"
 )
-GROUPS = T.StructType.fromDDL("app string, hash string, survivor string, reason string")
-TARGETS = T.StructType.fromDDL("app string, fid string, hash string, status string, detail string")
-EVENTS = T.StructType.fromDDL(
+GROUPS = ("app string, hash string, survivor string, reason string")
+TARGETS = ("app string, fid string, hash string, status string, detail string")
+EVENTS = (
     "id long, time double, kind string, app string, fid string, detail string"
 )
-RULES = T.StructType.fromDDL(
+RULES = (
     "path string, certificate string, process_path string, created_by string, rule_rank long"
 )
