@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fileledger import fixed_values as V
 from fileledger.functions.hashes import numeric_id, plain_hash_record, primary_hash
-from fileledger.operators.skew import attach, with_position
+from fileledger.operators.skew import attach, lookup, with_position
 
 GROUP_KEYS = ["org", "app", "hash_key"]
 
@@ -69,7 +69,9 @@ def wanted_groups(
     wanted = candidates.select(*GROUP_KEYS)
     if scan_apps is not None:
         repeated = groups.filter("members > 1").select(*GROUP_KEYS)
-        wanted = wanted.unionByName(repeated.join(scan_apps.select("app").distinct(), "app", "left_semi").select(*GROUP_KEYS))
+        wanted = wanted.unionByName(
+            lookup(repeated, scan_apps.select("app").distinct(), ["app"], ["hash_key"], "left_semi").select(*GROUP_KEYS)
+        )
     return wanted.distinct()
 
 
@@ -114,7 +116,7 @@ def with_application_fields(targets: DataFrame, applications: DataFrame) -> Data
         F.col("osType").alias("application_os"),
     )
     kept = targets.drop("applicationName", "application_os")
-    joined = kept.join(dimension, "app", "left")
+    joined = lookup(kept, dimension, ["app"], ["fid"], "left")
     return joined.withColumns(
         {"osType": F.col("application_os"), "organizationId": F.col("org"), "applicationId": F.col("app")}
     ).drop("application_os")

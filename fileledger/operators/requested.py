@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fileledger import fixed_values as V
 from fileledger.functions.hashes import all_hashes
-from fileledger.operators.skew import attach
+from fileledger.operators.skew import attach, lookup
 from fileledger.operators.tables import one_row
 
 _HASH_FIELDS = ("hash", "originalHash", "sha256", "sha256Hash")
@@ -54,7 +54,7 @@ def requested_plan(records: DataFrame, requested: DataFrame) -> RequestedPlan:
     )
     matched = hits.select("app", "hash").distinct()
     unmatched = requested.join(matched, ["app", "hash"], "left_anti")
-    scanned = records.join(requested.select("app").distinct(), "app", "left_semi")
+    scanned = lookup(records, requested.select("app").distinct(), ["app"], ["fid"], "left_semi")
     counts = one_row(
         requested.agg(F.count(F.lit(1)).alias("requested")),
         scanned.agg(F.count(F.lit(1)).alias("scanned")),

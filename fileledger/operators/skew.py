@@ -84,6 +84,26 @@ def attach(
     return null_safe_join(salted, matched, [*keys, SALT], how).drop(SALT)
 
 
+# Rows of a dimension that may be broadcast: identifiers and names, so a few megabytes.
+BROADCAST_ROWS = 50_000
+
+
+def lookup(
+    df: DataFrame, dimension: DataFrame, keys: Sequence[str], salt_on: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join a dimension with few key values, such as applications.
+
+    A plain shuffle on such a key would put an application's records into one
+    task. A dimension counted to be small is broadcast; a larger one is joined
+    by key and salt. The dimension should be cheap to read: it is counted first.
+    """
+    if dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(dimension), list(keys), how)
+    if how == "left_semi":
+        return attach(df, dimension.select(*keys).distinct(), keys, salt_on)
+    return attach(df, dimension, keys, salt_on, how)
+
+
 def with_position(
     df: DataFrame, order: Sequence[Column], name: str, keys: Sequence[str] = ()
 ) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fileledger.functions.hashes import canonical_uuid, valid_id
+from fileledger.operators.skew import lookup
 
 
 class ValidationError(ValueError):
@@ -62,9 +63,9 @@ def record_violations(records: DataFrame, applications: DataFrame, organization:
     ids may be missing but must not disagree.
     """
     known = applications.select(
-        F.col("applicationId").alias("_app"), F.col("osType").alias("_os")
+        F.col("applicationId").alias("app"), F.lit(True).alias("_app"), F.col("osType").alias("_os")
     )
-    joined = records.join(known, records["app"] == known["_app"], "left")
+    joined = lookup(records, known, ["app"], ["applicationFileId"], "left")
 
     def field(name: str, kind: str = "string") -> Column:
         return F.col(name) if name in records.columns else F.lit(None).cast(kind)

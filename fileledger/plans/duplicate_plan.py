@@ -12,6 +12,8 @@ from fileledger.operators.validate import (
     all_violations, application_violations, record_violations, require, violations,
 )
 from fileledger.functions.hashes import canonical_uuid, valid_hash
+from fileledger.operators.skew import lookup
+from fileledger.session import cut_lineage
 
 
 class DuplicatePlan(NamedTuple):
@@ -49,11 +51,14 @@ def plan_duplicates(
     ``candidates``: org, app, hash_key. ``scan_apps``: app. Any violation rejects
     the whole plan before work starts.
     """
+    # The report and the applications are small next to the records and used several times.
+    candidates = cut_lineage(candidates.select(*dedup.GROUP_KEYS))
     wanted_apps = candidates.select("app")
     if scan_apps is not None:
-        wanted_apps = wanted_apps.unionByName(scan_apps.select("app"))
-    wanted_apps = wanted_apps.distinct()
-    scoped = applications.join(wanted_apps, applications["applicationId"] == wanted_apps["app"], "left_semi")
+        scan_apps = cut_lineage(scan_apps.select("app").distinct())
+        wanted_apps = wanted_apps.unionByName(scan_apps)
+    wanted_apps = wanted_apps.distinct().withColumnRenamed("app", "applicationId")
+    scoped = cut_lineage(applications.join(wanted_apps, "applicationId", "left_semi"))
     if validate:
         require(
             all_violations(
@@ -63,12 +68,12 @@ def plan_duplicates(
         )
     scoped = scoped.filter(F.col("osType").isin(*os_types))
     chosen = scoped.select(F.col("applicationId").alias("app"))
-    snapshot = dedup.record_view(records).join(chosen, "app", "left_semi")
+    snapshot = lookup(dedup.record_view(records), chosen, ["app"], ["fid"], "left_semi")
     if validate:
         require(record_violations(snapshot, scoped, organization))
     snapshot = snapshot.withColumn("org", F.lit(organization))
     groups = dedup.hash_groups(snapshot)
-    wanted = dedup.wanted_groups(candidates.join(chosen, "app", "left_semi"), groups, scan_apps)
+    wanted = dedup.wanted_groups(lookup(candidates, chosen, ["app"], ["hash_key"], "left_semi"), groups, scan_apps)
     matched = dedup.match_candidates(wanted, groups)
     targets = dedup.with_application_fields(dedup.removal_targets(snapshot, matched), scoped)
     return DuplicatePlan(reconcile.with_fingerprint(snapshot), matched, targets, scoped)
@@ -80,7 +85,7 @@ def reconcile_plan(
     """(targets with new status, violations) against a fresh snapshot."""
     columns = [c for c in plan.baseline.columns if c != "fingerprint"]
     chosen = plan.applications.select(F.col("applicationId").alias("app"))
-    view = dedup.record_view(records).join(chosen, "app", "left_semi")
+    view = lookup(dedup.record_view(records), chosen, ["app"], ["fid"], "left_semi")
     current = reconcile.with_fingerprint(view.select(*[c for c in columns if c in view.columns]))
     diff = reconcile.snapshot_diff(plan.baseline, current, plan.targets)
     bad = reconcile.diff_violations(diff).unionByName(

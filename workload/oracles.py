@@ -331,11 +331,10 @@ screened AS (SELECT r.*, list_filter([
 bundles AS (SELECT s.app, s.rule_rank, len(s.static) = 0 AS usable, coalesce(list(e.id) FILTER (e.id IS NOT NULL), []) AS ids
   FROM screened s LEFT JOIN edges e ON e.app = s.app AND e.rule_rank = s.rule_rank GROUP BY s.app, s.rule_rank, s.static),
 greedy AS (
-  SELECT app, CAST(0 AS bigint) AS rule_rank, CAST([] AS bigint[]) AS covered, CAST(0 AS bigint) AS fresh, false AS accepted, CAST([] AS bigint[]) AS took
+  SELECT app, CAST(0 AS bigint) AS rule_rank, CAST([] AS bigint[]) AS covered, CAST(0 AS bigint) AS fresh, false AS accepted
   FROM (SELECT DISTINCT app FROM ranked)
   UNION ALL
-  SELECT b.app, b.rule_rank, CASE WHEN ok THEN list_concat(covered, b.new_ids) ELSE covered END, len(b.new_ids), ok,
-    CASE WHEN ok THEN b.new_ids ELSE [] END
+  SELECT b.app, b.rule_rank, CASE WHEN ok THEN list_concat(covered, b.new_ids) ELSE covered END, len(b.new_ids), ok
   FROM (SELECT b.*, g.covered, list_filter(b.ids, lambda i: NOT list_contains(g.covered, i)) AS new_ids,
       b.usable AND len(list_filter(b.ids, lambda i: NOT list_contains(g.covered, i))) >= 2 AS ok
     FROM greedy g JOIN bundles b ON b.app = g.app AND b.rule_rank = g.rule_rank + 1) b)"""
@@ -347,8 +346,9 @@ COVERAGE = with_(RULE_SET, OBS_REC).replace("WITH ", "WITH RECURSIVE ", 1) + """
 FROM (SELECT s.*, len(b.ids) AS covered, list_concat(s.static,
     CASE WHEN g.fresh < 2 THEN ['Fewer than two additional source records covered'] ELSE [] END) AS reasons
   FROM screened s JOIN bundles b USING (app, rule_rank) JOIN greedy g USING (app, rule_rank))"""
-ASSIGNMENT = with_(RULE_SET, OBS_REC).replace("WITH ", "WITH RECURSIVE ", 1) + """SELECT app,
-  CAST(unnest(took) AS varchar) AS fid, rule_rank FROM greedy WHERE accepted"""
+ASSIGNMENT = with_(RULE_SET, OBS_REC).replace("WITH ", "WITH RECURSIVE ", 1) + """SELECT e.app, CAST(e.id AS varchar) AS fid,
+  min(e.rule_rank) AS rule_rank FROM edges e JOIN screened s USING (app, rule_rank) JOIN greedy g USING (app, rule_rank)
+WHERE len(s.static) = 0 AND g.fresh >= 2 GROUP BY e.app, e.id"""
 
 RISKY = r"""given AS (SELECT DISTINCT CASE p_size % 10 WHEN 0 THEN 'c:\users\*\*'
       WHEN 1 THEN concat('c:\programdata\', lower(p_brand), '\*.dll') WHEN 2 THEN concat('c:\windows\temp\', p_name, '.exe')
