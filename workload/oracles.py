@@ -299,6 +299,19 @@ base AS (SELECT path, process_path, certificate, rule_type, source_rows FROM kep
 BASE_RULES = with_(OBS, PAIRS, BASE) + """SELECT path, process_path, certificate, CAST(NULL AS varchar) AS created_by,
   rule_type, source_rows FROM base"""
 
+# What the family passes leave of these rules: every path that ends in .exe gives way to
+# the one global program family, which has no second condition and goes as well. Vendor
+# folders stay, and so do certificates whose own family is that same pattern: at least
+# three paths, in several brands and of several kinds (of one kind, they become a
+# same-shape pattern that ends in .exe).
+FINAL = r"""sets AS (SELECT certificate, count(DISTINCT path) AS n, count(DISTINCT string_split(path, '\')[3]) AS brands,
+    count(DISTINCT string_split(path, '\')[4]) AS kinds FROM kept WHERE certificate IS NOT NULL GROUP BY certificate),
+final AS (SELECT 0 AS stage, source_rows AS weight, path, process_path, certificate FROM base
+    WHERE rule_type = 'MergedPathGroup' AND NOT ends_with(path, '.exe')
+  UNION ALL SELECT 1, 0, 'c:\program files\*.exe', NULL, certificate FROM sets WHERE n >= 3 AND brands > 1 AND kinds > 1)"""
+RULES_FINAL = with_(OBS, PAIRS, BASE, FINAL) + """SELECT path, certificate, process_path, CAST(NULL AS varchar) AS created_by,
+  row_number() OVER (ORDER BY stage, weight DESC, process_path NULLS LAST, certificate NULLS LAST) AS rule_rank FROM final"""
+
 RULE_SET = rf"""rule_set AS (
   SELECT DISTINCT {uuid_of('p_type')} AS app, 1 AS level, concat('c:\program files\', lower(p_brand), '\', lower(p_type), '\*\', p_name, '.exe') AS path,
     CAST(NULL AS varchar) AS certificate, concat('c:\program files\', lower(p_brand), '\launcher.exe') AS process_path FROM part
@@ -491,6 +504,7 @@ def oracle_sql() -> dict[str, str]:
         "candidate_pairs": CANDIDATE_PAIRS,
         "pair_export": PAIR_EXPORT,
         "base_rules": BASE_RULES,
+        "rules_final": RULES_FINAL,
         "rule_suppression": SUPPRESSED,
         "rule_risk": RISK,
         "dangerous_filter": DANGEROUS,
