@@ -9,7 +9,9 @@ from fileledger import fixed_values as V
 from fileledger.functions.text import none_if_empty, strip
 
 _HEX_HASH = r"^(?:[A-F0-9]{32}|[A-F0-9]{40}|[A-F0-9]{64})$"
-_SHAPE = "^(.{8})(.{4})(.{4})(.{4})(.{12})$"
+_DECORATION = r"urn:|uuid:|(?:^|(?<=:))[{}]+|[{}]+$|-"
+_DIGITS = "^([0-9a-f]{8})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{12})$"
+_CANONICAL = "^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$"
 
 
 def canonical_uuid(value: Column) -> Column:
@@ -17,11 +19,9 @@ def canonical_uuid(value: Column) -> Column:
 
     Accepts the usual decorations: ``urn:uuid:`` prefixes, braces and any hyphens.
     """
-    plain = F.replace(F.replace(value.cast("string"), F.lit("urn:"), F.lit("")), F.lit("uuid:"), F.lit(""))
-    plain = F.lower(F.replace(F.regexp_replace(plain, r"^[{}]+|[{}]+$", ""), F.lit("-"), F.lit("")))
-    return none_if_empty(
-        F.when(plain.rlike("^[0-9a-f]{32}$"), F.regexp_replace(plain, _SHAPE, "$1-$2-$3-$4-$5"))
-    )
+    plain = F.regexp_replace(F.lower(value.cast("string")), _DECORATION, "")
+    hyphenated = F.regexp_replace(plain, _DIGITS, "$1-$2-$3-$4-$5")
+    return none_if_empty(F.regexp_extract(hyphenated, _CANONICAL, 0))
 
 
 def hash_text(value: Column) -> Column:

@@ -100,6 +100,11 @@ def literal_head(pattern: Column) -> Column:
     return F.regexp_extract(pattern, r"^([^*]*[\\/])", 1)
 
 
+def literal_leaf(pattern: Column) -> Column:
+    """Last segment of a pattern when it has no wildcard, else ''."""
+    return F.regexp_extract(pattern, r"[\\/]([^*\\/]+)$", 1)
+
+
 def wildcard_user_profile(path: Column) -> Column:
     """Replace the profile folder name by ``*``."""
     path = F.regexp_replace(path, r"(?i)^(c:\\users\\)[^\\]+", "$1*")

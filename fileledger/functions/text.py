@@ -194,15 +194,30 @@ def like_pattern(pattern: Column) -> Column:
     return F.replace(escaped, F.lit("*"), F.lit("%"))
 
 
-def matches(pattern: Column, value: Column, ignore_case: bool | Column = True) -> Column:
-    """Whole-value wildcard match. An empty pattern matches; an empty value does not."""
-    like = F.call_function("like", value, like_pattern(pattern))
-    like_ci = F.call_function("like", F.lower(value), like_pattern(F.lower(pattern)))
-    if isinstance(ignore_case, bool):
-        hit = like_ci if ignore_case else like
-    else:
-        hit = F.when(ignore_case, like_ci).otherwise(like)
-    empty_pattern = F.coalesce(pattern, F.lit("")) == ""
-    return F.when(empty_pattern, F.lit(True)).otherwise(
-        F.coalesce(value != "", F.lit(False)) & F.coalesce(hit, F.lit(False))
+def matches(pattern: Column, value: Column, ignore_case: bool = True) -> Column:
+    """Whole-value wildcard match. An empty pattern matches; an empty value does not.
+
+    Patterns with up to two wildcards, nearly all of them, are decided by plain
+    text comparisons. LIKE with a pattern column compiles it for every row, so it
+    runs only for what is left.
+    """
+    if ignore_case:
+        pattern, value = F.lower(pattern), F.lower(value)
+    wildcards = F.length(pattern) - F.length(F.replace(pattern, F.lit("*"), F.lit("")))
+    before, after = F.substring_index(pattern, "*", 1), F.substring_index(pattern, "*", -1)
+    inner = F.length(value) - F.length(before) - F.length(after)
+    middle = F.contains(
+        F.substring(value, F.length(before) + 1, inner), F.split_part(pattern, F.lit("*"), F.lit(2))
+    )
+    starred = (
+        F.startswith(value, before)
+        & F.endswith(value, after)
+        & (inner >= 0)
+        & F.when(wildcards == 1, F.lit(True))
+        .when(wildcards == 2, middle)
+        .otherwise(F.call_function("like", value, like_pattern(pattern)))
+    )
+    hit = F.when(wildcards == 0, value == pattern).otherwise(starred)
+    return F.when(F.coalesce(pattern, F.lit("")) == "", F.lit(True)).otherwise(
+        F.coalesce((value != "") & hit, F.lit(False))
     )

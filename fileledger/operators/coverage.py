@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fileledger import fixed_values as V
-from fileledger.functions.paths import literal_head, path_prefixes
+from fileledger.functions.paths import literal_head, literal_leaf
 from fileledger.functions.risk import is_high_risk_process
 from fileledger.functions.text import matches
+from fileledger.operators.patterns import with_block_keys
 from fileledger.operators.rules import CONDITIONS
 from fileledger.operators.skew import attach, null_safe_join
 from fileledger.session import cut_lineage
@@ -38,63 +39,56 @@ def _identity_mask() -> Column:
     return mask
 
 
-def _block_keys(mask: Column, fold: Column) -> dict[str, Column]:
+def _identity_keys(prefix: str = "") -> dict[str, Column]:
     """Identity values that must be equal under a mask; '' where they need not."""
-    keys = {}
-    for bit, name in enumerate(_IDENTITY):
-        value = F.coalesce(F.col(name), F.lit(""))
-        value = F.when(fold, F.lower(value)).otherwise(value)
-        keys[f"_k{bit}"] = F.when(mask.bitwiseAND(F.lit(1 << bit)) > 0, value).otherwise(F.lit(""))
-    return keys
+    return {
+        f"_k{bit}": F.when(
+            F.col("_mask").bitwiseAND(F.lit(1 << bit)) > 0, F.coalesce(F.col(prefix + name), F.lit(""))
+        ).otherwise(F.lit(""))
+        for bit, name in enumerate(_IDENTITY)
+    }
 
 
 def coverage_edges(
-    values: DataFrame, rules: DataFrame, by: Sequence[str] = (), ignore_case: bool | str = True
+    values: DataFrame, rules: DataFrame, by: Sequence[str] = (), ignore_case: bool = True
 ) -> DataFrame:
     """(scope, rule_rank, obs_id, records): every rule and observation that match.
 
     All populated conditions of a rule must match. Candidates meet on the scope,
-    the literal head of the rule's path and every identity condition that is
-    literal, so rules and observations are never compared all with all.
-    ``ignore_case`` may name a boolean column of the observations.
+    the literal head and last segment of the rule's path and every identity
+    condition that is literal, so rules and observations are never compared all
+    with all.
     """
-    fold = F.lit(ignore_case) if isinstance(ignore_case, bool) else F.col(ignore_case)
-    shaped = rules.withColumn("_mask", _identity_mask())
-    # At most eight masks and, as paths are short, few head depths: plan-time literals
-    # that keep observations from being prepared for shapes no rule has.
-    masks = [r[0] for r in shaped.select("_mask").distinct().collect()]
-    if not masks:
-        masks = [0]
-    shaped = shaped.withColumn("_head", F.coalesce(literal_head(F.col("path")), F.lit("")))
-    shaped = shaped.withColumnsRenamed({c: f"rule_{c}" for c in CONDITIONS})
-    rule_fold = F.lit(ignore_case) if isinstance(ignore_case, bool) else F.lit(True)
-    rule_keys = {}
-    for bit, name in enumerate(_IDENTITY):
-        value = F.coalesce(F.col(f"rule_{name}"), F.lit(""))
-        value = F.when(rule_fold, F.lower(value)).otherwise(value)
-        on = F.col("_mask").bitwiseAND(F.lit(1 << bit)) > 0
-        rule_keys[f"_k{bit}"] = F.when(on, value).otherwise(F.lit(""))
-    shaped = shaped.withColumns(rule_keys)
-
-    prefixes = F.when(F.coalesce("path", F.lit("")) != "", path_prefixes(F.col("path"))).otherwise(
-        F.array(F.lit(""))
-    )
-    exploded = values.withColumn("_head", F.explode(prefixes)).withColumn(
+    if ignore_case:
+        folded = {c: F.lower(F.col(c)) for c in CONDITIONS}
+        values, rules = values.withColumns(folded), rules.withColumns(folded)
+    shaped = rules.withColumns(
+        {
+            "_mask": _identity_mask(),
+            "_head": F.coalesce(literal_head(F.col("path")), F.lit("")),
+            "_leaf": F.coalesce(literal_leaf(F.col("path")), F.lit("")),
+        }
+    ).withColumnsRenamed({c: f"rule_{c}" for c in CONDITIONS})
+    # At most eight masks: plan-time literals that keep observations from being
+    # prepared for combinations no rule has.
+    masks = [r[0] for r in shaped.select("_mask").distinct().collect()] or [0]
+    exploded = with_block_keys(values).withColumn(
         "_mask", F.explode(F.array(*[F.lit(m) for m in masks]))
     )
-    key_fold = F.lit(ignore_case) if isinstance(ignore_case, bool) else F.lit(True)
-    exploded = exploded.withColumns(_block_keys(F.col("_mask"), key_fold))
+    exploded = exploded.withColumns(_identity_keys())
     # An observation without an identity cannot match a rule that requires it.
     for bit in range(len(_IDENTITY)):
         exploded = exploded.filter(
             (F.col("_mask").bitwiseAND(F.lit(1 << bit)) == 0) | (F.col(f"_k{bit}") != "")
         )
-    keys = [*by, "_head", "_mask", *[f"_k{bit}" for bit in range(len(_IDENTITY))]]
-    payload = shaped.select(*keys, "rule_rank", *[f"rule_{c}" for c in CONDITIONS])
+    keys = [*by, "_head", "_leaf", "_mask", *[f"_k{bit}" for bit in range(len(_IDENTITY))]]
+    payload = shaped.withColumns(_identity_keys("rule_")).select(
+        *keys, "rule_rank", *[f"rule_{c}" for c in CONDITIONS]
+    )
     joined = attach(exploded, payload, keys, salt_on=["obs_id"])
     hit = F.lit(True)
     for name in CONDITIONS:
-        hit = hit & matches(F.col(f"rule_{name}"), F.col(name), fold)
+        hit = hit & matches(F.col(f"rule_{name}"), F.col(name), ignore_case=False)
     return joined.filter(hit).select(*by, "rule_rank", "obs_id", "records")
 
 

@@ -2,8 +2,9 @@
 
 ``*`` can cross separators, so only the literal head of a pattern is safe to
 compare exactly: its leading whole segments before the first wildcard. A value
-can match only if one of its own leading parts equals that head. That turns the
-pattern join into an equi-join; the wildcard test runs on what it leaves.
+can match only if one of its own leading parts equals that head. The same holds
+for a literal last segment. That turns the pattern join into an equi-join; the
+wildcard test runs on what it leaves.
 """
 
 from __future__ import annotations
@@ -13,11 +14,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fileledger.functions.paths import literal_head, path_prefixes
+from fileledger.functions.paths import literal_head, literal_leaf, path_prefixes
 from fileledger.functions.text import matches
 from fileledger.operators.skew import attach
 
 
+def with_block_keys(values: DataFrame) -> DataFrame:
+    """One row per leading part of ``path``, with its last segment and without one."""
+    path = F.coalesce("path", F.lit(""))
+    leaf = F.regexp_extract(path, r"[\\/]([^\\/]+)$", 1)
+    return values.withColumn("_head", F.explode(path_prefixes(path))).withColumn(
+        "_leaf", F.explode(F.array_distinct(F.array(F.lit(""), leaf)))
+    )
+
+
 def pattern_pairs(
     values: DataFrame,
     patterns: DataFrame,
@@ -30,10 +40,11 @@ def pattern_pairs(
     ``values`` has ``path``; ``patterns`` has ``pattern`` and its own columns.
     ``keys`` must be equal on both sides (null equals null).
     """
-    heads = patterns.withColumn("_head", literal_head(F.col("pattern")))
-    exploded = values.filter("path is not null").withColumn(
-        "_head", F.explode(path_prefixes(F.col("path")))
+    heads = patterns.withColumns(
+        {"_head": literal_head(F.col("pattern")), "_leaf": literal_leaf(F.col("pattern"))}
     )
-    joined = attach(exploded, heads, [*keys, "_head"], salt_on=value_id).drop("_head")
-    hit = matches(F.col("pattern"), F.col("path"))
+    exploded = with_block_keys(values.filter("path is not null"))
+    joined = attach(exploded, heads, [*keys, "_head", "_leaf"], salt_on=value_id).drop("_head", "_leaf")
+    # Both sides are normalised, hence lower-case.
+    hit = matches(F.col("pattern"), F.col("path"), ignore_case=False)
     return joined.filter(hit if residual is None else hit & residual)

@@ -11,6 +11,7 @@ from fileledger import fixed_values as V
 from fileledger.functions.hashes import all_hashes
 from fileledger.operators.skew import attach, lookup
 from fileledger.operators.tables import one_row
+from fileledger.session import cut_lineage
 
 _HASH_FIELDS = ("hash", "originalHash", "sha256", "sha256Hash")
 
@@ -48,7 +49,8 @@ def requested_hits(records: DataFrame, requested: DataFrame) -> DataFrame:
 
 def requested_plan(records: DataFrame, requested: DataFrame) -> RequestedPlan:
     """Targets with their smallest matching hash, and the hashes found or not found."""
-    hits = requested_hits(records, requested)
+    # Four results follow from the hits; they are found once.
+    hits = cut_lineage(requested_hits(records, requested))
     targets = hits.groupBy("app", "fid").agg(F.min("hash").alias("hash")).withColumns(
         {"status": F.lit(V.PLANNED), "detail": F.lit("")}
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fileledger import fixed_values as V
@@ -84,16 +84,14 @@ def mine_rules(observed: DataFrame, settings: RuleSettings) -> DataFrame:
     return rules.ranked_rules(rules.final_rules(candidates, settings, ["app"]), ["app"])
 
 
-def assign_rules(
-    observed: DataFrame, candidates: DataFrame, windows: bool | Column = True
-) -> ConsolidationPlan:
+def assign_rules(observed: DataFrame, candidates: DataFrame, windows: bool = True) -> ConsolidationPlan:
     """Measure every candidate rule, accept in order, and give each record its rule."""
-    is_windows = F.lit(windows) if isinstance(windows, bool) else windows
+    is_windows = F.lit(windows)
     by = ["app"]
     observed = cut_lineage(observed)
     candidates = cut_lineage(candidates)
     values = coverage.distinct_condition_values(observed, by)
-    edges = cut_lineage(coverage.coverage_edges(values, candidates, by, windows if isinstance(windows, bool) else True))
+    edges = cut_lineage(coverage.coverage_edges(values, candidates, by, ignore_case=windows))
 
     reasons = coverage.static_reasons(is_windows)
     static = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(r)) for r, bad in reasons.items()]))

@@ -99,9 +99,12 @@ def test_certificates(spark):
 
 def test_matching(spark):
     cases = {("a*", "ABC", True): True, ("a*", "ABC", False): False, ("", "x", True): True, ("a", "", True): False,
-             ("a%_", "a%_", True): True, ("a%", "abc", True): False, (r"c:\*\x", r"c:\a\b\x", True): True, (None, None, True): True, ("*", None, True): False}
+             ("a%_", "a%_", True): True, ("a%", "abc", True): False, (r"c:\*\x", r"c:\a\b\x", True): True, (None, None, True): True, ("*", None, True): False,
+             ("a*a", "a", True): False, ("a*b*c", "abc", True): True, ("a*b*b", "ab", True): False, ("*b*", "abc", True): True,
+             ("a*x*c*e", "abxdcde", True): True, ("a*x*c*e", "abdcde", True): False, ("a**", "ab", True): True, ("a\\*%b*c*", "a\\z%bcd", True): True}
     df = spark.createDataFrame([(i, *k) for i, k in enumerate(cases)], "i int, p string, v string, f boolean")
-    got = {r["i"]: r["m"] for r in df.select("i", text.matches(F.col("p"), F.col("v"), F.col("f")).alias("m")).collect()}
+    hit = F.when(F.col("f"), text.matches(F.col("p"), F.col("v"))).otherwise(text.matches(F.col("p"), F.col("v"), False))
+    got = {r["i"]: r["m"] for r in df.select("i", hit.alias("m")).collect()}
     assert list(cases.values()) == [got[i] for i in range(len(cases))]
 
 

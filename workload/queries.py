@@ -37,7 +37,7 @@ def _plan(spark: SparkSession, sf: str, validate: bool = False) -> DuplicatePlan
     candidates = _report(spark, sf).select(
         F.col("organization_id").alias("org"), F.col("application_id").alias("app"), F.col("hash").alias("hash_key")
     )
-    apps = views.applications(spark, sf)
+    apps = cut_lineage(views.applications(spark, sf))
     scan = apps.filter("name = '1-URGENT'").select(F.col("applicationId").alias("app"))
     return plan_duplicates(views.records(spark, sf), apps, candidates, views.ORG, scan, validate=validate)
 

@@ -13,7 +13,16 @@ STATES = ["Planned", "Dispatched", "Accepted", "Uncertain", "StillPresent", "Ver
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A benchmark table. Each is one file with one row group, hence one task.
+
+    On a single machine such a table is spread over the cores before text work;
+    on a cluster, tables have many splits and are read as they are.
+    """
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spark.sparkContext.master.startswith("local") and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores)
+    return rows
 
 
 def app_id(value: Column) -> Column:
