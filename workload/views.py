@@ -193,9 +193,19 @@ def outcome_events(spark: SparkSession, sf: str) -> DataFrame:
     return event_outcomes(table(spark, sf, "events"))
 
 
+def micros(moment: Column) -> Column:
+    """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    since = moment - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    parts = {"DAY": 86_400_000_000, "HOUR": 3_600_000_000, "MINUTE": 60_000_000, "SECOND": 1_000_000}
+    total = F.lit(0).cast("long")
+    for field, size in parts.items():
+        total = total + (F.extract(F.lit(field), since) * F.lit(size).cast("long")).cast("long")
+    return total
+
+
 def event_outcomes(events: DataFrame) -> DataFrame:
     return events.select(
-        F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("time"), F.lit("DeleteResponse").alias("kind"),
+        F.col("event_id").alias("id"), micros(F.col("ts")).alias("time"), F.lit("DeleteResponse").alias("kind"),
         F.col("event_type").alias("app"), F.col("user_id").cast("string").alias("fid"),
         F.concat(F.lit("HTTP "), (F.col("event_id") % 6).cast("string")).alias("detail"),
         state_of(F.col("event_id")).alias("status"),
