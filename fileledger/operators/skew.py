@@ -27,13 +27,6 @@ def with_salt(df: DataFrame, salt_on: Sequence[str], salts: int | None = None) -
     return df.withColumn(SALT, F.pmod(F.xxhash64(*[F.col(c) for c in salt_on]), F.lit(count)).cast("int"))
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
-
-
 def null_safe_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
 ) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fileledger.functions import paths as P
 from fileledger.functions import text as T
 from fileledger.functions.hashes import all_hashes
-from fileledger.operators import coverage, dedup, insights, pairs, reconcile, requested, rules
+from fileledger.operators import dedup, insights, pairs, reconcile, requested, rules
 from fileledger.operators.parsing import apply_parsing, parse_notes
 from fileledger.operators.skew import with_position
 from fileledger.operators.validate import record_violations
