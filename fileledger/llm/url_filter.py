@@ -89,7 +89,7 @@ def _scale(buckets: Column, share: float) -> Column:
     return F.lit(share) / F.sqrt(F.greatest(F.size(buckets), F.lit(1)))
 
 
-def fit_weights(labelled: DataFrame, rounds: int = 300, rate: float = 4.0, ridge: float = 1e-3) -> list[float]:
+def fit_weights(labelled: DataFrame, rounds: int = 1000, rate: float = 4.0, ridge: float = 1e-3) -> list[float]:
     """Weights by bucket, the constant last, from (url, blocked). Null labels are left out."""
     known = labelled.filter(F.col("blocked").isNotNull())
     n = known.count()
