@@ -9,7 +9,6 @@ of a bounded sample of labelled rows.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,10 +27,15 @@ SAMPLE_ROWS = 500
 LONGEST_PIECE = 8
 #: Probability of a character that is no piece of the vocabulary, in any language.
 UNKNOWN = 1e-7
-#: Longest part of a word that is summed at once: longer words are cut, so that sums stay in range.
-LONGEST_PART = 60
-#: Distinct words whose probabilities a worker remembers.
+#: Least probability of a piece, and longest part of a word that is summed at once: longer words
+#: are cut, so that the sums stay in the range of a double.
+LEAST_PROBABILITY = 1e-9
+LONGEST_PART = 30
+#: Distinct words whose probabilities a worker remembers; texts whose new words are summed together.
 REMEMBERED = 400_000
+TOGETHER = 64
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def vocabulary(model_file: str) -> list[str]:
@@ -58,58 +62,89 @@ def parts_of(word: str) -> Iterator[str]:
         yield marked[i : i + LONGEST_PART]
 
 
+def _hashes(codes: np.ndarray) -> Iterator[np.ndarray]:
+    """For each piece length the hash of every substring of that length, by its start."""
+    h = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
+    for k in range(1, min(LONGEST_PIECE, codes.shape[1]) + 1):
+        h = h[:, :-1] * _STEP + codes[:, k - 1 :]
+        yield h
+
+
+def _codes(parts: list[str], length: int) -> np.ndarray:
+    return np.frombuffer("".join(parts).encode("utf-32-le"), "<u4").reshape(-1, length).astype(np.uint64)
+
+
 class Pieces:
-    """Piece probabilities by language, and the sums over segmentations."""
-
-    def __init__(self, pieces: dict[str, tuple[float, ...]], languages: int) -> None:
-        self.pieces, self.languages = pieces, languages
-        self.starts = {p[:n] for p in pieces for n in range(1, len(p) + 1)}
-
-    def edges(self, part: str) -> list[list[tuple[int, str, tuple[float, ...]]]]:
-        """By start: the pieces that begin there, with their ends."""
-        out, starts, get = [], self.starts, self.pieces.get
-        for i in range(len(part)):
-            here = []
-            for j in range(i + 1, min(i + LONGEST_PIECE, len(part)) + 1):
-                cut = part[i:j]
-                if cut not in starts:
-                    break
-                p = get(cut)
-                if p is not None:
-                    here.append((j, cut, p))
-            if not here or here[0][0] != i + 1:
-                here.append((i + 1, "", (UNKNOWN,) * self.languages))
-            out.append(here)
+    """Piece probabilities by language (rows of ``table``), and the sums over segmentations.
+
+    Words of one length are worked on together, position by position.
+    """
+
+    def __init__(self, names: list[str], table: np.ndarray) -> None:
+        self.absent = len(names)
+        self.table = np.vstack([table.T, np.zeros(table.shape[0])])
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k in range(1, LONGEST_PIECE + 1):
+            own = [i for i, p in enumerate(names) if len(p) == k]
+            if own:
+                *_, h = _hashes(_codes([names[i] for i in own], k))
+                order = np.argsort(h[:, 0])
+                self.by_length[k] = h[order, 0], np.array(own)[order]
+
+    def places(self, codes: np.ndarray) -> list[np.ndarray]:
+        """By piece length: the piece at each start, or ``absent``."""
+        out = []
+        for k, h in enumerate(_hashes(codes), 1):
+            known, piece = self.by_length.get(k, (np.zeros(1, np.uint64), np.array([self.absent])))
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            out.append(np.where(known[at] == h, piece[at], self.absent))
+        return out
+
+    def weights(self, place: np.ndarray, k: int, languages: slice) -> np.ndarray:
+        p = self.table[place, languages]
+        return np.where((place == self.absent)[..., None], UNKNOWN, p) if k == 1 else p
+
+    def sums(self, places: list[np.ndarray], languages: slice) -> list[np.ndarray]:
+        """Forward sums: by end, the probability of all segmentations up to there."""
+        n = places[0].shape[1]
+        fore = [np.ones_like(self.table[places[0][:, 0], languages])]
+        for end in range(1, n + 1):
+            fore.append(sum(fore[end - k] * self.weights(places[k - 1][:, end - k], k, languages) for k in range(1, min(len(places), end) + 1)))
+        return fore
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """A row for each word, a column for each language."""
+        out = np.zeros((len(words), self.table.shape[1]))
+        for length, owner, parts in by_length(words):
+            np.add.at(out, owner, np.log(self.sums(self.places(_codes(parts, length)), slice(None))[-1]))
         return out
 
-    def log_probabilities(self, word: str) -> list[float]:
-        total = [0.0] * self.languages
-        for part in parts_of(word):
-            sums: list = [None] * (len(part) + 1)
-            sums[0] = (1.0,) * self.languages
-            for i, here in enumerate(self.edges(part)):
-                at = sums[i]
-                for j, _, p in here:
-                    old = sums[j]
-                    sums[j] = [a * b for a, b in zip(at, p, strict=True)] if old is None else [o + a * b for o, a, b in zip(old, at, p, strict=True)]
-            total = [t + math.log(s) for t, s in zip(total, sums[-1], strict=True)]
-        return total
-
-    def expected(self, word: str, language: int, weight: float, counts: Counter) -> None:
-        """Add the expected uses of each piece in a word of one language."""
-        for part in parts_of(word):
-            edges = self.edges(part)
-            fore = [1.0] + [0.0] * len(part)
-            for i, here in enumerate(edges):
-                for j, _, p in here:
-                    fore[j] += fore[i] * p[language]
-            back = [0.0] * len(part) + [1.0]
-            for i in range(len(part) - 1, -1, -1):
-                back[i] = sum(p[language] * back[j] for j, _, p in edges[i])
-            for i, here in enumerate(edges):
-                for j, cut, p in here:
-                    if cut:
-                        counts[cut] += weight * fore[i] * p[language] * back[j] / fore[-1]
+    def expected(self, words: list[str], counts: np.ndarray, language: int) -> np.ndarray:
+        """Expected uses of each piece in words of one language, ``counts`` times each."""
+        out, own = np.zeros(self.absent + 1), slice(language, language + 1)
+        for length, owner, parts in by_length(words):
+            places = self.places(_codes(parts, length))
+            fore = self.sums(places, own)
+            back = [np.ones((len(parts), 1)) for _ in range(length + 1)]
+            for start in range(length - 1, -1, -1):
+                back[start] = sum(self.weights(places[k - 1][:, start], k, own) * back[start + k] for k in range(1, min(len(places), length - start) + 1))
+            scale = counts[owner, None] / fore[-1]
+            for k, place in enumerate(places, 1):
+                for start in range(place.shape[1]):
+                    use = fore[start] * self.weights(place[:, start], k, own) * back[start + k] * scale
+                    out += np.bincount(place[:, start], use[:, 0], self.absent + 1)
+        return out[:-1]
+
+
+def by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray, list[str]]]:
+    """The parts of the words by their length, with the number of the word they belong to."""
+    groups: dict[int, tuple[list[int], list[str]]] = {}
+    for i, w in enumerate(words):
+        for part in parts_of(w):
+            owner, parts = groups.setdefault(len(part), ([], []))
+            owner.append(i), parts.append(part)
+    for length, (owner, parts) in groups.items():
+        yield length, np.array(owner), parts
 
 
 def _sample(docs: DataFrame, rows: int) -> DataFrame:
@@ -119,7 +154,11 @@ def _sample(docs: DataFrame, rows: int) -> DataFrame:
     return docs.join(sizes, "lang").filter(draw).select("lang", "text")
 
 
-def fit_pieces(train: DataFrame, vocabulary_file: str | None = None, rows: int = SAMPLE_ROWS, rounds: int = 3) -> tuple[list[str], dict[str, tuple[float, ...]]]:
+#: Languages, pieces, and the probability of each piece in each language (languages by pieces).
+Model = tuple[list[str], list[str], np.ndarray]
+
+
+def fit_pieces(train: DataFrame, vocabulary_file: str | None = None, rows: int = SAMPLE_ROWS, rounds: int = 3) -> Model:
     """Languages in code point order and the piece probabilities, from (doc_id, text, lang).
 
     Rows without a language or a text teach nothing.
@@ -140,91 +179,92 @@ def fit_pieces(train: DataFrame, vocabulary_file: str | None = None, rows: int =
     counted = cut_lineage(counted)
     languages = sorted(r[0] for r in counted.select("lang").distinct().collect())
     names = vocabulary(vocabulary_file or tokenizer_file("piece_bpe_32k.model"))
-    if not languages:
-        return [], {}
-    pieces = dict.fromkeys(names, (1.0 / len(names),) * len(languages))
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((pieces, languages))
+    table = np.full((len(languages), len(names)), 1.0 / len(names))
+    for _ in range(rounds if languages else 0):
+        shared = spark.sparkContext.broadcast((languages, names, table))
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            model, names = Pieces(shared.value[0], len(shared.value[1])), {x: i for i, x in enumerate(shared.value[1])}
-            found = [Counter() for _ in names]
+            languages, names, table = shared.value
+            model, found = Pieces(names, table), np.zeros(table.shape)
             for batch in batches:
-                for lang, word, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    model.expected(word, names[lang], float(n), found[names[lang]])
-            flat = [(i, p, c) for i, f in enumerate(found) for p, c in f.items()]
-            if flat:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*flat, strict=True)], ["at", "piece", "n"])
+                lang = np.array(batch.column(0).to_pylist())
+                for i, name in enumerate(languages):
+                    own = batch.filter(pa.array(lang == name))
+                    if len(own):
+                        found[i] += model.expected(own.column(1).to_pylist(), own.column(2).to_numpy().astype(float), i)
+            at, piece = np.nonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(piece), pa.array(found[at, piece])], ["at", "piece", "n"])
 
         # At most one number per piece and language comes back, whatever the corpus size.
-        sums = counted.mapInArrow(expect, "at long, piece string, n double").groupBy("at", "piece").agg(F.sum("n").alias("n"))
-        table = np.zeros((len(languages), len(names)))
-        place = {p: i for i, p in enumerate(names)}
+        sums = counted.mapInArrow(expect, "at long, piece long, n double").groupBy("at", "piece").agg(F.sum("n").alias("n"))
+        table = np.zeros(table.shape)
         for r in sums.collect():
-            table[r["at"], place[r["piece"]]] = r["n"]
+            table[r["at"], r["piece"]] = r["n"]
         # The part of a language's mass that follows all languages together keeps unseen pieces possible.
-        pooled = table.sum(0) + 0.01
-        mass = table.sum(1, keepdims=True)
-        table = (table + 0.01 * mass * pooled / pooled.sum()) / (1.01 * mass)
-        pieces = {p: tuple(map(float, table[:, i])) for i, p in enumerate(names)}
-    return languages, pieces
+        pooled, mass = table.sum(0) + 0.01, np.maximum(table.sum(1, keepdims=True), 1.0)
+        table = np.maximum((table + 0.01 * mass * pooled / pooled.sum()) / (1.01 * mass), LEAST_PROBABILITY)
+    return languages, names, table
 
 
 class Identifier:
     """Judges whole texts, with a bounded memory of words."""
 
-    def __init__(self, languages: list[str], pieces: dict[str, tuple[float, ...]]) -> None:
-        self.languages, self.model = languages, Pieces(pieces, len(languages))
+    def __init__(self, languages: list[str], names: list[str], table: np.ndarray) -> None:
+        self.languages = languages
+        self.model = Pieces(names, table) if languages else None
         self.known: dict[str, int] = {}
         self.rows = np.empty((1024, max(1, len(languages))))
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text) if text else []
-        if not self.languages or not has_letter(words):
+    def learn(self, words: set[str]) -> None:
+        new = list(words - self.known.keys())
+        while len(self.known) + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        if new:
+            first = len(self.known)
+            self.rows[first : first + len(new)] = self.model.log_probabilities(new)
+            self.known.update(zip(new, range(first, first + len(new)), strict=True))
+
+    def judge(self, words: list[str]) -> tuple[str, float]:
+        if not words:
             return "und", 0.0
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        at = list(map(known.get, words))
-        if None in at:
-            for w in set(words):
-                if w not in known:
-                    if len(known) == len(self.rows):
-                        self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-                    self.rows[len(known)] = self.model.log_probabilities(w)
-                    known[w] = len(known)
-            at = list(map(known.get, words))
         # Mean over the words: odds of a typical word, comparable between lengths.
-        mean = self.rows[at].sum(0) / len(at)
+        mean = self.rows[list(map(self.known.get, words))].sum(0) / len(words)
         first = int(mean.argmax())
         return self.languages[first], float(1.0 / np.exp(mean - mean[first]).sum())
 
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[str, float]]:
+        for start in range(0, len(texts), TOGETHER):
+            read = [words_of(t.as_py() or "") for t in texts[start : start + TOGETHER]]
+            read = [w if self.languages and has_letter(w) else [] for w in read]
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            self.learn(set().union(*read))
+            yield from map(self.judge, read)
+
 
-def identify(docs: DataFrame, languages: list[str], pieces: dict[str, tuple[float, ...]]) -> DataFrame:
+def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Per row: doc_id, lang_pred, score, over whole texts."""
-    shared = docs.sparkSession.sparkContext.broadcast((languages, pieces))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = Identifier(*shared.value)
         for batch in batches:
-            found = [identifier(t.as_py()) for t in batch.column(1)]
-            best, score = zip(*found, strict=True) if found else ((), ())
+            best, score = zip(*identifier(batch.column(1)), strict=True) if len(batch) else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(judge, f"doc_id {kind}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, languages: list[str], pieces: dict[str, tuple[float, ...]], least: float) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """The rows whose language is determined with a score of at least ``least``, with all columns."""
-    shared = docs.sparkSession.sparkContext.broadcast((languages, pieces))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = Identifier(*shared.value)
         for batch in batches:
-            found = [identifier(t.as_py()) for t in batch.column(at)]
-            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in identifier(batch.column(at))], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
@@ -240,6 +280,5 @@ def predict_language(docs: DataFrame, folds: int = 4, fold: int = 2, **settings)
     result; other columns are ignored.
     """
     out = held_out(F.col("doc_id"), folds, fold)
-    languages, pieces = fit_pieces(docs.select("doc_id", "text", "lang").filter(~out), **settings)
-    judged = identify(docs, languages, pieces)
+    judged = identify(docs, fit_pieces(docs.select("doc_id", "text", "lang").filter(~out), **settings))
     return judged.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "lang_pred", "score")

@@ -14,7 +14,9 @@ input size; rows meet the result once, by their length and rank.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,11 +32,29 @@ from fileledger.session import cut_lineage
 REMEMBERED = 300_000
 
 
+#: The steps before the merges of a tokenizer whose plain words can go to the merges directly.
+KNOWN_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of printable Latin-1 characters without an apostrophe: those steps only lower their case
+#: and cut them into runs of letters, single digits and runs of other signs.
+PLAIN = re.compile(r"[!-&(-~\u00a1-\u00ff]+")
+RUNS = re.compile(r"[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff0-9\u00b2\u00b3\u00b9\u00bc-\u00be]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where printable."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit bytes, with a bounded memory of words.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of
     its words. Words are cut at ASCII white space only; other spaces are left to the tokenizer.
+    A new word goes through the whole tokenizer, except for plain words where the steps before
+    the merges are the known ones: their runs go to the merges directly.
     """
 
     def __init__(self, tokenizer_json: str, remembered: int = REMEMBERED) -> None:
@@ -43,7 +63,31 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.words: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
         self.remembered = remembered
+        steps = json.loads(tokenizer_json)
+        normalizers = (steps["normalizer"] or {}).get("normalizers")
+        cutters = (steps["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        self.direct = (
+            normalizers == KNOWN_NORMALIZERS and cutters[0].get("pattern") == {"Regex": KNOWN_PATTERN}
+            and [c["type"] for c in cutters] == ["Split", "ByteLevel"]
+            and all("<|" in t["content"] for t in steps["added_tokens"])
+        )
+        self.letters = byte_letters()
+
+    def run(self, run: str) -> bytes:
+        found = self.runs.get(run)
+        if found is None:
+            if len(self.runs) > self.remembered:
+                self.runs.clear()
+            merged = self.tokenizer.model.tokenize(run.encode().decode("latin-1").translate(self.letters))
+            found = self.runs[run] = np.array([t.id for t in merged], "<u4").tobytes()
+        return found
+
+    def word(self, word: str) -> bytes:
+        if self.direct and PLAIN.fullmatch(word) and "<|" not in word:
+            return b"".join(map(self.run, RUNS.findall(word.lower())))
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         words = text.encode().split()
@@ -52,9 +96,8 @@ class WordIds:
         known = self.words
         parts = list(map(known.get, words))
         if None in parts:
-            missing = list({w for w, p in zip(words, parts, strict=True) if p is None})
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-            known.update((w, np.array(f.ids, "<u4").tobytes()) for w, f in zip(missing, found, strict=True))
+            for w in {w for w, p in zip(words, parts, strict=True) if p is None}:
+                known[w] = self.word(w.decode())
             parts = list(map(known.get, words))
         return b"".join(parts)
 
