@@ -22,7 +22,7 @@ LEAST_LANGUAGE_SCORE = 0.35
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts whose language is known. Texts that are null or without a letter go."""
     learn = docs.filter(~held_out(F.col("doc_id"), 4, 2)).select("doc_id", "text", "lang")
-    return language.keep_identified(docs, *language.fit_pieces(learn), LEAST_LANGUAGE_SCORE)
+    return language.keep_identified(docs, language.fit_pieces(learn), LEAST_LANGUAGE_SCORE)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
