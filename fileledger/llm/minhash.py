@@ -8,8 +8,9 @@ set size. Bands of registers give candidates; the share of equal registers, corr
 chance agreement, estimates the similarity; what may reach the threshold is decided on the
 full sets.
 
-Documents with equal sets are one node. In a band bucket every node meets the least and the
-greatest node first, so that a large group of near copies costs two pairs a node. Whatever
+Documents with equal sets are one node. In a band bucket every node first meets the least node
+and the one that shares most buckets with others, as the original of many copies does, so that
+a large group of near copies costs two pairs a node. Whatever
 the verified links leave apart is then compared in full: small buckets by a join, large ones
 block by block inside tasks that hand on only pairs whose estimate passes.
 """
@@ -33,7 +34,7 @@ BANDS, ROWS = 25, 5
 #: Standard errors below the threshold at which an estimate still passes.
 ERRORS = 4.0
 #: Sets below this size are always decided on the full sets.
-SMALL_SET = 256
+SMALL_SET = 16
 #: Buckets up to this size are compared by a join, others in blocks of BLOCK nodes.
 SMALL_BUCKET = 32
 BLOCK = 512
@@ -134,10 +135,14 @@ def estimate(equal: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def may_link(equal: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether a pair can reach the threshold: by its sizes, and by its estimate unless a set is small."""
-    sizes = np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9
-    least = threshold - ERRORS * np.sqrt(threshold * (1 - threshold) / REGISTERS)
-    return sizes & ((np.minimum(a, b) < SMALL_SET) | (estimate(equal, a, b) >= least))
+    """Whether a pair can reach the threshold: by its sizes, and by its estimate unless a set is small.
+
+    Registers that were filled from others tell nothing new: the error is that of those with a hash.
+    """
+    small, large = np.minimum(a, b), np.maximum(a, b)
+    own = REGISTERS * -np.expm1(-small / REGISTERS)
+    least = threshold - ERRORS * np.sqrt(threshold * (1 - threshold) / own)
+    return (small >= threshold * large - 1e-9) & ((small < SMALL_SET) | (estimate(equal, a, b) >= least))
 
 
 def sketch_documents(docs: DataFrame, width: int) -> DataFrame:
@@ -306,9 +311,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     nodes = cut_lineage(filled.select("node", "n_shingles", "registers").dropDuplicates(["node"]))
     owners = filled.filter("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     keys = band_keys(nodes)
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("n > 1")
-    members = cut_lineage(keys.join(shared, "key").select("key", "node", "low", "high"))
-    star = members.select(F.col("node").alias("a"), F.col("low").alias("b")).unionAll(members.select("node", "high"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).filter("n > 1")
+    members = cut_lineage(keys.join(shared, "key"))
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    hubs = members.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
+    star = members.select(F.col("node").alias("a"), F.col("low").alias("b")).unionAll(members.join(hubs, "key").select("node", "hub"))
     star = star.filter("a <> b").distinct()
     tried = cut_lineage(passing(star, nodes, threshold))
     links = cut_lineage(verified(tried, docs, owners, width, percent).distinct())
