@@ -29,7 +29,7 @@ from fileledger.llm.common import prefix_sums, tokenizer_file
 from fileledger.session import cut_lineage
 
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 #: The steps before the merges of a tokenizer whose plain words can go to the merges directly.
