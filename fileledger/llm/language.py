@@ -149,9 +149,13 @@ def by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray, list[str]]]:
 
 def _sample(docs: DataFrame, rows: int) -> DataFrame:
     """About ``rows`` rows of each language, all of them where there are fewer, by a hash of the row."""
-    sizes = docs.groupBy("lang").agg(F.count("*").alias("_n"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < F.lit(1_000_000.0) * rows / F.col("_n")
-    return docs.join(sizes, "lang").filter(draw).select("lang", "text")
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    if not sizes:
+        return docs.select("lang", "text")
+    # One rate per language, as the model has a column for each; no text is moved for it.
+    rates = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], 1_000_000.0 * rows / r["n"])])
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000))
+    return docs.filter(draw < F.element_at(rates, F.col("lang"))).select("lang", "text")
 
 
 #: Languages, pieces, and the probability of each piece in each language (languages by pieces).
