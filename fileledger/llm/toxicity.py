@@ -277,7 +277,8 @@ def score_passages(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int
     n = known.count()
     if n > rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000)) < F.lit(1_000_000.0 * rows / n))
-    fitted = fit_toxicity(docs.select("doc_id", "text").join(known, "doc_id")) if n else None
+    # About ``rows`` ids at most, so that only their texts are moved.
+    fitted = fit_toxicity(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")) if n else None
     plain = fitted and ((fitted[0].scores, fitted[0].lam, fitted[0].log_k), fitted[1])
     shared = docs.sparkSession.sparkContext.broadcast(plain)
 
