@@ -18,6 +18,9 @@ KNOWN_FIELDS = [
     "sha256", "sha256Hash", "recordType",
 ]
 
+# Columns that the record view and the readers add; they say nothing about what a record matches.
+DERIVED_FIELDS = ["extras", "org", "app", "fid", "id_num", "hash_key", "plain", "fingerprint", "application_os"]
+
 OS_NAMES = {1: "Windows", 2: "macOS"}
 
 REASON_NO_DUPLICATES = "No current duplicates"

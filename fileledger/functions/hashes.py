@@ -54,10 +54,19 @@ def numeric_id(value: Column) -> Column:
     return value.try_cast("decimal(38,0)")
 
 
+def canonical_id(value: Column) -> Column:
+    """The identifier without leading zeros; ``007`` and ``7`` are the same one."""
+    return F.regexp_replace(value.cast("string"), "^0+(?=.)", "")
+
+
+def id_order(value: Column) -> Column:
+    """Numeric order of identifiers of any length; equal numbers are ordered by their text."""
+    canonical = canonical_id(value)
+    return F.struct(F.length(canonical).alias("digits"), canonical.alias("number"), value.cast("string").alias("text"))
+
+
 def valid_id(value: Column) -> Column:
-    return F.coalesce(value.cast("string").rlike("^[0-9]+$"), F.lit(False)) & F.coalesce(
-        numeric_id(value) > 0, F.lit(False)
-    )
+    return F.coalesce(value.cast("string").rlike("^[0-9]+$") & (canonical_id(value) != "0"), F.lit(False))
 
 
 def unknown_fields(extras: Column) -> Column:
@@ -103,6 +112,8 @@ def plain_hash_record(columns: dict[str, Column]) -> Column:
             "originalCert", "originalProcessPath", "originalInstalledBy", "name", "recordType",
         )
     ]
+    # A populated column of unknown meaning may narrow what the record matches.
+    conditions += [blank(name) for name in columns if name not in V.KNOWN_FIELDS and name not in V.DERIVED_FIELDS]
     if "extras" in columns:
         conditions.append(F.coalesce(F.size(unknown_fields(columns["extras"])), F.lit(0)) <= 0)
     result = conditions[0]
@@ -112,8 +123,9 @@ def plain_hash_record(columns: dict[str, Column]) -> Column:
 
 
 def record_fingerprint(columns: dict[str, Column]) -> Column:
-    """SHA-256 over the record's fields in name order; nulls are part of the text.
+    """SHA-256 over the record's populated fields in name order.
 
+    Nulls are left out, so that a column only one of two snapshots has counts when it is filled.
     A map has no fixed entry order, so the unknown fields go in sorted.
     """
     parts = []
@@ -122,7 +134,7 @@ def record_fingerprint(columns: dict[str, Column]) -> Column:
         if name == "extras":
             column = F.array_sort(F.map_entries(column))
         parts.append(column.alias(name))
-    return F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256)
+    return F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "true"}), 256)
 
 
 def os_name(os_type: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fileledger import fixed_values as V
-from fileledger.functions.hashes import numeric_id, plain_hash_record, primary_hash
+from fileledger.functions.hashes import id_order, numeric_id, plain_hash_record, primary_hash
 from fileledger.operators.skew import attach, lookup, with_position
 
 GROUP_KEYS = ["org", "app", "hash_key"]
@@ -46,7 +46,7 @@ def hash_groups(records: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("members"),
             F.bool_and("plain").alias("all_plain"),
-            F.min("id_num").alias("first_id"),
+            F.min_by("fid", id_order(F.col("fid"))).alias("first_id"),
         )
     )
     return groups.withColumns(_choice())
@@ -55,7 +55,7 @@ def hash_groups(records: DataFrame) -> DataFrame:
 def _choice():
     eligible = (F.col("members") >= 2) & F.col("all_plain")
     return {
-        "survivor": F.when(eligible, F.col("first_id").cast("string")),
+        "survivor": F.when(eligible, F.col("first_id")),
         "reason": F.when(F.coalesce(F.col("members"), F.lit(0)) < 2, F.lit(V.REASON_NO_DUPLICATES))
         .when(~F.col("all_plain"), F.lit(V.REASON_AMBIGUOUS))
         .otherwise(F.lit(V.REASON_SURVIVOR)),

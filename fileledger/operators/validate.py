@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fileledger.functions.hashes import canonical_uuid, valid_id
+from fileledger.functions.hashes import canonical_id, canonical_uuid, valid_id
 from fileledger.operators.skew import lookup
 
 
@@ -44,9 +44,10 @@ def require_columns(df: DataFrame, names: list[str], message: str) -> None:
 
 
 def repeated_ids(records: DataFrame, keys: list[str]) -> DataFrame:
-    """Identifiers that occur more than once."""
+    """Identifiers that occur more than once; leading zeros make no difference."""
+    by = [canonical_id(F.col(k)).alias(k) if k in ("applicationFileId", "fid") else F.col(k) for k in keys]
     return (
-        records.groupBy(*keys)
+        records.groupBy(*by)
         .agg(F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
         .select(

@@ -83,10 +83,10 @@ def reconcile_plan(
     plan: DuplicatePlan, records: DataFrame, applications: DataFrame, stop: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """(targets with new status, violations) against a fresh snapshot."""
-    columns = [c for c in plan.baseline.columns if c != "fingerprint"]
     chosen = plan.applications.select(F.col("applicationId").alias("app"))
     view = lookup(dedup.record_view(records), chosen, ["app"], ["fid"], "left_semi")
-    current = reconcile.with_fingerprint(view.select(*[c for c in columns if c in view.columns]))
+    # With columns that the baseline did not have: a filled one is a change.
+    current = reconcile.with_fingerprint(view)
     diff = reconcile.snapshot_diff(plan.baseline, current, plan.targets)
     bad = reconcile.diff_violations(diff).unionByName(
         reconcile.metadata_violations(plan.applications, applications)
