@@ -12,7 +12,8 @@ Documents with equal sets are one node. In a band bucket every node first meets
 and the one that shares most buckets with others, as the original of many copies does, so that
 a large group of near copies costs two pairs a node. Whatever
 the verified links leave apart is then compared in full: small buckets by a join, large ones
-block by block inside tasks that hand on only pairs whose estimate passes.
+block by block inside tasks, which get the full sets along with the registers, decide the pairs
+whose estimate passes, and hand on only links that join two groups.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ SMALL_SET = 16
 #: Buckets up to this size are compared by a join, others in blocks of BLOCK nodes.
 SMALL_BUCKET = 32
 BLOCK = 512
+#: Sets that a task compares with one set at a time.
+COMPARED = 64
 #: Node ids to broadcast at most; more are joined by shuffle.
 BROADCAST_NODES = 1_000_000
 #: Words whose hashes a worker remembers.
@@ -145,12 +148,18 @@ def may_link(equal: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float)
     return (small >= threshold * large - 1e-9) & ((small < SMALL_SET) | (estimate(equal, a, b) >= least))
 
 
+def set_id(hashes: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit halves of a set's digest; the first names its node."""
+    import xxhash
+
+    digest = xxhash.xxh3_128_intdigest(hashes.tobytes())
+    return (digest & (2**64 - 1)) - 2**63, (digest >> 64) - 2**63
+
+
 def sketch_documents(docs: DataFrame, width: int) -> DataFrame:
     """Per row: doc_id, n_shingles, node (id of the set, null for an empty one), node2, registers."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         shingles, order = Shingles(width), fill_order()
         for batch in batches:
             n, node, node2, regs = [], [], [], []
@@ -158,8 +167,8 @@ def sketch_documents(docs: DataFrame, width: int) -> DataFrame:
                 h = shingles(value.as_py() or "")
                 n.append(len(h))
                 if len(h):
-                    digest = xxhash.xxh3_128_intdigest(h.tobytes())
-                    node.append((digest & (2**64 - 1)) - 2**63), node2.append((digest >> 64) - 2**63)
+                    first, second = set_id(h)
+                    node.append(first), node2.append(second)
                     regs.append(registers(h, order).tobytes())
                 else:
                     node.append(None), node2.append(None), regs.append(None)
@@ -176,6 +185,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), REGISTERS)
 
 
+def bucket_keys(matrix: np.ndarray) -> np.ndarray:
+    """The bucket of each row of registers in each band."""
+    cut = matrix[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), cut.shape[:2]).copy()
+    for k in range(ROWS):
+        key = mix(key * _PRIME + cut[:, :, k])
+    return key.view(np.int64)
+
+
 def band_keys(nodes: DataFrame) -> DataFrame:
     """(key, node) for each band of a node's registers."""
 
@@ -183,13 +201,8 @@ def band_keys(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             if not len(batch):
                 continue
-            cut = _matrix(batch.column(1))[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), cut.shape[:2]).copy()
-            for k in range(ROWS):
-                key = mix(key * _PRIME + cut[:, :, k])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "node"]
-            )
+            key = bucket_keys(_matrix(batch.column(1))).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "node"])
 
     return nodes.select("node", "registers").mapInArrow(keys, "key long, node long")
 
@@ -212,20 +225,37 @@ def passing(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return met.mapInArrow(check, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union on the full sets.
+def node_texts(wanted: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes, by the id of a row that has the text.
 
-    One text per node is fetched by the id of a row that has it. The few ids are broadcast
-    where they are counted to be few, so that other texts are not moved.
+    The few ids are broadcast where they are counted to be few, so that other texts are not
+    moved. A repeated id brings texts of other nodes too.
     """
-    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = cut_lineage(owners.join(ends, "node"))
+    wanted = cut_lineage(owners.join(wanted, "node"))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
+    return docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
+def node_sets(wanted: DataFrame, docs: DataFrame, owners: DataFrame, width: int) -> DataFrame:
+    """(node, hashes): the sorted shingle hashes of each wanted node, eight bytes each."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(width)
+        for batch in batches:
+            hashes = [shingles(text.as_py() or "") for text in batch.column(1)]
+            own = [set_id(h)[0] == n for h, n in zip(hashes, batch.column(0).to_pylist(), strict=True)]
+            found = pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in hashes], pa.binary())], ["node", "hashes"])
+            yield found.filter(pa.array(own, pa.bool_()))
+
+    return node_texts(wanted, docs, owners).mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs with 100 * intersection >= percent * union on the full sets."""
+    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = node_texts(ends, docs, owners)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         last: dict[int, np.ndarray | None] = {}
 
@@ -235,7 +265,7 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, width: int, p
                 if len(last) > 64:
                     last.clear()
                 h = shingles(text)
-                last[node] = h if (xxhash.xxh3_128_intdigest(h.tobytes()) & (2**64 - 1)) - 2**63 == node else None
+                last[node] = h if set_id(h)[0] == node else None
             return last[node]
 
         for batch in batches:
@@ -256,8 +286,47 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, width: int, p
     return both.sortWithinPartitions("b").mapInArrow(decide, "a long, b long")
 
 
-def apart(members: DataFrame, groups: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that share a bucket, lie in different groups and may reach the threshold."""
+def links_between(table: pa.Table, threshold: float, percent: int) -> pa.Table:
+    """Links between nodes of different groups in two blocks, i and j, of one bucket.
+
+    A pair is decided in the first bucket it shares, on the full sets if its estimate passes.
+    Groups grow as links are found, so that a pair within one is not decided again.
+    """
+    key, i, j = (table[c][0].as_py() for c in ("key", "i", "j"))
+    block, node, group = (table[c].to_numpy() for c in ("block", "node", "group"))
+    group = group.copy()
+    regs = _matrix(table["registers"])
+    sets = [np.frombuffer(h.as_buffer(), np.uint64) for h in table["hashes"]]
+    n = np.array([len(h) for h in sets])
+    buckets = bucket_keys(regs)
+    earlier = buckets[:, : int((buckets[0] == key).argmax())]
+    right = np.flatnonzero(block == j)
+    a, b = [], []
+    for x in np.flatnonzero(block == i):
+        y = right[(group[right] != group[x]) & ((node[right] > node[x]) | (i != j))]
+        y = y[~(earlier[y] == earlier[x]).any(1)]
+        y = y[may_link((regs[y] == regs[x]).mean(1), np.full(len(y), n[x]), n[y], threshold)]
+        for start in range(0, len(y), COMPARED):
+            some = y[start : start + COMPARED]
+            some = some[group[some] != group[x]]
+            if not len(some):
+                continue
+            values = np.concatenate([sets[k] for k in some])
+            at = np.minimum(np.searchsorted(sets[x], values), n[x] - 1)
+            common = np.add.reduceat(sets[x][at] == values, np.cumsum(n[some]) - n[some], dtype=np.int64)
+            for k in some[100 * common >= percent * (n[x] + n[some] - common)]:
+                if group[k] != group[x]:
+                    a.append(min(node[x], node[k])), b.append(max(node[x], node[k]))
+                    group[group == group[k]] = group[x]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def apart(
+    members: DataFrame, groups: DataFrame, nodes: DataFrame, docs: DataFrame, owners: DataFrame, width: int, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """What shares a bucket and lies in different groups: pairs of small buckets that may
+    reach the threshold, and verified links of large ones."""
+    threshold = percent / 100
     placed = members.select("key", "node").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
     open_keys = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("group").alias("g1"), F.max("group").alias("g2")).filter("g1 <> g2")
     placed = cut_lineage(placed.join(open_keys.select("key", "size"), "key"))
@@ -267,31 +336,16 @@ def apart(members: DataFrame, groups: DataFrame, nodes: DataFrame, threshold: fl
     by_join = passing(pairs, nodes, threshold)
 
     # Each large bucket in blocks; a task sees two blocks.
-    large = placed.filter(F.col("size") > SMALL_BUCKET).join(nodes.select("node", "n_shingles", "registers"), "node")
+    large = placed.filter(F.col("size") > SMALL_BUCKET)
+    sets = node_sets(large.select("node").distinct(), docs, owners, width)
+    large = large.join(nodes.select("node", "registers").join(sets, "node"), "node")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     large = large.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     meets = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    large = large.select("key", "node", "group", "n_shingles", "registers", "block", meets)
-    large = large.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "group", "n_shingles", "registers")
-
-    def compare(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        block = table["block"].to_numpy()
-        node, group, n = (table[c].to_numpy() for c in ("node", "group", "n_shingles"))
-        regs = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(len(node), REGISTERS)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
-        for x in left:
-            y = right[(group[right] != group[x]) & ((node[right] > node[x]) | (i != j))]
-            if len(y):
-                equal = (regs[y] == regs[x]).mean(1)
-                y = y[may_link(equal, np.full(len(y), n[x]), n[y], threshold)]
-                a.append(np.minimum(node[x], node[y])), b.append(np.maximum(node[x], node[y]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
-
-    by_block = large.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
-    return by_join.unionAll(by_block).distinct()
+    large = large.select("key", "node", "group", "registers", "hashes", "block", meets)
+    large = large.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "group", "registers", "hashes")
+    by_block = large.groupBy("key", "i", "j").applyInArrow(lambda t: links_between(t, threshold, percent), "a long, b long")
+    return by_join, by_block
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -320,11 +374,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     tried = cut_lineage(passing(star, nodes, threshold))
     links = cut_lineage(verified(tried, docs, owners, width, percent).distinct())
     groups = components(links).withColumnsRenamed({"component": "group"})
-    rest = apart(members, groups, nodes, threshold)
+    rest, joining = apart(members, groups, nodes, docs, owners, width, percent)
+    joining = cut_lineage(joining.distinct())
     either = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = cut_lineage(rest.join(either, ["a", "b"], "left_anti"))
     more = verified(rest, docs, owners, width, percent)
-    groups = components(links.unionAll(more.select("a", "b"))).withColumnsRenamed({"component": "group"})
+    groups = components(links.unionAll(joining).unionAll(more)).withColumnsRenamed({"component": "group"})
     placed = rows.select("doc_id", "n_shingles", "node").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
     placed = cut_lineage(placed.drop("node"))
     least = placed.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))

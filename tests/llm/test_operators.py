@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -312,6 +313,40 @@ def test_estimate_is_near_the_similarity():
         assert abs(np.mean(diff)) < 0.04
 
 
+@pytest.mark.parametrize(("i", "j"), [(0, 0), (0, 1)])
+def test_links_in_a_bucket_join_the_same_groups(i, j):
+    rng, order = np.random.default_rng(5), minhash.fill_order()
+    base = np.unique(rng.integers(0, 2**64, 120, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([rng.permutation(base)[k % 14 :], rng.integers(0, 2**64, k % 9, dtype=np.uint64)])) for k in range(120)]
+    regs = np.stack([minhash.registers(h, order) for h in sets])
+    keys = minhash.bucket_keys(regs)
+    key = Counter(keys.ravel().tolist()).most_common(1)[0][0]
+    band = int((keys == key).any(0).argmax())
+    rows = [k for k in range(120) if keys[k, band] == key]
+    block = {k: i if i == j else k % 2 for k in rows}
+    table = pa.table({
+        "key": [key] * len(rows), "i": [i] * len(rows), "j": [j] * len(rows), "block": [block[k] for k in rows], "node": rows, "group": rows,
+        "registers": [regs[k].tobytes() for k in rows], "hashes": [sets[k].tobytes() for k in rows],
+    })
+    found = minhash.links_between(table, 0.85, 85)
+
+    def linked(a, b):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        return 100 * common >= 85 * (len(sets[a]) + len(sets[b]) - common)
+
+    def groups(pairs):
+        root = {k: k for k in rows}
+        for a, b in pairs:
+            old, new = root[a], root[b]
+            root = {k: new if r == old else r for k, r in root.items()}
+        return {frozenset(k for k in rows if root[k] == r) for r in root.values()}
+
+    pairs = list(zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True))
+    first = [(a, b) for a in rows for b in rows if a < b and not (keys[a, :band] == keys[b, :band]).any() and (i == j or block[a] != block[b])]
+    assert len(rows) > 20 and pairs and all(linked(a, b) for a, b in pairs)
+    assert groups(pairs) == groups([(a, b) for a, b in first if linked(a, b)])
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(2)
