@@ -34,6 +34,20 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Rows of a narrow table that make a task worth its files in an exchange.
+ROWS_A_TASK = 20_000
+
+
+def in_few_tasks(df: DataFrame) -> DataFrame:
+    """Materialise a narrow table and read it in tasks of about ROWS_A_TASK rows.
+
+    Each task leaves files in every later exchange; a small result spread over all shuffle
+    partitions costs more in files than in rows. Large tables keep their partitions.
+    """
+    kept = cut_lineage(df)
+    return kept.coalesce(kept.count() // ROWS_A_TASK + 1)
+
+
 def prefix_sums(
     df: DataFrame, group: Sequence[str], order: Sequence[str], weight: Column, name: str = "before"
 ) -> DataFrame:
@@ -73,7 +87,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         return e.select(F.col("u"), F.col("v")).unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
-    e = cut_lineage(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = in_few_tasks(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     for _ in range(rounds):
         # Large star: every larger neighbour of u moves to the smallest of u and its neighbours.
@@ -85,7 +99,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
-        e = cut_lineage(small.filter("u <> v").distinct())
+        e = in_few_tasks(small.filter("u <> v").distinct())
         # Done when every edge is a star: no target is itself a source.
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if seen == tuple(state):

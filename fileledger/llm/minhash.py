@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fileledger.llm.common import components
+from fileledger.llm.common import components, in_few_tasks
 from fileledger.session import cut_lineage
 
 INDEX_BITS = 7
@@ -231,7 +231,7 @@ def node_texts(wanted: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFra
     The few ids are broadcast where they are counted to be few, so that other texts are not
     moved. A repeated id brings texts of other nodes too.
     """
-    wanted = cut_lineage(owners.join(wanted, "node"))
+    wanted = in_few_tasks(owners.join(wanted, "node"))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
     return docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
 
@@ -371,15 +371,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     hubs = members.join(company, "node").groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("hub"))
     star = members.select(F.col("node").alias("a"), F.col("low").alias("b")).unionAll(members.join(hubs, "key").select("node", "hub"))
     star = star.filter("a <> b").distinct()
-    tried = cut_lineage(passing(star, nodes, threshold))
-    links = cut_lineage(verified(tried, docs, owners, width, percent).distinct())
+    tried = in_few_tasks(passing(star, nodes, threshold))
+    links = in_few_tasks(verified(tried, docs, owners, width, percent).distinct())
     groups = components(links).withColumnsRenamed({"component": "group"})
+    known = groups.select(F.col("node").alias("a"), F.col("group").alias("b"))
     rest, joining = apart(members, groups, nodes, docs, owners, width, percent)
-    joining = cut_lineage(joining.distinct())
+    joining = in_few_tasks(joining.distinct())
     either = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = cut_lineage(rest.join(either, ["a", "b"], "left_anti"))
+    rest = in_few_tasks(rest.join(either, ["a", "b"], "left_anti"))
     more = verified(rest, docs, owners, width, percent)
-    groups = components(links.unionAll(joining).unionAll(more)).withColumnsRenamed({"component": "group"})
+    groups = components(known.unionAll(joining).unionAll(more)).withColumnsRenamed({"component": "group"})
     placed = rows.select("doc_id", "n_shingles", "node").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
     placed = cut_lineage(placed.drop("node"))
     least = placed.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
