@@ -67,8 +67,17 @@ def read_json_rows(spark: SparkSession, path: str, multi_line: bool = True) -> D
     )
 
 
-def read_report_rows(spark: SparkSession, path: str, file_format: str | None = None) -> DataFrame:
-    """Rows of a CSV or JSON report with normalised headers."""
+def read_report_rows(
+    spark: SparkSession, path: str, file_format: str | None = None, multi_line: bool | None = None
+) -> DataFrame:
+    """Rows of a CSV or JSON report with normalised headers.
+
+    ``multi_line``: values of a CSV may hold line breaks, or a JSON file is one document rather
+    than lines. By default CSV is read by lines, so that it splits, and JSON as a document.
+    """
     kind = file_format or ("json" if path.lower().endswith(".json") else "csv")
-    rows = read_json_rows(spark, path) if kind == "json" else read_csv_rows(spark, path)
+    if kind == "json":
+        rows = read_json_rows(spark, path, True if multi_line is None else multi_line)
+    else:
+        rows = read_csv_rows(spark, path, bool(multi_line))
     return normalize_headers(rows, keep=(ORDER,))

@@ -71,9 +71,9 @@ def repeated_rows(typed: DataFrame) -> DataFrame:
 
 
 def read_duplicate_report(
-    spark: SparkSession, path: str, organization: str, file_format: str | None = None
+    spark: SparkSession, path: str, organization: str, file_format: str | None = None, multi_line: bool | None = None
 ) -> Report:
-    report = duplicate_report(read_report_rows(spark, path, file_format), organization)
+    report = duplicate_report(read_report_rows(spark, path, file_format, multi_line), organization)
     require(report.violations)
     return report
 
@@ -120,9 +120,9 @@ def large_report(rows: DataFrame, organization: str) -> Report:
 
 
 def read_large_report(
-    spark: SparkSession, path: str, organization: str, file_format: str | None = None
+    spark: SparkSession, path: str, organization: str, file_format: str | None = None, multi_line: bool | None = None
 ) -> Report:
-    report = large_report(read_report_rows(spark, path, file_format), organization)
+    report = large_report(read_report_rows(spark, path, file_format, multi_line), organization)
     require(report.violations)
     return report
 

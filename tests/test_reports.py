@@ -37,6 +37,15 @@ def test_csv_report_with_byte_order_mark(spark, tmp_path):
     assert report.repeated.first()["repeated"] == 1
 
 
+def test_quoted_line_breaks_and_json_lines(spark, tmp_path):
+    text = f'Hash,ApplicationId,Name,OrganizationId,Count\n{H},{APP},"two\nlines",{ORG},4\n'
+    report = reports.read_duplicate_report(spark, write(tmp_path, "r.csv", text.encode()), ORG, multi_line=True)
+    assert [r["name"] for r in report.rows.collect()] == ["two\nlines"]
+    lines = "\n".join(json.dumps(row(hash_=h)) for h in (H, "C" * 64))
+    report = reports.read_duplicate_report(spark, write(tmp_path, "r.json", lines.encode()), ORG, multi_line=False)
+    assert {r["hash"] for r in report.rows.collect()} == {H, "C" * 64}
+
+
 @pytest.mark.parametrize("bad", [row(org=APP), row(app="x"), row(hash_="12"), {"Hash": H}])
 def test_bad_reports_are_rejected_whole(spark, tmp_path, bad):
     with pytest.raises(ValidationError):
