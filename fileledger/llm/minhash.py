@@ -383,7 +383,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     groups = components(known.unionAll(joining).unionAll(more)).withColumnsRenamed({"component": "group"})
     placed = rows.select("doc_id", "n_shingles", "node").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
     placed = cut_lineage(placed.drop("node"))
-    least = placed.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("least"))
+    # A written table, so that the join reads its exchange directly and a hot group's rows can be split.
+    least = cut_lineage(placed.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("least")))
     out = placed.join(least, "group", "left")
     component = F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
