@@ -177,7 +177,8 @@ def deletion_progress_by_application(targets: DataFrame) -> DataFrame:
 def recent_responses(events: DataFrame, targets: DataFrame, limit: int = 10) -> DataFrame:
     """Latest responses with the current status of their record.
 
-    The few latest events are taken first; the lookup then touches only them.
+    The few latest events are taken first, at most ``limit``. Their keys filter the
+    targets before these are aggregated or moved.
     """
     latest = (
         events.filter(F.col("kind") == V.RESPONSE_EVENT)
@@ -185,7 +186,8 @@ def recent_responses(events: DataFrame, targets: DataFrame, limit: int = 10) ->
         .orderBy(F.desc("time"), F.desc("id"))
         .limit(limit)
     )
-    status = targets.select("app", "fid", "status")
+    few = F.broadcast(latest.select("app", "fid"))
+    status = targets.select("app", "fid", "status").join(few, ["app", "fid"], "left_semi")
     return latest.join(status, ["app", "fid"], "left").select(
         "id", "time", F.col("app").alias("application_id"), F.col("fid").alias("record_id"),
         F.col("detail").alias("response"),

@@ -88,10 +88,13 @@ def lookup(
 
     A plain shuffle on such a key would put an application's records into one
     task. A dimension counted to be small is broadcast; a larger one is joined
-    by key and salt. The dimension should be cheap to read: it is counted first.
+    by key and salt. Both give the same: null keys match nothing, and the columns
+    are those of ``df``, then the dimension's others. The dimension should be cheap
+    to read: it is counted first.
     """
+    dimension = dimension.dropna(subset=list(keys))
     if dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return df.join(F.broadcast(dimension), list(keys), how)
+        return null_safe_join(df, F.broadcast(dimension), keys, how)
     if how == "left_semi":
         return attach(df, dimension.select(*keys).distinct(), keys, salt_on)
     return attach(df, dimension, keys, salt_on, how)

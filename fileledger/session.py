@@ -18,6 +18,8 @@ def local_session(cpus: int = 8, name: str = "fileledger", **conf: str) -> Spark
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # Small test tables would otherwise collapse into one task after each exchange.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # Checkpoints nobody refers to any more are deleted; set it on clusters too.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

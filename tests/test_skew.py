@@ -76,3 +76,16 @@ def test_lookup_has_a_way_beyond_the_broadcast_bound(spark, monkeypatch):
     large = sorted(map(tuple, skew.lookup(df, dim, ["k"], ["id"]).select("id", "p").collect()))
     kept = skew.lookup(df, dim, ["k"], ["id"], "left_semi")
     assert small == large and kept.count() == len(large) and kept.columns == df.columns
+
+
+def test_lookup_ways_agree_on_nulls_and_columns(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a", 5), (2, None, 6), (3, "z", 7)], "id int, k string, v int")
+    dim = spark.createDataFrame([("a", 1), (None, 2)], "k string, p int")
+    for how in ("inner", "left", "left_semi"):
+        small = skew.lookup(df, dim, ["k"], ["id"], how)
+        with monkeypatch.context() as m:
+            m.setattr(skew, "BROADCAST_ROWS", 0)
+            large = skew.lookup(df, dim, ["k"], ["id"], how)
+        assert small.columns == large.columns == ["id", "k", "v", *["p"][: how != "left_semi"]]
+        rows = [sorted(map(tuple, x.collect())) for x in (small, large)]
+        assert rows[0] == rows[1] and len(rows[0]) == (3 if how == "left" else 1)

@@ -475,7 +475,7 @@ def oracle_sql() -> dict[str, str]:
         "outcome_totals": with_(EVENTS) + f"SELECT {OUTCOMES} FROM latest",
         "recent_responses": with_(EVENTS) + """SELECT e.id, e.time, e.app AS application_id, e.fid AS record_id, detail AS response,
             coalesce(l.status, 'Unknown') AS current_status FROM (SELECT * FROM ev ORDER BY time DESC, id DESC LIMIT 10) e
-            LEFT JOIN (SELECT * FROM latest WHERE app <> 'error') l ON l.app = e.app AND l.fid = e.fid""",
+            LEFT JOIN latest l ON l.app = e.app AND l.fid = e.fid""",
         "run_history": """SELECT CAST(s_suppkey AS varchar) AS run, CASE WHEN s_nationkey < 12 THEN 'Duplicate hashes' ELSE 'Conditional rules' END AS workflow,
             CASE WHEN s_acctbal > 0 THEN 'Complete' ELSE 'Preview' END AS status, coalesce(names, '') AS application, coalesce(ids, '') AS application_ids,
             coalesce(n, 0) AS planned, coalesce(v, 0) AS verified, s_acctbal AS created FROM supplier

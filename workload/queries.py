@@ -237,8 +237,7 @@ def outcome_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 def recent_responses(spark: SparkSession, sf: str) -> DataFrame:
     events = views.outcome_events(spark, sf)
-    known = latest_statuses(events).filter(F.col("app") != "error")
-    return insights.recent_responses(events, known)
+    return insights.recent_responses(events, latest_statuses(events))
 
 
 def run_history(spark: SparkSession, sf: str) -> DataFrame:
