@@ -34,9 +34,9 @@ def run_history(
         F.count(F.lit(1)).alias("planned"),
         F.count_if(F.col("status").isin(V.VERIFIED_ABSENT, "Verified")).alias("verified"),
     )
-    # A run lists the applications it was started for; a few per run.
+    # A run lists each application it was started for once, however often it is repeated.
     apps = run_apps.groupBy("run_id").agg(
-        F.sort_array(F.collect_list(F.struct("app", F.coalesce("name", F.lit("")).alias("name")))).alias("_apps")
+        F.sort_array(F.collect_set(F.struct("app", F.coalesce("name", F.lit("")).alias("name")))).alias("_apps")
     )
     joined = scoped.join(counts, "run_id", "left").join(apps, "run_id", "left")
     return joined.select(
