@@ -4,11 +4,14 @@ The graph of each vector's nearest vectors starts from a forest of random projec
 vectors are range-sorted by the signs of random projections and meet their successors.
 Then neighbours of neighbours are joined: a vector's neighbours, both ways, come together in
 one place and are compared with each other, and lists keep the best. Rounds go on until none
-finds a new pair near the threshold.
+changes a list.
 
 A list that is full of near pairs is saturated: there may be more. Such lists are enlarged,
-first to twice the length with another round, then, where they are full again, to the whole
-component of near pairs, which is compared block by block and counted, never listed.
+first to twice the length with more rounds, then, where they are full again, to the whole
+component of near pairs, in which the vector is compared with all others, block by block, and
+counted, never listed. As the lists of such components hold only their own vectors, the
+components are first joined: a second graph keeps the nearest vectors of other components,
+and near pairs found there join components until no new one appears.
 
 Candidates are ranked by vectors rounded to 8 bits; pairs and counts of the result are
 decided by cosines in double precision. The recall of the result is audited on a sample of
@@ -31,7 +34,6 @@ TREES = 14
 SIGNS = 24
 SUCCESSORS = 3
 LIST = 6
-ROUNDS = 4
 #: Cosine by which rounded vectors may fall short of the exact one.
 ROUNDING = 0.02
 #: Neighbours that meet in one task; a hub's others meet in groups of the same size.
@@ -134,16 +136,25 @@ def best_lists(pairs: DataFrame, length: int, longer: DataFrame | None = None) -
     return ranked.filter((F.col("place") <= length) | F.col("_more")).drop("_more")
 
 
-def meet(lists: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(a, b, sim) of neighbours of a common node that would enter the list of one of them."""
-    full = lists.groupBy("node").agg(F.min("sim").alias("floor"))
-    ways = lists.select(F.col("node").alias("centre"), F.col("near").alias("node")).unionAll(lists.select(F.col("near").alias("centre"), "node"))
+def meet(lists: DataFrame, vectors: DataFrame, longer: DataFrame | None = None, own: DataFrame | None = None) -> DataFrame:
+    """(a, b, sim) of neighbours of a common node that would enter the list of one of them.
+
+    Where ``vectors`` has an area, pairs of one area are left out; ``own`` has the neighbours
+    inside the areas, which meet the others too.
+    """
+    full = lists.groupBy("node").agg(F.min("sim").alias("floor"), F.count("*").alias("entries")).withColumn("length", F.lit(LIST))
+    if longer is not None:
+        full = full.join(longer.select("node", F.lit(2 * LIST).alias("_more")), "node", "left").withColumn("length", F.coalesce("_more", "length"))
+    full = full.filter("entries >= length").select("node", "floor")
+    near = lists.select("node", "near") if own is None else lists.select("node", "near").unionAll(own.select("node", "near"))
+    ways = near.select(F.col("node").alias("centre"), F.col("near").alias("node")).unionAll(near.select(F.col("near").alias("centre"), "node"))
     ways = ways.distinct()
     # The neighbours of a hub meet in random groups of about MEETING.
     sizes = ways.groupBy("centre").agg(F.ceil(F.count("*") / MEETING).alias("groups"))
     ways = ways.join(sizes, "centre").withColumn("part", F.pmod(F.xxhash64("node", "centre"), F.col("groups")))
-    rows = ways.join(vectors.select("node", "v"), "node").join(full, "node")
-    rows = rows.select("centre", "part", "node", "floor", "v").repartition("centre", "part").sortWithinPartitions("centre", "part", "node")
+    area = F.col("area") if "area" in vectors.columns else F.col("node")
+    rows = ways.join(vectors.select("node", area.alias("area"), "v"), "node").join(full, "node", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)).cast("float"))
+    rows = rows.select("centre", "part", "node", "area", "floor", "v").repartition("centre", "part").sortWithinPartitions("centre", "part", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -163,7 +174,7 @@ def meet(lists: DataFrame, vectors: DataFrame) -> DataFrame:
         return table.slice(0, cut), table.slice(cut)
 
     def found_in(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        c, p, node, floor = (table[x].to_numpy() for x in ("centre", "part", "node", "floor"))
+        c, p, node, area, floor = (table[x].to_numpy() for x in ("centre", "part", "node", "area", "floor"))
         edge = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (p[1:] != p[:-1])])
         values = table["v"].to_pylist()
         a, b, s = [], [], []
@@ -172,8 +183,8 @@ def meet(lists: DataFrame, vectors: DataFrame) -> DataFrame:
                 continue
             x = _small(values[start:end])
             sim = x @ x.T
-            low = floor[start:end]
-            i, j = np.nonzero(np.triu(sim > np.minimum(low[:, None], low[None, :]), 1))
+            low, at = floor[start:end], area[start:end]
+            i, j = np.nonzero(np.triu((sim > np.minimum(low[:, None], low[None, :])) & (at[:, None] != at[None, :]), 1))
             a.append(node[start + i]), b.append(node[start + j]), s.append(sim[i, j])
         if a:
             pairs = pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "sim": np.concatenate(s).astype(np.float32)})
@@ -182,17 +193,48 @@ def meet(lists: DataFrame, vectors: DataFrame) -> DataFrame:
     return rows.mapInArrow(compare, "a long, b long, sim float")
 
 
-def descend(lists: DataFrame, vectors: DataFrame, near: float, rounds: int, longer: DataFrame | None = None) -> DataFrame:
-    """Rounds of meeting until no pair near the threshold is new."""
-    known = lists.filter(F.col("sim") >= near).count()
-    for _ in range(rounds):
+def descend(lists: DataFrame, vectors: DataFrame, longer: DataFrame | None = None, own: DataFrame | None = None) -> DataFrame:
+    """Rounds of meeting until no list has a new entry."""
+
+    def state(lists: DataFrame) -> tuple:
+        return tuple(lists.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "near"))).first())
+
+    known = state(lists)
+    while True:
         old = lists.select(F.col("node").alias("a"), F.col("near").alias("b"), "sim")
-        lists = cut_lineage(best_lists(old.unionAll(meet(lists, vectors)), LIST, longer))
-        now = lists.filter(F.col("sim") >= near).count()
-        if now <= known:
-            break
+        lists = cut_lineage(best_lists(old.unionAll(meet(lists, vectors, longer, own)), LIST, longer))
+        now = state(lists)
+        if now == known:
+            return lists
         known = now
-    return lists
+
+
+def saturated(lists: DataFrame, longer: DataFrame, near: float) -> DataFrame:
+    """The nodes whose list, of its own length, is full of near pairs."""
+    ends = lists.filter(F.col("place").isin(LIST, 2 * LIST) & (F.col("sim") >= near))
+    ends = ends.join(longer.select("node", F.lit(2 * LIST).alias("_more")), "node", "left")
+    return ends.filter(F.col("place") == F.coalesce("_more", F.lit(LIST))).select("node").distinct()
+
+
+def joined_areas(pairs: DataFrame, lists: DataFrame, full: DataFrame, vectors: DataFrame, near: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The components (node, area) of near pairs with saturated nodes, and the near pairs with those found between them."""
+    trees = None
+    while True:
+        areas = cut_lineage(components(pairs).withColumnsRenamed({"component": "area"}))
+        hot = cut_lineage(areas.join(areas.join(full, "node").select("area").distinct(), "area").select("node", "area"))
+        if hot.select("area").distinct().count() < 2:
+            return hot, pairs
+        placed = cut_lineage(vectors.join(hot, "node"))
+        if trees is None:
+            trees = cut_lineage(forest(placed, seed))
+        one, two = hot.withColumnsRenamed({"node": "a", "area": "_a"}), hot.withColumnsRenamed({"node": "b", "area": "_b"})
+        start = trees.join(one, "a").join(two, "b").filter("_a <> _b").select("a", "b", "sim")
+        own = lists.join(hot.select("node"), "node").join(hot.select(F.col("node").alias("near")), "near").select("node", "near")
+        cross = descend(cut_lineage(best_lists(start, LIST)), placed, None, own)
+        cross = cross.filter(F.col("sim") >= near).select(F.col("node").alias("a"), F.col("near").alias("b"), "sim")
+        if cross.isEmpty():
+            return hot, pairs
+        pairs = cut_lineage(pairs.unionAll(cross))
 
 
 def exact_links(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -212,30 +254,49 @@ def cosines(x, y) -> np.ndarray:
     return (_units(pa.array([x])) * _units(pa.array([y]))).sum(1)[0]
 
 
-def link_counts(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """(node, links): rows linked to each node inside its group, all pairs, in blocks.
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """The first row of each row's connected component in a symmetric matrix."""
+    root = np.arange(len(linked))
+    open_ = linked.any(1)
+    for first in np.flatnonzero(open_):
+        at = np.array([first]) if open_[first] else np.array([], np.int64)
+        while len(at):
+            open_[at] = False
+            root[at] = first
+            at = np.flatnonzero(linked[at].any(0) & open_)
+    return root
+
+
+def swept_links(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(node, links, root) of all links with a saturated end inside each area, in blocks.
 
-    ``members`` has node and group. A pair of blocks gives one number per node.
+    ``members`` has node, area and full. A pair of blocks gives one row per node: the rows linked
+    to it there and a node it is connected with there.
     """
-    sizes = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(sizes, "group").join(nodes.select("node", "copies", "embedding"), "node")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "embedding")
+    sizes = members.groupBy("area").agg(
+        F.ceil(F.count_if("full") / BLOCK).cast("int").alias("head"), F.ceil(F.count_if(~F.col("full")) / BLOCK).cast("int").alias("tail")
+    )
+    rows = members.join(sizes, "area").join(nodes.select("node", "copies", "embedding"), "node")
+    # Saturated nodes fill the first blocks and meet all; the others meet only those.
+    place = F.when(F.col("full"), F.pmod(F.xxhash64("node"), F.col("head"))).otherwise(F.col("head") + F.pmod(F.xxhash64("node"), F.greatest("tail", F.lit(1))))
+    rows = rows.withColumn("block", place.cast("int"))
+    met = F.when(F.col("full"), F.col("head") + F.col("tail")).otherwise(F.col("head"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
+    rows = rows.select("area", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "embedding")
 
     def count(table: pa.Table) -> pa.Table:
         block, node, copies = (table[c].to_numpy() for c in ("block", "node", "copies"))
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         u = _units(table["embedding"].combine_chunks())
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        linked = u[left] @ u[right].T >= least
-        if i == j:
-            np.fill_diagonal(linked, False)
-            return pa.table({"node": node[left], "links": linked @ copies[right]})
-        return pa.table({"node": np.r_[node[left], node[right]], "links": np.r_[linked @ copies[right], copies[left] @ linked]})
+        near = u[left] @ u[right].T >= least
+        linked = np.zeros((len(u), len(u)), bool)
+        linked[np.ix_(left, right)] = near
+        linked[np.ix_(right, left)] = near.T
+        np.fill_diagonal(linked, False)
+        return pa.table({"node": node, "links": linked @ copies, "root": node[_roots(linked)]})
 
-    parts = rows.groupBy("group", "i", "j").applyInArrow(count, "node long, links long")
-    return parts.groupBy("node").agg(F.sum("links").alias("links"))
+    return rows.groupBy("area", "i", "j").applyInArrow(count, "node long, links long, root long")
 
 
 def audit(counted: DataFrame, nodes: DataFrame, least: float) -> float:
@@ -279,22 +340,25 @@ def link_vectors(vectors: DataFrame, least: float = 0.98) -> tuple[DataFrame, Da
     for attempt in range(3):
         trees = forest(small, 100 + attempt)
         start = trees if pairs is None else trees.unionAll(pairs)
-        lists = descend(cut_lineage(best_lists(start, LIST)), small, near, ROUNDS)
+        lists = descend(cut_lineage(best_lists(start, LIST)), small)
         # Saturated: the last place of a full list still is a near pair.
-        full = lists.filter((F.col("place") == LIST) & (F.col("sim") >= near)).select("node")
-        more = cut_lineage(full)
-        lists = descend(lists, small, near, 1, more)
+        more = cut_lineage(saturated(lists, lists.select("node").limit(0), near))
+        if not more.isEmpty():
+            lists = descend(lists, small, more)
+        full = cut_lineage(saturated(lists, more, near))
         pairs = lists.filter(F.col("sim") >= near).select(F.col("node").alias("a"), F.col("near").alias("b"), "sim")
+        areas, pairs = joined_areas(pairs, lists, full, small, near, 200 + attempt)
         candidates = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         links = cut_lineage(exact_links(candidates, nodes, least))
-        groups = cut_lineage(components(links).withColumnsRenamed({"component": "group"}))
-        still = lists.filter((F.col("place") == 2 * LIST) & (F.col("sim") >= near)).select("node")
-        whole = groups.join(still, "node").select("group").distinct()
-        swept = link_counts(groups.join(whole, "group"), nodes, least)
+        members = areas.join(full.withColumn("full", F.lit(True)), "node", "left").withColumn("full", F.coalesce("full", F.lit(False)))
+        swept = cut_lineage(swept_links(members, nodes, least))
+        joins = links.unionAll(swept.filter("node <> root").select("node", "root"))
+        groups = cut_lineage(components(joins).withColumnsRenamed({"component": "group"}))
+        # Links with a saturated end are counted in the sweep, the others from the lists.
         ends = links.select(F.col("a").alias("node"), F.col("b").alias("near")).unionAll(links.select("b", "a"))
-        listed = ends.join(nodes.select(F.col("node").alias("near"), "copies"), "near").groupBy("node").agg(F.sum("copies").alias("links"))
-        others = groups.join(whole, "group", "left_anti")
-        counted = swept.unionAll(listed.join(others.select("node"), "node").select("node", "links"))
+        ends = ends.join(full, "node", "left_anti").join(full.withColumnsRenamed({"node": "near"}), "near", "left_anti")
+        listed = ends.join(nodes.select(F.col("node").alias("near"), "copies"), "near").select("node", F.col("copies").alias("links"))
+        counted = listed.unionAll(swept.select("node", "links")).groupBy("node").agg(F.sum("links").alias("links"))
         counted = cut_lineage(counted.join(groups, "node"))
         recall = audit(counted.select("node", "links"), nodes, least)
         if recall >= LEAST_RECALL:

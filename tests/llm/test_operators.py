@@ -383,6 +383,26 @@ def test_near_vectors(spark, vectors):
     assert neighbours.near_vectors(df.limit(0)).count() == 0
 
 
+def close_groups(groups, size, seed, dim=24):
+    """Tight groups around centres that lie at a cosine of 0.983 of the first one."""
+    rng = np.random.default_rng(seed)
+    basis = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
+    centres = [basis[0], *[0.983 * basis[0] + np.sqrt(1 - 0.983**2) * basis[g] for g in range(1, groups)]]
+    return [[float(x) for x in c + rng.normal(size=dim) * 0.001] for c in centres for _ in range(size)]
+
+
+def test_near_vectors_between_saturated_groups(spark):
+    """Every list is full of the own group; the links to the next group are found all the same."""
+    vectors = close_groups(3, 20, 1)
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").withColumn("label", F.lit(1))
+    unit = np.array(vectors, np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.98).sum(1) - 1
+    assert linked[:20].tolist() == [59] * 20 and max(linked[20:]) == 39
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_vectors(df).collect()}
+    assert got == {k: (n, 0) for k, n in enumerate(linked)}
+
+
 def test_nearest_codes(spark, vectors):
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
     got = defaultdict(list)
