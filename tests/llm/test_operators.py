@@ -403,6 +403,25 @@ def test_near_vectors_between_saturated_groups(spark):
     assert got == {k: (n, 0) for k, n in enumerate(linked)}
 
 
+def test_audit_sees_missed_components(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    lone = rng.normal(size=(400, 24))
+    pairs = [v for c in rng.normal(size=(4, 24)) for v in (c, c * 2 + 0.001)]
+    hot = [rng.normal(size=24) * 0.001 + 1 for _ in range(80)]
+    rows = [("s", k, 1, [float(x) for x in v]) for k, v in enumerate([*lone, *pairs, *hot])]
+    nodes = spark.createDataFrame(rows, "space string, node long, copies long, embedding array<double>")
+    nothing = spark.createDataFrame([], "node long, links long, group long")
+    assert neighbours.audit(nothing, nodes, 0.98) == 0
+    assert neighbours.audit(nothing, nodes.filter("node < 400"), 0.98) == 1
+    hot_only = nodes.filter("node >= 408").select("node", F.lit(79).cast("long").alias("links"), F.lit(408).cast("long").alias("group"))
+    assert neighbours.audit(hot_only, nodes, 0.98) < 0.2
+    found = nodes.filter("node between 400 and 407").selectExpr("node", "1L as links", "node - node % 2 as group")
+    assert neighbours.audit(hot_only.unionAll(found), nodes, 0.98) == 1
+    monkeypatch.setattr(neighbours, "link_vectors", lambda *_: (None, None, 0.5))
+    with pytest.raises(RuntimeError, match="0.5000"):
+        neighbours.near_vectors(nodes)
+
+
 def test_nearest_codes(spark, vectors):
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
     got = defaultdict(list)
