@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fileledger.llm import hamming, language, minhash, mixing, neighbours, packing, quality, sharding, toxicity, url_filter
+from fileledger.llm import (
+    class_lm, hamming, language, minhash, mixing, neighbours, packing, prefix_trie, quality, resampling, sharding, toxicity, url_filter,
+)
+from fileledger.llm.common import held_out
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,6 +59,18 @@ def packed_documents(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(_read(spark, folder, "documents"))
 
 
+def text_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return class_lm.class_scores(_read(spark, folder, "documents"), held_out(F.col("doc_id"), 10, 0))
+
+
+def conversation_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.shared_conversation_trie(_read(spark, folder, "conversations"))
+
+
+def resampled_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"), longest=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": url_verdicts,
@@ -68,4 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": document_shards,
         "op9_hamming": nearest_vectors,
         "op10_packing": packed_documents,
+        "op11_class_lm": text_scores,
+        "op12_prefix_trie": conversation_nodes,
+        "op13_resampling": resampled_documents,
     }

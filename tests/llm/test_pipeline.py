@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+import __spark_entry__ as entry
 import corpus_pipeline
 from fileledger.llm import oracles, queries
 
@@ -23,10 +24,16 @@ def test_stages(spark):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_registered():
+    without_sql = {"pipeline", *(f"op{n}" for n in (1, 2, 4, 5, 6, 7, 8, 10, 11))}
+    mine = {q for q in entry.queries() if q == "pipeline" or q[:2] == "op" and q[2].isdigit()}
+    assert {q.split("_")[0] for q in mine - set(entry.oracle_sql())} == without_sql and len(mine) == 14
+
+
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         db.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     mine = queries.queries()[name](spark, FOLDER)
     columns = sorted(mine.columns)
