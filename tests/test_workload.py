@@ -8,6 +8,8 @@ import pytest
 
 import __spark_entry__ as entry
 from workload.check import _rows
+from workload.oracles import oracle_sql
+from workload.queries import queries
 
 SF = "/root/testdata/sf0.001"
 # The slow ones are checked by ``python -m workload.check``.
@@ -23,13 +25,14 @@ def db():
 
 
 def test_every_query_but_one_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"consolidation_rules"}
+    assert set(queries()) - set(oracle_sql()) == {"consolidation_rules"}
+    assert set(queries()) <= set(entry.queries()) and set(oracle_sql()) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(oracle_sql()) - SLOW))
 def test_query_equals_sql(spark, db, name):
-    frame = entry.queries()[name](spark, SF)
-    cursor = db.execute(entry.oracle_sql()[name])
+    frame = queries()[name](spark, SF)
+    cursor = db.execute(oracle_sql()[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(columns) == sorted(frame.columns)
     assert _rows(frame.columns, frame.collect()) == _rows(columns, cursor.fetchall())
