@@ -141,15 +141,15 @@ def test_exchange_reaches_a_maximum_and_parts_the_tongues():
         np.add.at(table, (line[:-1], line[1:]), 1)
 
     def likelihood(of):
-        member = np.eye(6)[np.append(of, [4, 5])]
+        member = np.eye(8)[np.append(of, [6, 7])]
         t = member.T @ table @ member
         return class_lm.x_log_x(t).sum() - class_lm.x_log_x(t.sum(0)).sum() - class_lm.x_log_x(t.sum(1)).sum()
 
-    of, classes_table = class_lm.exchange(table, 4)
-    member = np.eye(6)[np.append(of, [4, 5])]
+    of, classes_table = class_lm.exchange(table, 6)
+    member = np.eye(8)[np.append(of, [6, 7])]
     assert np.allclose(classes_table, member.T @ table @ member)
     for w in range(len(of)):  # no word can move to a better class
-        for k in range(4):
+        for k in range(6):
             assert likelihood(np.where(np.arange(len(of)) == w, k, of)) <= likelihood(of) + 1e-6
     assert not set(of[4:12]) & set(of[12:])
 
