@@ -3,8 +3,9 @@
 The graph of each vector's nearest vectors starts from a forest of random projections:
 vectors are range-sorted by the signs of random projections and meet their successors.
 Then neighbours of neighbours are joined: a vector's neighbours, both ways, come together in
-one place and are compared with each other, and lists keep the best. Rounds go on until none
-changes a list.
+one place and are compared with each other, and lists keep the best. Two neighbours that have
+met before do not meet again: a pair needs one entry that is new since the last round. Rounds
+end when hardly an entry is new; the audit decides whether that was enough.
 
 A list that is full of near pairs is saturated: there may be more. Such lists are enlarged,
 first to twice the length with more rounds, then, where they are full again, to the whole
@@ -37,6 +38,8 @@ TREES = 14
 SIGNS = 24
 SUCCESSORS = 3
 LIST = 6
+#: Share of new list entries at which rounds end (delta of the paper).
+FEW_NEW = 0.001
 #: Cosine by which rounded vectors may fall short of the exact one.
 ROUNDING = 0.02
 #: Neighbours that meet in one task; a hub's others meet in groups of the same size.
@@ -135,9 +138,13 @@ def forest(vectors: DataFrame, seed: int) -> DataFrame:
 
 
 def best_lists(pairs: DataFrame, length: int, longer: DataFrame | None = None) -> DataFrame:
-    """The ``length`` best neighbours of each node, of nodes in ``longer`` twice as many: node, near, sim, place."""
-    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("near"), "sim").unionAll(pairs.select("b", "a", "sim"))
-    each = both.groupBy("node", "near").agg(F.max("sim").alias("sim"))
+    """The ``length`` best neighbours of each node, of nodes in ``longer`` twice as many: node, near, sim, place, fresh.
+
+    Entries are fresh unless a pair with a column ``old`` says otherwise.
+    """
+    pairs = pairs if "old" in pairs.columns else pairs.withColumn("old", F.lit(False))
+    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("near"), "sim", "old").unionAll(pairs.select("b", "a", "sim", "old"))
+    each = both.groupBy("node", "near").agg(F.max("sim").alias("sim"), (~F.max("old")).alias("fresh"))
     ranked = each.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("sim"), "near")))
     if longer is None:
         return ranked.filter(F.col("place") <= length)
@@ -148,22 +155,24 @@ def best_lists(pairs: DataFrame, length: int, longer: DataFrame | None = None) -
 def meet(lists: DataFrame, vectors: DataFrame, longer: DataFrame | None = None, own: DataFrame | None = None) -> DataFrame:
     """(a, b, sim) of neighbours of a common node that would enter the list of one of them.
 
-    Where ``vectors`` has an area, pairs of one area are left out; ``own`` has the neighbours
+    One of the two entries is fresh. Where ``vectors`` has an area, pairs of one area are left out; ``own`` has the neighbours
     inside the areas, which meet the others too.
     """
     full = lists.groupBy("node").agg(F.min("sim").alias("floor"), F.count("*").alias("entries")).withColumn("length", F.lit(LIST))
     if longer is not None:
         full = full.join(longer.select("node", F.lit(2 * LIST).alias("_more")), "node", "left").withColumn("length", F.coalesce("_more", "length"))
     full = full.filter("entries >= length").select("node", "floor")
-    near = lists.select("node", "near") if own is None else lists.select("node", "near").unionAll(own.select("node", "near"))
-    ways = near.select(F.col("node").alias("centre"), F.col("near").alias("node")).unionAll(near.select(F.col("near").alias("centre"), "node"))
-    ways = ways.distinct()
+    near = lists.select("node", "near", "fresh")
+    near = near if own is None else near.unionAll(own.select("node", "near", F.lit(False)))
+    ways = near.select(F.col("node").alias("centre"), F.col("near").alias("node"), "fresh").unionAll(near.select(F.col("near").alias("centre"), "node", "fresh"))
+    ways = ways.groupBy("centre", "node").agg(F.max("fresh").alias("fresh"))
     # The neighbours of a hub meet in random groups of about MEETING.
-    sizes = ways.groupBy("centre").agg(F.ceil(F.count("*") / MEETING).alias("groups"))
+    sizes = ways.groupBy("centre").agg(F.ceil(F.count("*") / MEETING).alias("groups"), F.max("fresh").alias("_any"))
+    sizes = sizes.filter("_any").drop("_any")
     ways = ways.join(sizes, "centre").withColumn("part", F.pmod(F.xxhash64("node", "centre"), F.col("groups")))
     area = F.col("area") if "area" in vectors.columns else F.col("node")
     rows = ways.join(vectors.select("node", area.alias("area"), "v"), "node").join(full, "node", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)).cast("float"))
-    rows = rows.select("centre", "part", "node", "area", "floor", "v").repartition("centre", "part").sortWithinPartitions("centre", "part", "node")
+    rows = rows.select("centre", "part", "node", "area", "floor", "fresh", "v").repartition("centre", "part").sortWithinPartitions("centre", "part", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -183,7 +192,7 @@ def meet(lists: DataFrame, vectors: DataFrame, longer: DataFrame | None = None,
         return table.slice(0, cut), table.slice(cut)
 
     def found_in(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        c, p, node, area, floor = (table[x].to_numpy() for x in ("centre", "part", "node", "area", "floor"))
+        c, p, node, area, floor, fresh = (table[x].to_numpy() for x in ("centre", "part", "node", "area", "floor", "fresh"))
         edge = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (p[1:] != p[:-1])])
         values = table["v"].to_pylist()
         a, b, s = [], [], []
@@ -192,8 +201,9 @@ def meet(lists: DataFrame, vectors: DataFrame, longer: DataFrame | None = None,
                 continue
             x = _small(values[start:end])
             sim = x @ x.T
-            low, at = floor[start:end], area[start:end]
-            i, j = np.nonzero(np.triu((sim > np.minimum(low[:, None], low[None, :])) & (at[:, None] != at[None, :]), 1))
+            low, at, new = floor[start:end], area[start:end], fresh[start:end]
+            wanted = (sim > np.minimum(low[:, None], low[None, :])) & (at[:, None] != at[None, :]) & (new[:, None] | new[None, :])
+            i, j = np.nonzero(np.triu(wanted, 1))
             a.append(node[start + i]), b.append(node[start + j]), s.append(sim[i, j])
         if a:
             pairs = pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "sim": np.concatenate(s).astype(np.float32)})
@@ -203,19 +213,14 @@ def meet(lists: DataFrame, vectors: DataFrame, longer: DataFrame | None = None,
 
 
 def descend(lists: DataFrame, vectors: DataFrame, longer: DataFrame | None = None, own: DataFrame | None = None) -> DataFrame:
-    """Rounds of meeting until no list has a new entry."""
-
-    def state(lists: DataFrame) -> tuple:
-        return tuple(lists.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "near"))).first())
-
-    known = state(lists)
+    """Rounds of meeting until at most FEW_NEW of all entries are new."""
     while True:
-        old = lists.select(F.col("node").alias("a"), F.col("near").alias("b"), "sim")
-        lists = cut_lineage(best_lists(old.unionAll(meet(lists, vectors, longer, own)), LIST, longer))
-        now = state(lists)
-        if now == known:
+        old = lists.select(F.col("node").alias("a"), F.col("near").alias("b"), "sim", F.lit(True).alias("old"))
+        met = meet(lists, vectors, longer, own).withColumn("old", F.lit(False))
+        lists = cut_lineage(best_lists(old.unionAll(met), LIST, longer))
+        size = lists.agg(F.count("*").alias("n"), F.count_if("fresh").alias("fresh")).first()
+        if size["fresh"] <= FEW_NEW * size["n"]:
             return lists
-        known = now
 
 
 def saturated(lists: DataFrame, longer: DataFrame, near: float) -> DataFrame:
@@ -389,7 +394,8 @@ def link_vectors(vectors: DataFrame, least: float = 0.98) -> tuple[DataFrame, Da
         # Saturated: the last place of a full list still is a near pair.
         more = cut_lineage(saturated(lists, lists.select("node").limit(0), near))
         if not more.isEmpty():
-            lists = descend(lists, small, more)
+            # Longer lists take in more of what has met before, so all entries meet once more.
+            lists = descend(lists.withColumn("fresh", F.lit(True)), small, more)
         full = cut_lineage(saturated(lists, more, near))
         pairs = lists.filter(F.col("sim") >= near).select(F.col("node").alias("a"), F.col("near").alias("b"), "sim")
         areas, pairs = joined_areas(pairs, lists, full, small, near, 200 + attempt)
