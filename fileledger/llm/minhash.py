@@ -13,7 +13,8 @@ and the one that shares most buckets with others, as the original of many copies
 a large group of near copies costs two pairs a node. Whatever
 the verified links leave apart is then compared in full: small buckets by a join, large ones
 block by block inside tasks, which get the full sets along with the registers, decide the pairs
-whose estimate passes, and hand on only links that join two groups.
+whose estimate passes, and hand on only links that join two groups. Nodes of a bucket's largest
+group meet only those outside it, so that one outsider costs a large group one pass.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fileledger.llm.common import components, in_few_tasks
@@ -156,14 +157,20 @@ def set_id(hashes: np.ndarray) -> tuple[int, int]:
     return (digest & (2**64 - 1)) - 2**63, (digest >> 64) - 2**63
 
 
+def row_keys() -> list[Column]:
+    """128 bits that tell rows of different id or text apart; null ids count too."""
+    text = F.col("text")
+    return [F.xxhash64("doc_id", text).alias("row1"), F.xxhash64(F.lit("row"), text, "doc_id").alias("row2")]
+
+
 def sketch_documents(docs: DataFrame, width: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, node (id of the set, null for an empty one), node2, registers."""
+    """Per row: doc_id, row1, row2, n_shingles, node and node2 (id of the set, null for an empty one), registers."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, order = Shingles(width), fill_order()
         for batch in batches:
             n, node, node2, regs = [], [], [], []
-            for value in batch.column(1):
+            for value in batch.column(3):
                 h = shingles(value.as_py() or "")
                 n.append(len(h))
                 if len(h):
@@ -173,12 +180,24 @@ def sketch_documents(docs: DataFrame, width: int) -> DataFrame:
                 else:
                     node.append(None), node2.append(None), regs.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(node2, pa.int64()), pa.array(regs, pa.binary())],
-                ["doc_id", "n_shingles", "node", "node2", "registers"],
+                [*batch.columns[:3], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(node2, pa.int64()), pa.array(regs, pa.binary())],
+                ["doc_id", "row1", "row2", "n_shingles", "node", "node2", "registers"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sketch, f"doc_id {kind}, n_shingles long, node long, node2 long, registers binary")
+    shape = f"doc_id {kind}, row1 long, row2 long, n_shingles long, node long, node2 long, registers binary"
+    return docs.select("doc_id", *row_keys(), "text").mapInArrow(sketch, shape)
+
+
+def with_own_nodes(rows: DataFrame) -> DataFrame:
+    """Give sets that share the first half of their digest by chance, but for one, the second half as node."""
+    halves = rows.filter("node is not null").groupBy("node").agg(F.min("node2").alias("low"), F.max("node2").alias("high"))
+    clashes = cut_lineage(halves.filter("low <> high").select("node", "low"))
+    if clashes.isEmpty():
+        return rows
+    moved = rows.join(clashes, "node", "left")
+    moved = moved.withColumn("node", F.when(F.col("low").isNotNull() & (F.col("node2") != F.col("low")), F.col("node2")).otherwise(F.col("node")))
+    return cut_lineage(moved.select(*rows.columns))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -226,14 +245,15 @@ def passing(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
 
 def node_texts(wanted: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
-    """(node, text) of the wanted nodes, by the id of a row that has the text.
+    """(node, text) of the wanted nodes, once each, by the key of a row that has the text.
 
-    The few ids are broadcast where they are counted to be few, so that other texts are not
-    moved. A repeated id brings texts of other nodes too.
+    The few keys are broadcast where they are counted to be few, so that other texts are not
+    moved.
     """
     wanted = in_few_tasks(owners.join(wanted, "node"))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
-    return docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text")
+    found = docs.select(*row_keys(), "text").join(wanted, ["row1", "row2"])
+    return found.groupBy("node").agg(F.first("text").alias("text"))
 
 
 def node_sets(wanted: DataFrame, docs: DataFrame, owners: DataFrame, width: int) -> DataFrame:
@@ -242,12 +262,10 @@ def node_sets(wanted: DataFrame, docs: DataFrame, owners: DataFrame, width: int)
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
         for batch in batches:
-            hashes = [shingles(text.as_py() or "") for text in batch.column(1)]
-            own = [set_id(h)[0] == n for h, n in zip(hashes, batch.column(0).to_pylist(), strict=True)]
-            found = pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in hashes], pa.binary())], ["node", "hashes"])
-            yield found.filter(pa.array(own, pa.bool_()))
+            hashes = [shingles(text.as_py()) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.tobytes() for h in hashes], pa.binary())], ["node", "hashes"])
 
-    return node_texts(wanted, docs, owners).mapInArrow(sets, "node long, hashes binary").dropDuplicates(["node"])
+    return node_texts(wanted, docs, owners).mapInArrow(sets, "node long, hashes binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, width: int, percent: int) -> DataFrame:
@@ -257,25 +275,19 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, width: int, p
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(width)
-        last: dict[int, np.ndarray | None] = {}
+        last: dict[int, np.ndarray] = {}
 
-        def whole(node: int, text: str) -> np.ndarray | None:
-            """The set of a node; None where a repeated id brought the text of another node."""
+        def whole(node: int, text: pa.Scalar) -> np.ndarray:
             if node not in last:
                 if len(last) > 64:
                     last.clear()
-                h = shingles(text)
-                last[node] = h if set_id(h)[0] == node else None
+                last[node] = shingles(text.as_py())
             return last[node]
 
         for batch in batches:
             keep = []
             for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                p, q = whole(a, x.as_py()), whole(b, y.as_py())
-                if p is None or q is None:
-                    last.pop(a if p is None else b, None)
-                    keep.append(False)
-                    continue
+                p, q = whole(a, x), whole(b, y)
                 common = int(np.isin(p, q, assume_unique=True, kind="sort").sum())
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
@@ -328,8 +340,11 @@ def apart(
     reach the threshold, and verified links of large ones."""
     threshold = percent / 100
     placed = members.select("key", "node").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    open_keys = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("group").alias("g1"), F.max("group").alias("g2")).filter("g1 <> g2")
-    placed = cut_lineage(placed.join(open_keys.select("key", "size"), "key"))
+    counts = placed.groupBy("key", "group").agg(F.count("*").alias("n"))
+    largest = F.max(F.struct("n", "group"))
+    open_keys = counts.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("groups"), largest["n"].alias("most"), largest["group"].alias("main"))
+    open_keys = open_keys.filter("groups > 1").select("key", "size", "most", "main")
+    placed = cut_lineage(placed.join(open_keys, "key"))
     small = placed.filter(F.col("size") <= SMALL_BUCKET)
     other = small.select("key", F.col("node").alias("b"), F.col("group").alias("group_b"))
     pairs = small.join(other, "key").filter("node < b and group <> group_b").select(F.col("node").alias("a"), "b").distinct()
@@ -339,9 +354,12 @@ def apart(
     large = placed.filter(F.col("size") > SMALL_BUCKET)
     sets = node_sets(large.select("node").distinct(), docs, owners, width)
     large = large.join(nodes.select("node", "registers").join(sets, "node"), "node")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    large = large.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    meets = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    # Outsiders fill the first blocks and meet all; the main group meets only those.
+    head, tail = F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int"), F.ceil(F.col("most") / BLOCK).cast("int")
+    inside = F.col("group") == F.col("main")
+    block = F.when(inside, head + F.pmod(F.xxhash64("node"), tail)).otherwise(F.pmod(F.xxhash64("node"), head))
+    large = large.withColumn("block", block.cast("int"))
+    meets = F.explode(F.sequence(F.lit(0), F.when(inside, head).otherwise(head + tail) - 1)).alias("other")
     large = large.select("key", "node", "group", "registers", "hashes", "block", meets)
     large = large.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "group", "registers", "hashes")
     by_block = large.groupBy("key", "i", "j").applyInArrow(lambda t: links_between(t, threshold, percent), "a long, b long")
@@ -360,10 +378,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     empty table gives an empty result; other columns are ignored.
     """
     threshold = percent / 100
-    rows = cut_lineage(sketch_documents(docs, width))
+    rows = with_own_nodes(cut_lineage(sketch_documents(docs, width)))
     filled = rows.filter("node is not null")
     nodes = cut_lineage(filled.select("node", "n_shingles", "registers").dropDuplicates(["node"]))
-    owners = filled.filter("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    owners = filled.groupBy("node").agg(F.min(F.struct("row1", "row2")).alias("row")).select("node", "row.*")
     keys = band_keys(nodes)
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).filter("n > 1")
     members = cut_lineage(keys.join(shared, "key"))

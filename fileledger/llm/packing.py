@@ -17,8 +17,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,19 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
+class Remembered(dict):
+    """A dictionary that finds what it lacks, and starts anew when full."""
+
+    def __init__(self, find: Callable, most: int) -> None:
+        self.find, self.most = find, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        found = self[key] = self.find(key)
+        return found
+
+
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit bytes, with a bounded memory of words.
 
@@ -62,9 +76,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.words: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-        self.remembered = remembered
+        self.words = Remembered(self.word, remembered)
+        self.runs = Remembered(self.run, remembered)
         steps = json.loads(tokenizer_json)
         normalizers = (steps["normalizer"] or {}).get("normalizers")
         cutters = (steps["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
@@ -74,32 +87,23 @@ class WordIds:
             and all("<|" in t["content"] for t in steps["added_tokens"])
         )
         self.letters = byte_letters()
+        self.merge = self.tokenizer.model.tokenize
 
     def run(self, run: str) -> bytes:
-        found = self.runs.get(run)
-        if found is None:
-            if len(self.runs) > self.remembered:
-                self.runs.clear()
-            merged = self.tokenizer.model.tokenize(run.encode().decode("latin-1").translate(self.letters))
-            found = self.runs[run] = np.array([t.id for t in merged], "<u4").tobytes()
-        return found
-
-    def word(self, word: str) -> bytes:
-        if self.direct and PLAIN.fullmatch(word) and "<|" not in word:
-            return b"".join(map(self.run, RUNS.findall(word.lower())))
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        # Printable ASCII stands for itself.
+        merged = self.merge(run if run.isascii() else run.encode().decode("latin-1").translate(self.letters))
+        return struct.pack(f"<{len(merged)}I", *[t.id for t in merged])
+
+    def word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if self.direct and PLAIN.fullmatch(text) and "<|" not in text:
+            low = text.lower()
+            # Letters of Latin-1 are one run.
+            return self.runs[low] if low.isalpha() else b"".join(map(self.runs.__getitem__, RUNS.findall(low)))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        words = text.encode().split()
-        if len(self.words) > self.remembered:
-            self.words.clear()
-        known = self.words
-        parts = list(map(known.get, words))
-        if None in parts:
-            for w in {w for w, p in zip(words, parts, strict=True) if p is None}:
-                known[w] = self.word(w.decode())
-            parts = list(map(known.get, words))
-        return b"".join(parts)
+        return b"".join(map(self.words.__getitem__, text.encode().split()))
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int) -> DataFrame:

@@ -301,6 +301,55 @@ def test_near_duplicates(spark, rows, empty, width, percent):
     assert minhash.near_duplicates(empty, width, percent).count() == 0
 
 
+def base_words(changed=0):
+    return [*[f"w{k}" for k in range(200 - changed)], *[f"x{m}" for m in range(changed)]]
+
+
+def chain(spark, ids):
+    """Texts whose neighbours in the list are alike, the others not."""
+    texts = [" ".join(base_words(9 * k)) for k in range(len(ids))]
+    return table(spark, [(i, t, "en", "a") for i, t in zip(ids, texts, strict=True)])
+
+
+@pytest.mark.parametrize("ids", [(1, None, 3), (1, 2, 3), (1, 7, 7), (7, 7, 3), (5, None, None, None, 9)])
+def test_rows_without_or_with_repeated_ids_bridge(spark, ids):
+    got = minhash.near_duplicates(chain(spark, ids), 3, 85).collect()
+    low = min(i for i in ids if i is not None)
+    assert [r.component_id for r in got] == [low] * len(ids)
+    first, third = ({tuple(w[k : k + 3]) for k in range(198)} for w in ([*base_words()], [*base_words(18)]))
+    assert 100 * len(first & third) < 85 * len(first | third)
+
+
+def test_clashing_first_halves_stay_apart(spark, monkeypatch):
+    whole = minhash.set_id
+    monkeypatch.setattr(minhash, "set_id", lambda h: (whole(h)[0] % 3, whole(h)[1]))
+    data = [(i, text(i, 60), "en", "a") for i in range(40)]
+    got = minhash.near_duplicates(table(spark, [*data, (50, data[4][1], "en", "a")]), 3, 85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [*((i, i) for i in range(40)), (50, 4)]
+
+
+def test_outsiders_of_a_large_bucket_meet_all(spark, monkeypatch):
+    """Near copies in one large bucket: blocks small enough that the main group fills several."""
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 4)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng, base, out = random.Random(4), [f"w{k}" for k in range(300)], []
+    for i in range(90):
+        words = list(base)
+        for _ in range(i % 16):
+            words[rng.randrange(300)] = f"c{rng.randrange(9999)}"
+        out.append((i, " ".join(words), "en", "a"))
+    sets = [{tuple(t.split()[k : k + 3]) for k in range(298)} for _, t, _, _ in out]
+    root = list(range(90))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in range(90):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = minhash.near_duplicates(table(spark, out), 3, 85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, find(i)) for i in range(90)]
+
+
 def test_estimate_is_near_the_similarity():
     order, rng = minhash.fill_order(), np.random.default_rng(1)
     for n in (40, 400, 4000):
