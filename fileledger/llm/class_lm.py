@@ -8,9 +8,11 @@ the class that gains the likelihood most for the classes around it (Uszkoreit an
 exchange words in such batches too).
 
 Texts are read once and become blocks: token ids, numbered inside the block, and the block's
-words. What else is shuffled is one row for each word of a block, never one for each token, so
-no word is hot: the later steps look up numbers by position. Known words give a discount of
-their counts to the unknown word, class by class; transitions are smoothed with class shares.
+words, compressed. What else is shuffled is one row for each word of a block, never one for each
+token, so no word is hot: the later steps look up numbers by position. Known words give a
+discount of their counts to the unknown word, class by class; transitions are smoothed with
+class shares. Sizes of classes and vocabulary are the same for all tokens of a kind, so they
+enter the scores at the end and the blocks meet the word counts only once.
 """
 
 from __future__ import annotations
@@ -36,14 +38,36 @@ CLASSES = 100
 ROUNDS = 10
 #: Pseudo-count of the class shares in each row of transitions.
 SHARE_WEIGHT = 5.0
-#: Bits of a packed count; the context's number lies above.
-COUNT_BITS = 48
+#: Taken from the count of each known word.
+DISCOUNT = 0.75
+#: Words that may be core words, to be broadcast at most; more are joined by shuffle.
+BROADCAST_WORDS = 200_000
+#: Bits of a packed count; the context's number lies in the eight above.
+COUNT_BITS = 24
+#: The place of a block's own row behind the rows of its words.
+BEHIND = 2**31 - 1
 
 BLOCK = "block long, n_docs long, doc_ids array<{id}>, held binary, lengths binary, ids binary, words binary, counts binary, train_docs long, train_tokens long"
 
 
-def as_bytes(x: np.ndarray) -> pa.Array:
-    return pa.array([x.tobytes()], pa.binary())
+def pack(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def unpack(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def packed(x: np.ndarray) -> pa.Array:
+    return pa.array([pack(x.tobytes())], pa.binary())
+
+
+def numbers(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(unpack(data), kind)
 
 
 def token_blocks(docs: DataFrame, held: Column) -> DataFrame:
@@ -64,8 +88,8 @@ def token_blocks(docs: DataFrame, held: Column) -> DataFrame:
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([block]), pa.array([len(tokens)]), pa.ListArray.from_arrays([0, len(tokens)], pa.concat_arrays(doc_ids)),
-                    as_bytes(out), as_bytes(lengths), as_bytes(flat), pa.array([b" ".join(ids)], pa.binary()),
-                    as_bytes(counts.astype(np.int32)), pa.array([int((~out).sum())]), pa.array([int(counts.sum())]),
+                    packed(out), packed(lengths), packed(flat), pa.array([pack(b" ".join(ids))], pa.binary()),
+                    packed(counts.astype(np.int32)), pa.array([int((~out).sum())]), pa.array([int(counts.sum())]),
                 ],
                 ["block", "n_docs", "doc_ids", "held", "lengths", "ids", "words", "counts", "train_docs", "train_tokens"],
             )
@@ -93,21 +117,32 @@ def token_blocks(docs: DataFrame, held: Column) -> DataFrame:
 
 
 def word_list(words: bytes) -> list[bytes]:
-    return words.split(b" ") if words else []
+    return unpack(words).split()
 
 
-def core_words(blocks: DataFrame, least: float) -> dict[bytes, int]:
-    """Words counted at least so often in the training texts, the most frequent first."""
+def core_words(blocks: DataFrame, share: float, least: float) -> dict[bytes, int]:
+    """Words of at least a share of all training tokens, ``least`` in number, the most frequent first.
+
+    Such a word has the share in some block: only words of which that is true are summed up.
+    """
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, counts, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = np.flatnonzero(numbers(counts, np.int32) >= max(1.0, share * total))
+                yield pa.RecordBatch.from_arrays([pa.array(word_list(words), pa.binary()).take(pa.array(at))], ["word"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(word_list(words), pa.binary()), pa.array(np.frombuffer(counts, np.int32).astype(np.int64))], ["word", "n"]
-                )
-
-    rows = blocks.select("words", "counts").mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    core = [(bytes(r["word"]), r["n"]) for r in rows.filter(F.col("n") >= F.lit(least)).collect()]
+                n = pa.array(numbers(counts, np.int32).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(word_list(words), pa.binary()), n], ["word", "n"])
+
+    some = cut_lineage(blocks.select("words", "counts", "train_tokens").mapInArrow(frequent, "word binary").distinct())
+    some = F.broadcast(some) if some.count() <= BROADCAST_WORDS else some
+    rows = blocks.select("words", "counts").mapInArrow(counted, "word binary, n long").join(some, "word")
+    rows = rows.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= F.lit(least))
+    core = [(bytes(r["word"]), r["n"]) for r in rows.collect()]  # at most 1 / share
     return dict(sorted(core, key=lambda x: (-x[1], x[0])))
 
 
@@ -124,7 +159,7 @@ def text_line(codes: np.ndarray, ids: np.ndarray, lengths: np.ndarray, end: int)
 
 
 def training_part(held: bytes, lengths: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
-    out, size, flat = np.frombuffer(held, bool), np.frombuffer(lengths, np.int32), np.frombuffer(ids, np.int32)
+    out, size, flat = numbers(held, bool), numbers(lengths, np.int32), numbers(ids, np.int32)
     return flat[~np.repeat(out, size)], size[~out]
 
 
@@ -209,20 +244,32 @@ def context_gains(table: np.ndarray, classes: int) -> np.ndarray:
     return np.concatenate([gain[:, :classes], gain[:classes, :].T])
 
 
+def packed_contexts(pair: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words and packed (context, count) of pairs word * wide + context."""
+    pair, n = np.unique(pair, return_counts=True)
+    most = (1 << COUNT_BITS) - 1
+    parts = -(-n // most)  # a count beyond the bits becomes several
+    pair, n, parts = (np.repeat(x, parts) for x in (pair, n, parts))
+    if len(n) and parts.max() > 1:
+        first = np.r_[True, pair[1:] != pair[:-1]]
+        n = np.where(first, n - (parts - 1) * most, most)
+    return pair // wide, (((pair % wide) << COUNT_BITS) + n).astype(np.uint32)
+
+
 def other_words(blocks: DataFrame, core: dict[bytes, int], of: np.ndarray, table: np.ndarray, classes: int) -> DataFrame:
     """Per block and word outside the core: block, at, n (training count), class, lead.
 
     The contexts of a word in each block meet in one place, as classes; the word joins the class
     that they gain most in, ties the first. One row of each word is its lead.
     """
-    wide = classes + 2
+    wide = 2 * (classes + 2)
     sent = blocks.sparkSession.sparkContext.broadcast(({w: n for n, w in enumerate(core)}, np.append(of, classes), context_gains(table, classes)))
     other = len(core)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, class_of, _ = sent.value
         for batch in batches:
-            for block, held, lengths, ids, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, held, lengths, ids, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 listed = word_list(words)
                 codes = codes_of(listed, known, other)
                 rare = codes == other
@@ -230,17 +277,13 @@ def other_words(blocks: DataFrame, core: dict[bytes, int], of: np.ndarray, table
                 near = text_line(class_of[codes].astype(np.int64), flat, size, classes + 1)
                 word = text_line(np.arange(len(listed)), flat, size, -1)
                 at = np.flatnonzero((word >= 0) & np.append(rare, False)[word])
-                pair = np.concatenate([word[at] * (2 * wide) + near[at - 1], word[at] * (2 * wide) + wide + near[at + 1]])
-                pair, n = np.unique(pair, return_counts=True)
-                packed = ((pair % (2 * wide)) << COUNT_BITS) + n
+                word, context = packed_contexts(np.concatenate([word[at] * wide + near[at - 1], word[at] * wide + wide // 2 + near[at + 1]]), wide)
                 rows = np.flatnonzero(rare)
-                sizes = np.bincount(pair // (2 * wide), minlength=len(listed))[rows]
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * 8
-                context = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(packed.tobytes())])
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(listed))[rows])]).astype(np.int32) * 4
+                context = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(context.tobytes())])
                 text = pa.array(listed, pa.binary()).take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [text, pa.array(np.full(len(rows), block)), pa.array(rows.astype(np.int32)), pa.array(np.frombuffer(counts, np.int32)[rows].astype(np.int64)), context],
-                    ["word", "block", "at", "n", "context"],
+                    [text, pa.array(np.full(len(rows), block)), pa.array(rows.astype(np.int32)), context], ["word", "block", "at", "context"]
                 )
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,16 +291,15 @@ def other_words(blocks: DataFrame, core: dict[bytes, int], of: np.ndarray, table
         rest: list[pa.RecordBatch] = []
 
         def decided(rows: pa.Table) -> pa.RecordBatch:
-            word, block, at, n, context = (c.combine_chunks() for c in rows.columns)
+            word, block, at, context = (c.combine_chunks() for c in rows.columns)
             first = np.ones(len(word), bool)
             first[1:] = pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)
             no = np.cumsum(first) - 1
-            total = np.add.reduceat(n.to_numpy(), np.flatnonzero(first))
-            sizes = pc.binary_length(context).to_numpy() // 8
-            packed = np.frombuffer(b"".join(context.to_pylist()), np.int64)
-            cell = np.repeat(no, sizes) * (2 * wide) + (packed >> COUNT_BITS)
-            seen = np.bincount(cell, packed & ((1 << COUNT_BITS) - 1), minlength=len(total) * 2 * wide)
-            best = (seen.reshape(len(total), 2 * wide) @ gains).argmax(1)
+            found = np.frombuffer(b"".join(context.to_pylist()), np.uint32).astype(np.int64)
+            cell = np.repeat(no, pc.binary_length(context).to_numpy() // 4) * wide + (found >> COUNT_BITS)
+            seen = np.bincount(cell, found & ((1 << COUNT_BITS) - 1), minlength=(no[-1] + 1) * wide).reshape(-1, wide)
+            total = seen[:, : wide // 2].sum(1).astype(np.int64)  # each token has one token before it
+            best = (seen @ gains).argmax(1)
             return pa.RecordBatch.from_arrays(
                 [block, at, pa.array(total[no]), pa.array(best[no].astype(np.int16)), pa.array(first)], ["block", "at", "n", "class", "lead"]
             )
@@ -265,7 +307,7 @@ def other_words(blocks: DataFrame, core: dict[bytes, int], of: np.ndarray, table
         for batch in batches:
             word = batch.column(0)
             whole = int(np.argmax(pc.equal(word, word[-1]).to_numpy(zero_copy_only=False)))  # rows are sorted
-            if rest and rest[-1].column(0)[-1] == word[0] and whole == 0:
+            if rest and whole == 0 and rest[-1].column(0)[-1] == word[0]:
                 rest.append(batch)
                 continue
             ready = pa.Table.from_batches([*rest, batch.slice(0, whole)])
@@ -275,129 +317,108 @@ def other_words(blocks: DataFrame, core: dict[bytes, int], of: np.ndarray, table
         if rest:
             yield decided(pa.Table.from_batches(rest))
 
-    rows = blocks.select("block", "held", "lengths", "ids", "words", "counts").mapInArrow(
-        contexts, "word binary, block long, at int, n long, context binary"
-    )
+    rows = blocks.select("block", "held", "lengths", "ids", "words").mapInArrow(contexts, "word binary, block long, at int, context binary")
     sorted_rows = rows.repartition(shuffle_partitions(blocks.sparkSession), "word").sortWithinPartitions("word", "block")
-    return cut_lineage(sorted_rows.mapInArrow(joined, "block long, at int, n long, class short, lead boolean"))
+    return sorted_rows.mapInArrow(joined, "block long, at int, n long, class short, lead boolean")
 
 
-def class_totals(words: DataFrame, core: dict[bytes, int], of: np.ndarray, classes: int) -> dict[str, np.ndarray | int]:
-    """Tokens and distinct words of each class, and how many words were counted once and twice."""
-    sums = words.filter("lead AND n > 0").groupBy("class").agg(
-        F.sum("n").alias("n"), F.count("*").alias("kinds"),
-        F.count(F.when(F.col("n") == 1, 1)).alias("once"), F.count(F.when(F.col("n") == 2, 1)).alias("twice"),
-    )
-    n, kinds, once, twice = np.zeros(classes), np.zeros(classes), 0, 0
-    for row in sums.collect():  # one row a class
-        n[row["class"]], kinds[row["class"]] = row["n"], row["kinds"]
-        once, twice = once + row["once"], twice + row["twice"]
-    np.add.at(n, of, list(core.values()) or np.zeros(0))
-    np.add.at(kinds, of, 1)
-    once += sum(c == 1 for c in core.values())
-    twice += sum(c == 2 for c in core.values())
-    discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.1
-    return {"n": n, "kinds": kinds, "discount": discount}
-
-
-def token_states(
-    blocks: DataFrame, words: DataFrame, core: dict[bytes, int], of: np.ndarray, totals: dict, classes: int, train_tokens: int, train_docs: int,
-) -> DataFrame:
-    """Blocks with the scores of their documents but for the transitions, which are counted."""
+def token_states(blocks: DataFrame, words: DataFrame, core: dict[bytes, int], of: np.ndarray, classes: int, train_docs: int) -> DataFrame:
+    """Blocks with what is sure of their documents' scores, and counts of class transitions.
+
+    ``base`` sums log10(c + 0.1), ``inside`` log10(c - DISCOUNT) over the known words; ``pairs``
+    has each token's class behind the one before it, ``moves`` their training counts, ``kinds``
+    the leading words of each class.
+    """
     kind = blocks.schema["doc_ids"].dataType.simpleString()
     wide = classes + 2
-    n_words = int(totals["kinds"].sum()) + (train_docs > 0)
     sent = blocks.sparkSession.sparkContext.broadcast(
-        ({w: n for n, w in enumerate(core)}, np.append(np.array(list(core.values()), np.int64), 0), np.append(of, classes + 1), totals)
+        ({w: n for n, w in enumerate(core)}, np.append(np.array(list(core.values()), np.int64), 0), np.append(of, classes + 1))
     )
     other = len(core)
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, kept = None, []
-
-        def row() -> pa.RecordBatch:
-            at, n, cls = (np.concatenate([k[i] for k in kept]) for i in range(3))
-            return pa.RecordBatch.from_arrays([pa.array([now]), as_bytes(at), as_bytes(n), as_bytes(cls)], ["in_block", "at", "n", "class"])
-
-        for batch in batches:
-            block, at, n, cls = (c.to_numpy() for c in batch.columns)
-            cuts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if kept and block[a] != now:
-                    yield row()
-                    kept = []
-                now = int(block[a])
-                kept.append((at[a:b].copy(), n[a:b].copy(), cls[a:b].copy()))
-        if kept:
-            yield row()
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, core_n, core_class, total = sent.value
+    def scored(doc_ids: pa.Array, held: bytes, lengths: bytes, ids: bytes, text: bytes, n: np.ndarray, cls: np.ndarray, lead: np.ndarray) -> pa.RecordBatch:
+        known, core_n, core_class = sent.value
+        codes = codes_of(word_list(text), known, other)
+        count, state = core_n[codes], core_class[codes].astype(np.int64)
+        rare = codes == other
+        count[rare], state[rare] = n, np.where(n > 0, cls, classes + 1)
+        out, size, flat = numbers(held, bool), numbers(lengths, np.int32), numbers(ids, np.int32)
+        share = np.log10(np.append(count, train_docs) + 0.1)
+        inside = np.zeros(len(count) + 1)
+        sure = np.flatnonzero(count > 0)
+        inside[sure] = np.log10(count[sure] - DISCOUNT)
+        word = text_line(np.arange(len(count)), flat, size, len(count))
+        states = np.append(state, classes)[word]
+        pair = (states[:-1] * wide + states[1:]).astype(np.uint16)
+        starts = np.concatenate([[0], np.cumsum(size + 1)[:-1]]).astype(np.int64)
+        word = word[1:]
+        learned = ~np.repeat(out, size + 1)
+        moves = np.bincount(pair[learned], minlength=wide * wide)
+        # Behind a word counted once it goes on as behind an unknown one.
+        single = np.flatnonzero((np.append(count, 0)[word[:-1]] == 1) & learned[:-1])
+        moves += np.bincount((classes + 1) * wide + states[single + 2], minlength=wide * wide)
+        return pa.RecordBatch.from_arrays(
+            [
+                doc_ids, pa.array([held], pa.binary()), packed((size + 1).astype(np.int64)),
+                packed(np.add.reduceat((np.append(count, train_docs) > 0)[word].astype(np.int64), starts)),
+                packed(np.add.reduceat(share[word], starts)), packed(np.add.reduceat(inside[word], starts)),
+                packed(pair), packed(moves), packed(np.bincount(cls[lead & (n > 0)], minlength=classes)),
+            ],
+            ["doc_ids", "held", "n_tokens", "n_known", "base", "inside", "pairs", "moves", "kinds"],
+        )
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[list[np.ndarray]] = [[], [], []]
         for batch in batches:
-            doc_ids = batch.column(0)
-            for no, (held, lengths, ids, text, at, n, cls) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
-                codes = codes_of(word_list(text), known, other)
-                count, state = core_n[codes], core_class[codes].astype(np.int64)
-                if at is not None:
-                    at, n, cls = np.frombuffer(at, np.int32), np.frombuffer(n, np.int64), np.frombuffer(cls, np.int16)
-                    count[at], state[at] = n, np.where(n > 0, cls, classes + 1)
-                out, size, flat = np.frombuffer(held, bool), np.frombuffer(lengths, np.int32), np.frombuffer(ids, np.int32)
-                share = np.log10((np.append(count, train_docs) + 0.1) / (train_tokens + 0.1 * (n_words + 1)))
-                inside = np.zeros(len(count) + 1)
-                sure = np.flatnonzero(count > 0)
-                inside[sure] = np.log10((count[sure] - total["discount"]) / total["n"][state[sure]])
-                word = text_line(np.arange(len(count)), flat, size, len(count))
-                states = np.append(state, classes)[word]
-                pair = (states[:-1] * wide + states[1:]).astype(np.uint16)
-                starts = np.concatenate([[0], np.cumsum(size + 1)[:-1]]).astype(np.int64)
-                word = word[1:]
-                learned = ~np.repeat(out, size + 1)
-                moves = np.bincount(pair[learned], minlength=wide * wide)
-                # Behind a word counted once it goes on as behind an unknown one.
-                single = np.flatnonzero((np.append(count, 0)[word[:-1]] == 1) & learned[:-1])
-                moves += np.bincount((classes + 1) * wide + states[single + 2], minlength=wide * wide)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        doc_ids.slice(no, 1), pa.array([held]), as_bytes((size + 1).astype(np.int64)),
-                        as_bytes(np.add.reduceat((np.append(count, train_docs) > 0)[word].astype(np.int64), starts)),
-                        as_bytes(np.add.reduceat(share[word], starts)), as_bytes(np.add.reduceat(inside[word], starts)),
-                        as_bytes(pair), as_bytes(moves),
-                    ],
-                    ["doc_ids", "held", "n_tokens", "n_known", "base", "inside", "pairs", "moves"],
-                )
-
-    parts = shuffle_partitions(blocks.sparkSession)
-    arrays = words.select("block", "at", "n", "class").repartition(parts, "block").sortWithinPartitions("block", "at")
-    arrays = arrays.mapInArrow(listed, "in_block long, at binary, n binary, class binary")
-    both = blocks.join(arrays, blocks["block"] == arrays["in_block"], "left")
-    both = both.select("doc_ids", "held", "lengths", "ids", "words", "at", "n", "class")
+            first = 0
+            for own in [*np.flatnonzero(batch.column(1).to_numpy() == BEHIND), len(batch)]:
+                for kept, column in zip(waiting, batch.columns[2:5], strict=True):
+                    kept.append(column.slice(first, own - first).to_numpy(zero_copy_only=False).copy())
+                first = own + 1
+                if own < len(batch):
+                    n, cls, lead = (np.concatenate(x) for x in waiting)
+                    yield scored(batch.column(5).slice(own, 1), *(c[own].as_py() for c in batch.columns[6:]), n.astype(np.int64), cls.astype(np.int64), lead.astype(bool))
+                    waiting = [[], [], []]
+
+    texts = ["doc_ids", "held", "lengths", "ids", "words"]
+    own = blocks.select("block", F.lit(BEHIND).alias("at"), *[F.lit(None).cast(t).alias(c) for c, t in (("n", "long"), ("class", "short"), ("lead", "boolean"))], *texts)
+    both = words.select("block", "at", "n", "class", "lead", *[F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in texts]).unionAll(own)
+    both = both.repartition(shuffle_partitions(blocks.sparkSession), "block").sortWithinPartitions("block", "at")
     return cut_lineage(both.mapInArrow(
-        scored, f"doc_ids {kind}, held binary, n_tokens binary, n_known binary, base binary, inside binary, pairs binary, moves binary"
+        gathered, f"doc_ids {kind}, held binary, n_tokens binary, n_known binary, base binary, inside binary, pairs binary, moves binary, kinds binary"
     ))
 
 
-def transitions(states: DataFrame, totals: dict, classes: int, train_docs: int) -> np.ndarray:
-    """log10 of the probability of each class, or of the unknown word, behind each other."""
-    wide = classes + 2
+def counted_moves(states: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Training counts of class transitions, and distinct words of each class outside the core."""
+    cells = (classes + 2) ** 2
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(wide * wide, np.int64)
+        total = np.zeros(cells + classes, np.int64)
         for batch in batches:
-            for moves in batch.column(0).to_pylist():
-                total += np.frombuffer(moves, np.int64)
+            for moves, kinds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total += np.concatenate([numbers(moves, np.int64), numbers(kinds, np.int64)])
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
-
-    counts = np.zeros(wide * wide)
-    for row in states.select("moves").mapInArrow(summed, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        counts[row["pair"]] = row["n"]
-    counts = counts.reshape(wide, wide)[:, : classes + 1]
-    sizes = np.append(totals["n"], train_docs)
-    share = sizes / max(1.0, sizes.sum())
-    p = (counts + SHARE_WEIGHT * share) / (counts.sum(1, keepdims=True) + SHARE_WEIGHT)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    sums = states.select("moves", "kinds").mapInArrow(summed, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    out = np.zeros(cells + classes)
+    for row in sums.collect():  # at most one row a cell
+        out[row["cell"]] = row["n"]
+    return out[:cells].reshape(classes + 2, classes + 2), out[cells:]
+
+
+def transition_logs(moves: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each class behind each other, less that of the size of the
+    class; of the end of a text; and of the unknown word."""
+    classes = len(kinds)
+    counts = moves[:, : classes + 1]
+    sizes = counts[: classes + 1].sum(0)
+    p = (counts + SHARE_WEIGHT * sizes / max(1.0, sizes.sum())) / (counts.sum(1, keepdims=True) + SHARE_WEIGHT)
     # The discount of a class is the share that it gives to the unknown word.
-    left = np.append(totals["discount"] * totals["kinds"] / np.maximum(totals["n"], 1), 0)
-    return np.log10(np.maximum(np.column_stack([p, p @ left]), 1e-300))
+    left = np.append(DISCOUNT * kinds / np.maximum(sizes[:-1], 1), 0)
+    inside = p / np.append(np.maximum(sizes[:-1], 1), 1)
+    return np.log10(np.maximum(np.column_stack([inside, p @ left]), 1e-300))
 
 
 def class_scores(docs: DataFrame, held: Column, classes: int = CLASSES, core_share: float = CORE_SHARE) -> DataFrame:
@@ -408,29 +429,34 @@ def class_scores(docs: DataFrame, held: Column, classes: int = CLASSES, core_sha
     nothing is learned, every score is that of the base, 0. An empty table gives no row. Other
     columns are ignored.
     """
+    if 2 * (classes + 2) > 256:
+        raise ValueError("a context of more than 126 classes does not fit")
     blocks = token_blocks(docs, held)
     size = blocks.agg(F.sum("train_docs").alias("docs"), F.sum("train_tokens").alias("tokens")).first()
     train_docs, words = size["docs"] or 0, size["tokens"] or 0
     train_tokens = words + train_docs
-    core = core_words(blocks, max(1.0, train_tokens * core_share))
+    core = core_words(blocks, core_share, max(1.0, train_tokens * core_share))
     of, table = exchange(core_bigrams(blocks, core), classes)
-    others = other_words(blocks, core, of, table, classes)
-    totals = class_totals(others, core, of, classes)
-    states = token_states(blocks, others, core, of, totals, classes, train_tokens, train_docs)
-    logs = docs.sparkSession.sparkContext.broadcast(transitions(states, totals, classes, train_docs).ravel() * (train_docs > 0))
+    states = token_states(blocks, other_words(blocks, core, of, table, classes), core, of, classes, train_docs)
+    moves, kinds = counted_moves(states, classes)
+    kinds += np.bincount(of, minlength=classes)
+    distinct = int(kinds.sum()) + (train_docs > 0)
+    less = np.log10(train_tokens + 0.1 * (distinct + 1))
+    logs = docs.sparkSession.sparkContext.broadcast(transition_logs(moves, kinds).ravel())
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_ids = batch.column(0)
             for no, (held, n, known, base, inside, pairs) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
-                n = np.frombuffer(n, np.int64)
+                n = numbers(n, np.int64)
+                base = numbers(base, float) - n * less
                 starts = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
-                score = np.add.reduceat(logs.value[np.frombuffer(pairs, np.uint16)], starts) + np.frombuffer(inside)
+                score = np.add.reduceat(logs.value[numbers(pairs, np.uint16)], starts) + numbers(inside, float)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        doc_ids.slice(no, 1).flatten(), pa.array(np.frombuffer(held, bool)), pa.array(n), pa.array(np.frombuffer(known, np.int64)),
-                        pa.array(np.full(len(n), train_tokens)), pa.array(np.frombuffer(base)), pa.array(score),
+                        doc_ids.slice(no, 1).flatten(), pa.array(numbers(held, bool)), pa.array(n), pa.array(numbers(known, np.int64)),
+                        pa.array(np.full(len(n), train_tokens)), pa.array(base), pa.array(score if train_docs else base),
                     ],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )

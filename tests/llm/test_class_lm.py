@@ -55,8 +55,7 @@ def plain_bigram(rows, of, classes):
             moves[state(before), state(w)] += 1
             if before is not None and count[before] == 1:
                 moves[classes + 1, state(w)] += 1
-    once, twice = (sum(n == k for w, n in count.items() if w is not None) for k in (1, 2))
-    d = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.1
+    d = class_lm.DISCOUNT
     total, weight = sum(size.values()), class_lm.SHARE_WEIGHT
 
     def move(a, b):
@@ -88,12 +87,12 @@ def test_scores(spark, rows, monkeypatch):
 
     # The classes that the operator found, word by word.
     n = sum(len(tokens(t)) for i, t in rows if learns(i))
-    core = class_lm.core_words(blocks, n * 0.02)
+    core = class_lm.core_words(blocks, 0.02, n * 0.02)
     count = Counter(w for i, t in rows if learns(i) for w in tokens(t))
     assert core == {w: c for w, c in count.items() if w is not None and c >= n * 0.02}
     of, classes_table = class_lm.exchange(class_lm.core_bigrams(blocks, core), 6)
     found = dict(zip(core, of.tolist(), strict=True))
-    listed = {r.block: r.words.split(b" ") for r in blocks.select("block", "words").collect()}
+    listed = {r.block: class_lm.word_list(r.words) for r in blocks.select("block", "words").collect()}
     others = class_lm.other_words(blocks, core, of, classes_table, 6).collect()
     for r in others:
         word = listed[r.block][r.at]
@@ -154,6 +153,19 @@ def test_exchange_reaches_a_maximum_and_parts_the_tongues():
     assert not set(of[4:12]) & set(of[12:])
 
 
+def test_large_counts_are_split():
+    pair = np.repeat([5, 7, 12], [3, 1, 9])
+    class_lm.COUNT_BITS, bits = 2, class_lm.COUNT_BITS
+    try:
+        word, context = class_lm.packed_contexts(pair, 10)
+    finally:
+        class_lm.COUNT_BITS = bits
+    found = Counter()
+    for w, c in zip(word.tolist(), context.tolist(), strict=True):
+        found[w, c >> 2] += c & 3
+    assert found == {(0, 5): 3, (0, 7): 1, (1, 2): 9}
+
+
 def test_nothing_to_learn(spark, rows):
     assert scores(table(spark, [])).count() == 0
     (row,) = scores(table(spark, [(next(i for i in range(99) if not learns(i)), "a b")])).collect()
