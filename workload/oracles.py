@@ -339,6 +339,11 @@ edges AS (SELECT r.app, r.rule_rank, o.id FROM ranked r JOIN o ON o.app = r.app
   AND (r.process_path IS NULL OR r.process_path = o.process) AND (r.certificate IS NULL OR lower(r.certificate) = lower(o.cert))
   AND {like('o.path', 'lower(r.path)')}),
 screened AS (SELECT r.*, list_filter([
+    CASE WHEN coalesce(path, '') = '' OR certificate IS NULL AND process_path IS NULL THEN 'Requires path plus another condition' END,
+    CASE WHEN contains(concat(path, certificate, process_path), '?') OR path ^@ 'regex:' OR certificate ^@ 'regex:' OR process_path ^@ 'regex:'
+      THEN 'Unsupported matching syntax' END,
+    CASE WHEN contains(concat(certificate, process_path), '*') THEN 'Identity anchors must be exact' END,
+    CASE WHEN NOT regexp_matches(lower(path), '^c:\\program files( \(x86\))?\\') THEN 'Live consolidation limited to Windows Program Files paths' END,
     CASE WHEN len(string_split(split_part(path, '\*', 1), '\')) < 4 THEN 'Path is too broad' END], lambda x: x IS NOT NULL) AS static
   FROM ranked r),
 bundles AS (SELECT s.app, s.rule_rank, len(s.static) = 0 AS usable, coalesce(list(e.id) FILTER (e.id IS NOT NULL), []) AS ids
@@ -351,6 +356,43 @@ greedy AS (
   FROM (SELECT b.*, g.covered, list_filter(b.ids, lambda i: NOT list_contains(g.covered, i)) AS new_ids,
       b.usable AND len(list_filter(b.ids, lambda i: NOT list_contains(g.covered, i))) >= 2 AS ok
     FROM greedy g JOIN bundles b ON b.app = g.app AND b.rule_rank = g.rule_rank + 1) b)"""
+#: Rules mined per application as the conservative profile does: every pair of a path and its
+#: process or certificate; folders of one identity with at least three versions become one
+#: pattern (each identity's best); path-only patterns over all identities of an application
+#: take the rules below them along and go for want of a second condition.
+MINED = rf"""seen AS (SELECT {uuid_of('p_type')} AS app, concat('c:\program files\', lower(p_brand), '\', lower(p_type), '\', p_size, '.', p_partkey % 7) AS folder,
+    lower(p_name) AS name, concat('c:\program files\', lower(p_brand), '\launcher.exe') AS process FROM part WHERE p_retailprice < 990),
+paired AS (
+  SELECT app, 'PathCert' AS kind, concat(folder, '\', name, '.exe') AS key1, 'o=' || name AS key2, concat(folder, '\*') AS wc1, 'o=' || name AS wc2,
+    concat(folder, '\*') AS path, 'o=' || name AS certificate, CAST(NULL AS varchar) AS process_path, count(*) AS n FROM seen GROUP BY app, folder, name
+  UNION ALL
+  SELECT app, 'ProcessPath', process, concat(folder, '\', name, '.exe'), process, concat(folder, '\*'), concat(folder, '\*'), NULL, process, count(*)
+  FROM seen GROUP BY app, folder, name, process),
+placed AS (SELECT *, row_number() OVER (PARTITION BY app ORDER BY n DESC, length(path) - length(replace(path, '*', '')), kind, key1, key2, wc1, wc2) AS place FROM paired),
+first_rules AS (SELECT app, path, certificate, process_path, 0 AS stage, min(place) AS place FROM placed GROUP BY ALL),
+parts AS (SELECT *, string_split(path, '\') AS q FROM first_rules),
+shaped AS (SELECT *, array_to_string(q[1:-3], '\') || '\*\*' AS family,
+    regexp_full_match(q[-2], 'v?\d+(\.\d+){{1,8}}') AS volatile FROM parts),
+families AS (SELECT app, certificate, process_path, family, count(DISTINCT path) AS n FROM shaped WHERE volatile
+  GROUP BY app, certificate, process_path, family, len(q) HAVING count(DISTINCT path) >= 3
+    AND length(family) - length(replace(family, '*', '')) <= 2),
+best AS (SELECT app, certificate, process_path, arg_max(family, (n, -length(family), family)) AS family FROM families GROUP BY ALL),
+second_rules AS (
+  SELECT r.app, r.path, r.certificate, r.process_path, r.stage, r.place FROM first_rules r LEFT JOIN best b
+    ON b.app = r.app AND b.certificate IS NOT DISTINCT FROM r.certificate AND b.process_path IS NOT DISTINCT FROM r.process_path
+  WHERE b.family IS NULL OR b.family = r.path OR NOT {like('r.path', 'b.family')}
+  UNION ALL SELECT app, family, certificate, process_path, 1, 0 FROM best),
+again AS (SELECT *, array_to_string(q[1:-3], '\') || '\*\*' AS family, regexp_full_match(q[-2], 'v?\d+(\.\d+){{1,8}}') AS volatile
+  FROM (SELECT *, string_split(path, '\') AS q FROM second_rules)),
+everywhere AS (SELECT app, family FROM again WHERE volatile GROUP BY app, family, len(q) HAVING count(DISTINCT path) >= 3
+    AND length(family) - length(replace(family, '*', '')) <= 2),
+third_rules AS (SELECT * FROM second_rules r WHERE NOT EXISTS (SELECT 1 FROM everywhere e
+  WHERE e.app = r.app AND e.family <> r.path AND {like('r.path', 'e.family')})),
+left_rules AS (SELECT DISTINCT * FROM third_rules n WHERE NOT EXISTS (SELECT 1 FROM third_rules b WHERE b.app = n.app AND b.path <> n.path
+  AND b.certificate IS NOT DISTINCT FROM n.certificate AND b.process_path IS NOT DISTINCT FROM n.process_path
+  AND {like('n.path', 'b.path')} AND NOT ({like('b.path', 'n.path')} AND (n.stage, n.place) < (b.stage, b.place)))),
+ranked AS (SELECT app, path, certificate, process_path,
+  row_number() OVER (PARTITION BY app ORDER BY stage, place, certificate NULLS LAST, process_path NULLS LAST) AS rule_rank FROM left_rules)"""
 COVERAGE = with_(RULE_SET, OBS_REC).replace("WITH ", "WITH RECURSIVE ", 1) + """SELECT app, rule_rank, path, certificate, process_path,
   CAST(NULL AS varchar) AS created_by, covered AS covered_observations,
   CASE WHEN len(reasons) > 0 THEN 'Preserved / review' ELSE 'Review required' END AS status,
@@ -363,6 +405,8 @@ ASSIGNMENT = with_(RULE_SET, OBS_REC).replace("WITH ", "WITH RECURSIVE ", 1) + "
   min(e.rule_rank) AS rule_rank FROM edges e JOIN screened s USING (app, rule_rank) JOIN greedy g USING (app, rule_rank)
 WHERE len(s.static) = 0 AND g.fresh >= 2 GROUP BY e.app, e.id"""
 
+CONSOLIDATION = COVERAGE.replace(RULE_SET, MINED)
+
 RISKY = r"""given AS (SELECT DISTINCT CASE p_size % 10 WHEN 0 THEN 'c:\users\*\*'
       WHEN 1 THEN concat('c:\programdata\', lower(p_brand), '\*.dll') WHEN 2 THEN concat('c:\windows\temp\', p_name, '.exe')
       WHEN 3 THEN concat('/users/bob/', lower(p_type), '/.venv/lib/python/', p_name, '.so') WHEN 4 THEN '/users/*/library/python/*'
@@ -510,4 +554,5 @@ def oracle_sql() -> dict[str, str]:
         "dangerous_filter": DANGEROUS,
         "rule_coverage": COVERAGE,
         "rule_assignment": ASSIGNMENT,
+        "consolidation_rules": CONSOLIDATION,
     }
