@@ -381,8 +381,10 @@ def token_states(blocks: DataFrame, words: DataFrame, core: dict[bytes, int], of
                     waiting = [[], [], []]
 
     texts = ["doc_ids", "held", "lengths", "ids", "words"]
-    own = blocks.select("block", F.lit(BEHIND).alias("at"), *[F.lit(None).cast(t).alias(c) for c, t in (("n", "long"), ("class", "short"), ("lead", "boolean"))], *texts)
-    both = words.select("block", "at", "n", "class", "lead", *[F.lit(None).cast(blocks.schema[c].dataType).alias(c) for c in texts]).unionAll(own)
+    # Empty values instead of nulls, behind which Arrow's writer fills up its offsets row by row.
+    own = blocks.select("block", F.lit(BEHIND).alias("at"), *[F.lit(x).cast(t).alias(c) for x, c, t in ((0, "n", "long"), (0, "class", "short"), (False, "lead", "boolean"))], *texts)
+    empty = [F.array().cast(kind).alias("doc_ids"), *[F.lit(b"").alias(c) for c in texts[1:]]]
+    both = words.select("block", "at", "n", "class", "lead", *empty).unionAll(own)
     both = both.repartition(shuffle_partitions(blocks.sparkSession), "block").sortWithinPartitions("block", "at")
     return cut_lineage(both.mapInArrow(
         gathered, f"doc_ids {kind}, held binary, n_tokens binary, n_known binary, base binary, inside binary, pairs binary, moves binary, kinds binary"
