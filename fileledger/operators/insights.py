@@ -151,12 +151,14 @@ def run_summary(apps: DataFrame, baseline: DataFrame, groups: DataFrame, targets
     )
 
 
-def _outcome_counts() -> list[Column]:
+def _outcome_counts(weight: Column | None = None) -> list[Column]:
+    weight = F.lit(1) if weight is None else weight
+
     def n(*states: str) -> Column:
-        return F.count_if(F.col("status").isin(*states))
+        return F.coalesce(F.sum(F.when(F.col("status").isin(*states), weight)), F.lit(0)).cast("long")
 
     return [
-        F.count(F.lit(1)).alias("total"),
+        F.coalesce(F.sum(weight), F.lit(0)).cast("long").alias("total"),
         n(V.ACCEPTED, V.VERIFIED_ABSENT).alias("accepted"),
         n(V.VERIFIED_ABSENT).alias("verified"),
         n(V.PLANNED).alias("queued"),
@@ -174,6 +176,15 @@ def deletion_progress_by_application(targets: DataFrame) -> DataFrame:
     return targets.groupBy("app").agg(*_outcome_counts())
 
 
+def progress_of_counts(counts: DataFrame) -> DataFrame:
+    """The same over targets already counted: app, status, n."""
+    return counts.agg(*_outcome_counts(F.col("n")))
+
+
+def progress_of_counts_by_application(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("app").agg(*_outcome_counts(F.col("n")))
+
+
 def recent_responses(events: DataFrame, targets: DataFrame, limit: int = 10) -> DataFrame:
     """Latest responses with the current status of their record.
 

@@ -5,11 +5,11 @@ import json
 from pyspark.sql import functions as F
 
 from fileledger.operators import dedup
-from fileledger.operators.insights import deletion_progress, deletion_progress_by_application
+from fileledger.operators.insights import deletion_progress, deletion_progress_by_application, recent_responses
 from fileledger.plans import history
 from fileledger.sinks import writers
 from fileledger.sources import runs, snapshots
-from fileledger.streaming.progress import distinct_events, latest_statuses, recent_outcomes, start_progress
+from fileledger.streaming.progress import distinct_events, latest_statuses, recent_outcomes, record_changes, start_progress
 from tests.helpers import APP, H, ORG, frame, record
 from workload import queries as Q
 from workload import views
@@ -80,6 +80,68 @@ def test_stream_equals_batch(spark, tmp_path):
     assert seen[-1][3] == recent_outcomes(statuses).count() == 10
 
 
+class Stopped(Exception):
+    pass
+
+
+def test_stream_counts_once_when_a_trigger_is_run_again(spark, tmp_path):
+    """Retried records, late and repeated events, and a sink that fails: the same as the batch."""
+    def event(i, time, fid, status, app="a", kind="DeleteResponse"):
+        return (i, time, kind, app, fid, f"HTTP {i}", status)
+
+    shape = "id long, time long, kind string, app string, fid string, detail string, status string"
+    pieces = [
+        [event(i, 100 + i, str(i % 4), "Planned") for i in range(12)],
+        [event(20, 90, "1", "Accepted"), event(21, 300, "1", "Accepted"), event(22, 301, "1", "Uncertain"), event(21, 300, "1", "Accepted")],
+        [event(22, 301, "1", "Uncertain"), event(30, 400, "9", "VerifiedAbsent", "b"), event(31, 401, "2", "Accepted", kind="Note")],
+        [event(40 + i, 302, "7", "StillPresent") for i in range(15)],
+        [event(60, 500, "9", None, "b"), event(61, 501, None, "Planned", None), (62, None, "DeleteResponse", "b", "9", "x", "Planned")],
+        [event(31, 401, "2", "Accepted", kind="Note")],
+    ]
+    for n, rows in enumerate(pieces):
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/part={n}"))
+    seen, failed = [], []
+
+    def sink(totals, by_app, recent, batch):
+        if batch in (1, 3) and batch not in failed:
+            failed.append(batch)
+            raise Stopped
+        seen.append((totals.first().asDict(), sorted(map(str, by_app.collect())), sorted(map(str, recent.collect()))))
+
+    folder = str(tmp_path / "cp")
+    for _ in range(3):
+        stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = start_progress(stream, sink, folder)
+        try:
+            query.awaitTermination(120)
+        except Exception as error:  # noqa: BLE001
+            assert "Stopped" in str(error)
+    assert failed == [1, 3] and len(seen) == len(pieces)
+    raw = spark.createDataFrame([r for rows in pieces for r in rows], shape)
+    statuses = latest_statuses(raw)
+    recent = recent_responses(raw.dropDuplicates(["id"]), statuses)
+    assert seen[-1][0] == deletion_progress(statuses).first().asDict()
+    assert seen[-1][1] == sorted(map(str, deletion_progress_by_application(statuses).collect()))
+    # The key without a record is no target of the batch query, which joins on equality.
+    mine, other = ([r for r in rows if "record_id=None" not in r] for rows in (seen[-1][2], sorted(map(str, recent.collect()))))
+    assert mine == other and len(seen[-1][2]) == 10
+    assert sum("record_id='7'" in r for r in seen[3][2]) > 1  # several responses of one record
+
+
+def test_changes_hold_touched_records_only(spark, tmp_path):
+    shape = "id long, time long, kind string, app string, fid string, detail string, status string"
+    for n, keys in enumerate([range(50), [3], [3, 4]]):
+        rows = [(100 * n + k, n, "DeleteResponse", "a", str(k), "x", "Planned" if n == 0 else "Accepted") for k in keys]
+        spark.createDataFrame(rows, shape).coalesce(1).write.parquet(str(tmp_path / f"in/part={n}"))
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    sizes = []
+    query = record_changes(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp"))
+    query = query.foreachBatch(lambda df, n: sizes.append(sorted((r.fid, r.old, r.status) for r in df.filter("not response").collect())))
+    query.trigger(availableNow=True).start().awaitTermination(120)
+    assert len(sizes[0]) == 50
+    assert sizes[1:] == [[("3", "Planned", "Accepted")], [("3", "Accepted", "Accepted"), ("4", "Planned", "Accepted")]]
+
+
 def test_repeated_deliveries_change_nothing(spark):
     events = views.outcome_events(spark, SF)
     twice = events.unionByName(events)
