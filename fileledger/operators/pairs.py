@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from fileledger import fixed_values as V
 from fileledger.functions.paths import (
-    generalized_path, group_head, root, segments, separator, shorten_leaf, stars, wildcard_at_depth,
-    head_depth, directory_segments, wildcard_head,
+    extension, generalized_path, group_head, normalize_path, root, segments, separator, shorten_leaf, stars,
+    wildcard_at_depth, head_depth, directory_segments, wildcard_head,
 )
 from fileledger.functions.risk import looks_like_path
 from fileledger.functions.text import certificate_condition
 from fileledger.operators.skew import null_safe_join, top_per_group, with_position
+from fileledger.session import cut_lineage
 from fileledger.settings import RuleSettings
 
 PAIR_KEYS = [
@@ -115,30 +116,75 @@ def condition_pairs(
     )
 
 
+def with_path_shape(paths: DataFrame, source: str, settings: RuleSettings) -> DataFrame:
+    """Add ``_line``: the generalised path with all that a common pattern depends on; null without one."""
+    staged = paths.withColumn("_path_of", generalized_path(normalize_path(F.col(source)), settings))
+    path = F.col("_path_of")
+    staged = staged.withColumns({"_root": root(path), "_parts": segments(path), "_sep": separator(path)})
+    shape = F.struct(
+        path.alias("path"), F.col("_root").alias("root"), F.col("_sep").alias("sep"), F.col("_parts").alias("parts"),
+        directory_segments(F.col("_parts")).alias("folders"), F.size("_parts").alias("depth"), extension(path).alias("ext"),
+    )
+    blank = F.coalesce(F.trim(F.col(source)), F.lit("")) == ""
+    return staged.withColumn("_line", F.when(~blank & path.isNotNull(), shape)).drop("_path_of", "_root", "_parts", "_sep")
+
+
+#: What paths of a group may differ in. A minimum and a maximum of each say whether one value
+#: holds for all, and of segment arrays, which prefix all share.
+SHAPE = ["root", "sep", "folders", "parts", "depth", "ext"]
+
+
+def path_span(first: Column) -> list[Column]:
+    """Aggregates over ``_line`` that spans of parts of a group can be merged from; ``first`` ranks the lines."""
+    line = F.col("_line")
+    ends = [f(line[c]).alias(f"{end}_{c}") for c in SHAPE for end, f in (("low", F.min), ("high", F.max))]
+    given = F.when(line.isNotNull(), first)
+    return [F.count(line["path"]).alias("lines"), F.min_by(line["path"], given).alias("first_path"), *ends]
+
+
+def merged_span(span: Column, first: Column) -> list[Column]:
+    """One span from those of the parts; ``first`` ranks the parts."""
+    ends = [f(span[f"{end}_{c}"]).alias(f"{end}_{c}") for c in SHAPE for end, f in (("low", F.min), ("high", F.max))]
+    given = F.when(span["lines"] > 0, first)
+    return [F.sum(span["lines"]).alias("lines"), F.min_by(span["first_path"], given).alias("first_path"), *ends]
+
+
 def candidate_pairs(
     parsed: DataFrame, settings: RuleSettings, order: str, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Pairs with their occurrences, samples and example paths.
+    """Pairs with their occurrences, samples, example paths and the span of all their paths.
 
     ``order`` numbers the observations; ``by`` separates independent scopes such
-    as applications.
+    as applications. Observations shrink to one row for each pair and path, which
+    is written once and serves the totals as well as the examples.
     """
     pairs = condition_pairs(distinct_observations(parsed, order, by), settings, by)
     keys = [*by, *PAIR_KEYS]
-    totals = pairs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("occurrences"),
-        (F.sum("row_count") if settings.weighted else F.count(F.lit(1))).alias("weighted_count"),
-        F.min_by("condition1", "origin").alias("sample_condition1"),
-        F.min_by("condition2", "origin").alias("sample_condition2"),
-        F.min_by("notes", F.when(F.col("notes").isNotNull(), F.col("origin"))).alias("example_notes"),
+    note = F.when(F.col("notes").isNotNull(), F.struct("origin", "notes"))
+    by_path = pairs.groupBy(*keys, "_path").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("row_count").alias("rows"),
+        F.min(F.struct("origin", "condition1", "condition2")).alias("sample"), F.min(note).alias("note"),
+    )
+    by_path = cut_lineage(with_path_shape(by_path, "_path", settings))
+    totals = by_path.groupBy(*keys).agg(
+        F.sum("n").alias("occurrences"),
+        F.sum("rows" if settings.weighted else "n").alias("weighted_count"),
+        F.min("sample").alias("sample"), F.min("note").alias("note"),
+        *path_span(F.col("_path")),
+    )
+    span = F.struct("lines", "first_path", *[f"{end}_{c}" for c in SHAPE for end in ("low", "high")])
+    totals = totals.select(
+        *keys, "occurrences", "weighted_count", F.col("sample.condition1").alias("sample_condition1"),
+        F.col("sample.condition2").alias("sample_condition2"), F.col("note.notes").alias("example_notes"),
+        span.alias("span"),
     )
     examples = (
         top_per_group(
-            pairs.filter("_path is not null").select(*keys, "_path").distinct(),
+            by_path.filter("_path is not null").select(*keys, "_path"),
             keys, [F.col("_path")], settings.max_example_paths,
         )
         .groupBy(*keys)
-        # At most max_example_paths values per pair.
+        # At most max_example_paths values per pair, for display.
         .agg(F.array_join(F.sort_array(F.collect_list("_path")), "\n").alias("example_paths"))
     )
     result = null_safe_join(totals, examples, keys, "left").withColumn(

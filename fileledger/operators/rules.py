@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from fileledger import fixed_values as V
 from fileledger.functions import risk
 from fileledger.functions.paths import (
-    common_prefix, directory_segments, extension, generalized_path, group_head, join_path,
+    common_prefix, directory_segments, group_head, join_path,
     macos_process_path, macos_target_path, normalize_path, root, segments, separator, shorten_leaf,
     site_packages_path, stars, wildcard_at_depth, wildcard_head, head_depth,
 )
@@ -24,7 +24,7 @@ from fileledger.functions.text import (
     certificate_condition, certificate_vendor, creator_in, matches, normalize_spaces,
 )
 from fileledger.operators import families
-from fileledger.operators.pairs import condition_value
+from fileledger.operators.pairs import condition_value, merged_span
 from fileledger.operators.patterns import pattern_pairs
 from fileledger.operators.skew import attach, null_safe_join, with_position
 from fileledger.session import cut_lineage
@@ -158,7 +158,7 @@ def pair_rules(pairs: DataFrame, settings: RuleSettings, by: Sequence[str] = ())
         F.col("pair_type").alias("rule_type"),
         F.col("occurrences").alias("source_rows"),
         (F.col("weighted_count") if settings.weighted else F.col("occurrences")).alias("weighted_count"),
-        "example_paths", "condition1_key", "condition2_key", "condition1_wc", "condition2_wc",
+        "span", "condition1_key", "condition2_key", "condition1_wc", "condition2_wc",
     )
     counted = mapped.withColumns(
         {
@@ -185,33 +185,13 @@ def pair_rules(pairs: DataFrame, settings: RuleSettings, by: Sequence[str] = ())
 
 
 def sibling_rules(rules: DataFrame, settings: RuleSettings, by: Sequence[str] = ()) -> DataFrame:
-    """One merged rule per (process, certificate, creator) over the example paths of its rules."""
+    """One merged rule per (process, certificate, creator) over all paths of its rules.
+
+    What the paths share follows from minima and maxima, which each pair brings along.
+    """
     keys = [*by, *IDENTITY]
-    lines = rules.select(
-        *keys, "ord", F.posexplode(F.split("example_paths", "\n")).alias("line", "raw")
-    ).filter(F.trim("raw") != "")
-    lines = lines.withColumn("path", generalized_path(normalize_path(F.col("raw")), settings))
-    lines = lines.filter("path is not null").withColumns(
-        {"root": root(F.col("path")), "parts": segments(F.col("path")), "sep": separator(F.col("path"))}
-    )
-    lines = lines.withColumns(
-        {
-            "folders": directory_segments(F.col("parts")),
-            "ext": extension(F.col("path")),
-            "depth": F.size("parts"),
-        }
-    )
-    first = F.struct("ord", "line")
-    stats = lines.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.min_by("path", first).alias("path"),
-        F.min("root").alias("root"), F.max("root").alias("high_root"),
-        F.min("sep").alias("sep"), F.max("sep").alias("high_sep"),
-        F.min("folders").alias("low_folders"), F.max("folders").alias("high_folders"),
-        F.min("parts").alias("low_parts"), F.max("parts").alias("high_parts"),
-        F.min("depth").alias("low_depth"), F.max("depth").alias("high_depth"),
-        F.min("ext").alias("low_ext"), F.max("ext").alias("high_ext"),
-    )
+    stats = rules.groupBy(*keys).agg(*merged_span(F.col("span"), F.col("ord"))).filter("lines > 0")
+    stats = stats.withColumnsRenamed({"first_path": "path", "low_root": "root", "low_sep": "sep"})
     stats = stats.withColumns(
         {
             "parts": segments(F.col("path")),
@@ -355,33 +335,45 @@ def compress_extensions(rules: DataFrame, settings: RuleSettings, by: Sequence[s
     return _family_stage(rules, families.extension_families, settings, by, stage)
 
 
-def compress_globally(rules: DataFrame, settings: RuleSettings, by: Sequence[str], stage: int) -> DataFrame:
-    """Path-only families over all rules of a scope; the specific rules they cover go.
-
-    The later condition filter removes path-only rules, so a family costs its
-    members; ``global_families=False`` keeps them.
-    """
+def global_families(rules: DataFrame, settings: RuleSettings, by: Sequence[str] = ()) -> DataFrame | None:
+    """Path-only families over all rules of a scope: ``family`` and where it goes in order; None without any."""
     if (
         not settings.enable_path_compression
         or not settings.global_families
         or settings.compression_mode in ("off", "conservative")
     ):
-        return rules
+        return None
     keys = list(by)
     paths = rules.filter("path is not null").select(*keys, "path")
     shaped = families.compress_sets(families.shape_sets(paths, keys, ["family"]), keys, settings)
     found = shaped.select(*keys, "family", F.concat(F.lit("1"), "first_path").alias("at"))
     whole = families.extension_families(paths, keys, settings)
     found = found.unionByName(whole.select(*keys, "family", F.lit("0").alias("at")))
-    if found.isEmpty():
-        return rules
-    covered = pattern_pairs(
-        paths.distinct(), found.select(*keys, F.col("family").alias("pattern")), keys, ["path"],
+    return None if found.isEmpty() else found
+
+
+def covered_paths(rules: DataFrame, found: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Paths of rules that a family covers without being it, with the first such family."""
+    keys = list(by)
+    paths = rules.filter("path is not null").select(*keys, "path").distinct()
+    return pattern_pairs(
+        paths, found.select(*keys, F.col("family").alias("pattern")), keys, ["path"],
         residual=F.col("path") != F.col("pattern"),
-    ).select(*keys, "path").distinct()
-    kept = null_safe_join(rules, covered, [*keys, "path"], "left_anti")
+    ).groupBy(*keys, "path").agg(F.min("pattern").alias("family"))
+
+
+def compress_globally(rules: DataFrame, settings: RuleSettings, by: Sequence[str], stage: int) -> DataFrame:
+    """Path-only families over all rules of a scope; the specific rules they cover go.
+
+    The later condition filter removes path-only rules, so a family costs its
+    members, which ``dropped_family_rules`` lists; ``global_families=False`` keeps them.
+    """
+    found = global_families(rules, settings, by)
+    if found is None:
+        return rules
+    kept = null_safe_join(rules, covered_paths(rules, found, by), [*by, "path"], "left_anti")
     new = found.select(
-        *keys, F.col("family").alias("path"),
+        *by, F.col("family").alias("path"),
         *[F.lit(None).cast("string").alias(c) for c in IDENTITY],
         rule_order(stage, F.array("at")).alias("ord"),
     )
@@ -389,9 +381,18 @@ def compress_globally(rules: DataFrame, settings: RuleSettings, by: Sequence[str
 
 
 def dropped_family_rules(rules: DataFrame, settings: RuleSettings, by: Sequence[str] = ()) -> DataFrame:
-    """Rules a global family replaces although the family itself cannot survive: for review."""
-    after = compress_globally(cut_lineage(rules), settings, by, 1)
-    return null_safe_join(rules, after.select(*by, *CONDITIONS), [*by, *CONDITIONS], "left_anti")
+    """Rules that go with a global family, which is itself too weak to stay: for review.
+
+    ``rules`` are those the global pass gets; ``family`` is the first that covers the path.
+    """
+    found = global_families(rules, settings, by)
+    none = F.lit(None).cast("string")
+    if found is None:
+        return rules.limit(0).select(*by, *CONDITIONS, none.alias("family"))
+    gone = null_safe_join(rules, covered_paths(rules, found, by), [*by, "path"])
+    return distinct_rules(gone.withColumn("ord", F.struct("ord", "family")), by).select(
+        *by, *CONDITIONS, F.col("ord.family").alias("family")
+    )
 
 
 def add_certificate_anchors(rules: DataFrame, settings: RuleSettings, by: Sequence[str], stage: int) -> DataFrame:
@@ -434,10 +435,11 @@ def suppress_covered(rules: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 # --- the whole chain ------------------------------------------------------------------
 
 
-def final_rules(pairs: DataFrame, settings: RuleSettings, by: Sequence[str] = ()) -> DataFrame:
-    """Final rules with their ``ord``, in the fixed order of passes."""
+def rule_chain(pairs: DataFrame, settings: RuleSettings, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Final rules with their ``ord``, in the fixed order of passes, and the rules dropped with global families."""
     rules = cut_lineage(base_rules(pairs, settings, by))
     unchanged: dict[str, DataFrame] = {}
+    dropped = rules
     for stage, compress in enumerate(
         [
             compress_similar, compress_languages, compress_extensions,
@@ -445,6 +447,8 @@ def final_rules(pairs: DataFrame, settings: RuleSettings, by: Sequence[str] = ()
         ],
         1,
     ):
+        if compress is compress_globally:
+            dropped = rules
         # A pass that found nothing finds nothing again in the same table.
         if unchanged.get(compress.__name__) is rules:
             continue
@@ -457,7 +461,11 @@ def final_rules(pairs: DataFrame, settings: RuleSettings, by: Sequence[str] = ()
     rules = compress_extensions(rules, settings, by, 9)
     rules = suppress_covered(rules.withColumn("certificate", certificate_condition(F.col("certificate"))), by)
     rules = enforce_high_risk(filter_dangerous(rules), settings)
-    return distinct_rules(rules, by)
+    return distinct_rules(rules, by), dropped_family_rules(dropped, settings, by)
+
+
+def final_rules(pairs: DataFrame, settings: RuleSettings, by: Sequence[str] = ()) -> DataFrame:
+    return rule_chain(pairs, settings, by)[0]
 
 
 def ranked_rules(rules: DataFrame, by: Sequence[str] = ()) -> DataFrame:

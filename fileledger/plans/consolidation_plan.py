@@ -26,6 +26,7 @@ class RuleOutputs(NamedTuple):
     pair_export: DataFrame
     final_rules: DataFrame
     risk_review: DataFrame
+    dropped_rules: DataFrame
 
 
 class ConsolidationPlan(NamedTuple):
@@ -34,6 +35,8 @@ class ConsolidationPlan(NamedTuple):
     targets: DataFrame
     fallback: DataFrame
     reviews: DataFrame
+    #: Mined rules lost with a path-only family: for review, never applied.
+    dropped: DataFrame | None = None
 
 
 def build_outputs(
@@ -42,10 +45,11 @@ def build_outputs(
     """All tables of a rule-mining run over an observation frame."""
     parsed = cut_lineage(apply_parsing(observations))
     candidates = cut_lineage(pairs.candidate_pairs(parsed, settings, order, by))
-    final = cut_lineage(rules.final_rules(candidates, settings, by))
+    final, dropped = rules.rule_chain(candidates, settings, by)
+    final = cut_lineage(final)
     return RuleOutputs(
-        parsed, combined_review(parsed), candidates, pairs.pair_export(candidates, by),
-        rules.ranked_rules(final, by), rules.risk_review(final, by),
+        parsed, combined_review(parsed), candidates.drop("span"), pairs.pair_export(candidates, by),
+        rules.ranked_rules(final, by), rules.risk_review(final, by), dropped,
     )
 
 
@@ -68,8 +72,8 @@ def observed_records(records: DataFrame) -> DataFrame:
     )
 
 
-def mine_rules(observed: DataFrame, settings: RuleSettings) -> DataFrame:
-    """Ranked candidate rules per application from eligible records."""
+def mine_rules(observed: DataFrame, settings: RuleSettings) -> tuple[DataFrame, DataFrame]:
+    """Ranked candidate rules per application from eligible records, and the rules dropped with families."""
     own = F.col("hash")
     parsed = refine_observations(
         observed.select(
@@ -81,7 +85,8 @@ def mine_rules(observed: DataFrame, settings: RuleSettings) -> DataFrame:
         )
     )
     candidates = cut_lineage(pairs.candidate_pairs(parsed, settings, "id_num", ["app"]))
-    return rules.ranked_rules(rules.final_rules(candidates, settings, ["app"]), ["app"])
+    final, dropped = rules.rule_chain(candidates, settings, ["app"])
+    return rules.ranked_rules(final, ["app"]), dropped
 
 
 def assign_rules(observed: DataFrame, candidates: DataFrame, windows: bool = True) -> ConsolidationPlan:
@@ -139,10 +144,11 @@ def plan_consolidation(
     view = records if "plain" in records.columns else dedup.record_view(records)
     observed = cut_lineage(observed_records(view))
     settings = profile_settings(profile).for_consolidation()
-    plan = assign_rules(observed, mine_rules(observed, settings), os_type == 1)
+    mined, dropped = mine_rules(observed, settings)
+    plan = assign_rules(observed, mined, os_type == 1)
     targets = view.join(plan.targets, ["app", "fid"], "left_semi")
     fallback = view.join(plan.targets, ["app", "fid"], "left_anti")
-    return plan._replace(targets=targets, fallback=fallback)
+    return plan._replace(targets=targets, fallback=fallback, dropped=dropped)
 
 
 def replacement_records(rules_: DataFrame, run: str, organization: str, os_type: int = 1) -> DataFrame:

@@ -269,6 +269,62 @@ def test_static_reasons(spark):
     assert fine.filter(~F.greatest(*[b for b in reasons.values()])).count() == 1
 
 
+def observed_paths(spark, paths, processes=(r"c:\x\launcher.exe",)):
+    rows = [(f"{i:064X}", f"Path: {p}\nProcess: {processes[i % len(processes)]}") for i, p in enumerate(paths)]
+    return spark.createDataFrame(rows, "Hash string, Notes string").withColumn("row_id", F.monotonically_increasing_id())
+
+
+def sibling_paths(spark, paths):
+    settings = RuleSettings()
+    found = candidate_pairs(apply_parsing(observed_paths(spark, paths)), settings, "row_id")
+    base = rules.base_rules(found, settings).filter("rule_type = 'MergedPathGroup'")
+    return found, [r["path"] for r in base.collect()]
+
+
+def test_siblings_are_merged_over_all_their_paths(spark):
+    """The sixth path decides: with five alike, a merged rule must not hide it."""
+    alike = [PF + rf"vendor\tool\part{c}\run.exe" for c in "abcdefgh"]
+    assert sibling_paths(spark, alike)[1] == [PF + r"vendor\*"]
+    found, merged = sibling_paths(spark, [*alike, r"c:\windows\zz\run.exe"])
+    assert merged == []
+    assert {len(r["example_paths"].split("\n")) for r in found.collect()} <= {1, 2, 3, 4, 5}
+    # In another order of rows, the same.
+    assert sibling_paths(spark, [r"c:\windows\zz\run.exe", *alike[::-1]])[1] == []
+    spans = found.selectExpr("sum(span.lines) AS n", "max(span.high_depth) AS depth").first()
+    assert (spans["n"], spans["depth"]) == (9, 5)
+
+
+@pytest.mark.parametrize("profile", ["conservative", "balanced"])
+def test_applied_plans_leave_nothing_to_do(spark, fixture_rows, profile):
+    view = dedup.record_view(frame(spark, fixture_rows))
+    plan = cp.plan_consolidation(view, profile)
+    assert {r["status"] for r in plan.reviews.collect()} <= {"Review required", "Preserved / review"}
+    targets = sorted(int(r["fid"]) for r in plan.targets.collect())
+    assert targets == list(range(1, 11))
+    inserted = cp.replacement_records(plan.rules, "run 1", "org").collect()
+    assert len(inserted) == plan.rules.count() > 0
+    for r in inserted:
+        assert (r["hash"], r["isHashOnly"], r["keyFile"], r["osType"]) == ("", False, False, 1)
+        assert r["notes"].startswith("Consolidation run 1 rule ") and r["fullPath"] and r["processPath"]
+    after = view.join(plan.targets, ["app", "fid"], "left_anti")
+    assert cp.plan_consolidation(after, profile).targets.count() == 0
+
+
+def test_outputs_hold_every_table_of_a_run(spark):
+    paths = [PF + rf"v{k}\1.{i}\x.exe" for k in range(2) for i in range(3)]
+    processes = [rf"c:\x\run{n}.exe" for n in range(6)]  # no two versions below one process
+    out = cp.build_outputs(observed_paths(spark, paths, processes), profile_settings("conservative"), "row_id")
+    assert out.parsed.count() == out.combined_review.count() == 6
+    assert {"Path", "Process Path", "SHA256"} <= set(out.combined_review.columns)
+    assert out.pair_export.count() == out.candidate_pairs.count() > 0
+    names = {r["pair_name"] for r in out.pair_export.collect()}
+    assert names == {f"Pair {n + 1:04d}" for n in range(len(names))}
+    final, dropped = conditions(out.final_rules), out.dropped_rules.collect()
+    assert conditions(out.risk_review) == final and len(final) == len(set(final))
+    assert dropped and all(r["family"] and not r["family"] == r["path"] for r in dropped)
+    assert not {tuple(r)[:4] for r in dropped} & set(final)
+
+
 def test_copies_share_a_rule(spark):
     """A hot observation: many records with the same note."""
     note = source(1)["notes"]

@@ -282,9 +282,11 @@ PAIR_EXPORT = with_(OBS, PAIRS) + f"""SELECT printf('Pair %04d', {NUMBERED}) AS
 # Sibling paths share a vendor folder when all lie below one brand; otherwise only
 # siblings that differ in their last one or two parts merge.
 BASE = rf"""mapped AS (SELECT {_condition('Path', 'wc')} AS path, {_condition('Process Path', 'wc')} AS process_path,
-    {_condition('Certificate', 'key')} AS certificate, pair_type AS rule_type, occurrences AS source_rows, example_paths FROM pairs),
+    {_condition('Certificate', 'key')} AS certificate, pair_type AS rule_type, occurrences AS source_rows,
+    condition1_key, condition2_key, condition1_wc, condition2_wc FROM pairs),
 kept AS (SELECT * FROM mapped WHERE path IS NOT NULL),
-lines AS (SELECT process_path, certificate, source_rows, unnest(string_split(example_paths, chr(10))) AS line FROM kept),
+lines AS (SELECT DISTINCT k.process_path, k.certificate, k.rule_type, d.key1, d.key2, d.wc1, d.wc2, d.path AS line FROM kept k
+  JOIN detail d ON d.pair_type = k.rule_type AND d.key1 = k.condition1_key AND d.key2 = k.condition2_key AND d.wc1 = k.condition1_wc AND d.wc2 = k.condition2_wc),
 parts AS (SELECT *, string_split(line, '\') AS q FROM lines),
 sib AS (SELECT process_path, certificate, count(DISTINCT q[3]) AS brands, count(DISTINCT q[4]) AS kinds, count(*) AS n,
     min(line) AS one FROM parts GROUP BY ALL),
@@ -405,6 +407,9 @@ ASSIGNMENT = with_(RULE_SET, OBS_REC).replace("WITH ", "WITH RECURSIVE ", 1) + "
   min(e.rule_rank) AS rule_rank FROM edges e JOIN screened s USING (app, rule_rank) JOIN greedy g USING (app, rule_rank)
 WHERE len(s.static) = 0 AND g.fresh >= 2 GROUP BY e.app, e.id"""
 
+DROPPED = with_(MINED) + f"""SELECT r.app, r.path, r.certificate, r.process_path, CAST(NULL AS varchar) AS created_by, min(e.family) AS family
+FROM second_rules r JOIN everywhere e ON e.app = r.app AND e.family <> r.path AND {like('r.path', 'e.family')}
+GROUP BY r.app, r.path, r.certificate, r.process_path"""
 CONSOLIDATION = COVERAGE.replace(RULE_SET, MINED)
 
 RISKY = r"""given AS (SELECT DISTINCT CASE p_size % 10 WHEN 0 THEN 'c:\users\*\*'
@@ -555,4 +560,5 @@ def oracle_sql() -> dict[str, str]:
         "rule_coverage": COVERAGE,
         "rule_assignment": ASSIGNMENT,
         "consolidation_rules": CONSOLIDATION,
+        "dropped_rules": DROPPED,
     }

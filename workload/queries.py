@@ -366,7 +366,7 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidate_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return _pairs(spark, sf)
+    return _pairs(spark, sf).drop("span")
 
 
 def pair_export(spark: SparkSession, sf: str) -> DataFrame:
@@ -430,6 +430,13 @@ def consolidation_rules(spark: SparkSession, sf: str) -> DataFrame:
     return plan.reviews
 
 
+def dropped_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Mined rules that a path-only family takes along, with the family, for review."""
+    observed = cut_lineage(_observed(spark, sf))
+    settings = profile_settings("conservative").for_consolidation()
+    return consolidation_plan.mine_rules(observed, settings)[1]
+
+
 def queries() -> dict[str, Query]:
     names = [
         duplicate_plan, duplicate_groups, group_preview, removal_waves, text_duplicates, report_rows,
@@ -441,6 +448,6 @@ def queries() -> dict[str, Query]:
         requested_counts, requested_preview, recovered_targets, note_parse, usable_notes, path_normalize,
         version_collapse, path_heads, certificate_vendors, record_hashes, observation_rows, candidate_pairs,
         pair_export, base_rules, rules_final, rule_suppression, rule_risk, dangerous_filter, rule_coverage,
-        rule_assignment, consolidation_rules,
+        rule_assignment, consolidation_rules, dropped_rules,
     ]
     return {q.__name__: q for q in names}
