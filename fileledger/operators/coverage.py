@@ -12,12 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fileledger import fixed_values as V
-from fileledger.functions.paths import literal_head, literal_leaf
+from fileledger.functions.paths import literal_head, literal_leaf, path_prefixes
 from fileledger.functions.risk import is_high_risk_process
 from fileledger.functions.text import matches
-from fileledger.operators.patterns import with_block_keys
 from fileledger.operators.rules import CONDITIONS
-from fileledger.operators.skew import attach, null_safe_join
+from fileledger.operators.skew import null_safe_join
 from fileledger.session import cut_lineage
 
 _IDENTITY = ["process_path", "certificate", "created_by"]
@@ -39,14 +38,27 @@ def _identity_mask() -> Column:
     return mask
 
 
-def _identity_keys(prefix: str = "") -> dict[str, Column]:
-    """Identity values that must be equal under a mask; '' where they need not."""
-    return {
-        f"_k{bit}": F.when(
-            F.col("_mask").bitwiseAND(F.lit(1 << bit)) > 0, F.coalesce(F.col(prefix + name), F.lit(""))
-        ).otherwise(F.lit(""))
-        for bit, name in enumerate(_IDENTITY)
-    }
+def _meeting_keys(values: DataFrame, by: Sequence[str], masks: Sequence[int]) -> DataFrame:
+    """(obs_id, key): one slim row for each place of the rule index an observation may be found at."""
+    path = F.coalesce("path", F.lit(""))
+    identities = []
+    for mask in masks:
+        bits = [b for b in range(len(_IDENTITY)) if mask & (1 << b)]
+        parts = [F.coalesce(F.col(_IDENTITY[b]), F.lit("")) for b in bits]
+        # An observation without an identity cannot match a rule that requires it.
+        given = F.lit(True)
+        for part in parts:
+            given = given & (part != "")
+        identities.append(F.when(given, F.xxhash64(F.lit(mask), *[F.col(c) for c in by], *parts)))
+    slim = values.select(
+        "obs_id", path_prefixes(path).alias("_heads"),
+        F.array_distinct(F.array(F.lit(""), F.regexp_extract(path, r"[\\/]([^\\/]+)$", 1))).alias("_leaves"),
+        F.array_compact(F.array(*identities)).alias("_identities"),
+    )
+    slim = slim.select("obs_id", "_leaves", "_identities", F.explode("_heads").alias("_head"))
+    slim = slim.select("obs_id", "_head", "_identities", F.explode("_leaves").alias("_leaf"))
+    slim = slim.select("obs_id", F.xxhash64("_head", F.lit("/"), "_leaf").alias("_place"), F.explode("_identities").alias("_identity"))
+    return slim.select("obs_id", F.xxhash64("_place", "_identity").alias("key"))
 
 
 def coverage_edges(
@@ -54,39 +66,31 @@ def coverage_edges(
 ) -> DataFrame:
     """(scope, rule_rank, obs_id, records): every rule and observation that match.
 
-    All populated conditions of a rule must match. Candidates meet on the scope,
-    the literal head and last segment of the rule's path and every identity
-    condition that is literal, so rules and observations are never compared all
-    with all.
+    All populated conditions of a rule must match. The rules' scope, literal head and last
+    segment of the path and literal identity conditions make an index of hashed keys.
+    Observations look up the keys they may be found at, with nothing but their id; only what
+    the index holds meets the values, on which the match is then decided.
     """
     if ignore_case:
         folded = {c: F.lower(F.col(c)) for c in CONDITIONS}
         values, rules = values.withColumns(folded), rules.withColumns(folded)
-    shaped = rules.withColumns(
-        {
-            "_mask": _identity_mask(),
-            "_head": F.coalesce(literal_head(F.col("path")), F.lit("")),
-            "_leaf": F.coalesce(literal_leaf(F.col("path")), F.lit("")),
-        }
-    ).withColumnsRenamed({c: f"rule_{c}" for c in CONDITIONS})
-    # At most eight masks: plan-time literals that keep observations from being
-    # prepared for combinations no rule has.
-    masks = [r[0] for r in shaped.select("_mask").distinct().collect()] or [0]
-    exploded = with_block_keys(values).withColumn(
-        "_mask", F.explode(F.array(*[F.lit(m) for m in masks]))
-    )
-    exploded = exploded.withColumns(_identity_keys())
-    # An observation without an identity cannot match a rule that requires it.
-    for bit in range(len(_IDENTITY)):
-        exploded = exploded.filter(
-            (F.col("_mask").bitwiseAND(F.lit(1 << bit)) == 0) | (F.col(f"_k{bit}") != "")
-        )
-    keys = [*by, "_head", "_leaf", "_mask", *[f"_k{bit}" for bit in range(len(_IDENTITY))]]
-    payload = shaped.withColumns(_identity_keys("rule_")).select(
-        *keys, "rule_rank", *[f"rule_{c}" for c in CONDITIONS]
+    shaped = rules.withColumn("_mask", _identity_mask())
+    # At most eight masks: observations are not looked up for combinations no rule has.
+    masks = sorted(r[0] for r in shaped.select("_mask").distinct().collect()) or [0]
+    place = F.xxhash64(
+        F.coalesce(literal_head(F.col("path")), F.lit("")), F.lit("/"), F.coalesce(literal_leaf(F.col("path")), F.lit(""))
     )
-    joined = attach(exploded, payload, keys, salt_on=["obs_id"])
+    identity = F.lit(None).cast("long")
+    for mask in masks:
+        parts = [F.coalesce(F.col(_IDENTITY[b]), F.lit("")) for b in range(len(_IDENTITY)) if mask & (1 << b)]
+        identity = F.when(F.col("_mask") == mask, F.xxhash64(F.lit(mask), *[F.col(c) for c in by], *parts)).otherwise(identity)
+    index = shaped.select(F.xxhash64(place, identity).alias("key"), *[F.col(c).alias(f"rule_{c}") for c in [*by, *CONDITIONS]], "rule_rank")
+    met = _meeting_keys(values, by, masks).join(index, "key").drop("key")
+    joined = values.join(met, "obs_id")
+    # Hashed keys may meet by chance, so scope and conditions are compared as they are.
     hit = F.lit(True)
+    for name in by:
+        hit = hit & F.col(f"rule_{name}").eqNullSafe(F.col(name))
     for name in CONDITIONS:
         hit = hit & matches(F.col(f"rule_{name}"), F.col(name), ignore_case=False)
     return joined.filter(hit).select(*by, "rule_rank", "obs_id", "records")
@@ -120,52 +124,50 @@ def static_reasons(os_type: Column) -> dict[str, Column]:
 def accept_rules(edges: DataFrame, by: Sequence[str] = (), least: int = 2) -> tuple[DataFrame, DataFrame]:
     """Greedy acceptance in rule order: a rule needs ``least`` records no earlier rule took.
 
-    Returns (accepted ``by + rule_rank``, edges of undropped rules with their
-    ``accepted`` flag). Equal to going through the rules one by one, but many
-    rules are decided per round from two bounds on what a rule would newly cover:
-    records no earlier undropped rule holds (it gets at least those), and records
-    no earlier accepted rule holds (it gets at most those). The first undecided
-    rule of a scope always has equal bounds, so every round makes progress; the
-    number of rounds is the longest chain of rules that depend on each other.
+    Returns (accepted ``by + rule_rank``, the edges of accepted rules). Equal to going
+    through the rules one by one, but many rules are decided per round from two bounds on
+    what a rule would newly cover: records no earlier undropped rule holds (it gets at
+    least those), and records no earlier accepted rule holds (it gets at most those). The
+    first undecided rule of a scope always has equal bounds, so every round makes
+    progress; the number of rounds is the longest chain of rules that depend on each other.
+
+    A round reads and writes what is still open: edges of undecided rules to records that no
+    earlier accepted rule holds, with the first accepted rule behind them.
     """
     rule, obs = [*by, "rule_rank"], [*by, "obs_id"]
-    live = cut_lineage(edges.withColumn("accepted", F.lit(False)))
+    taken = F.lit(None).cast(edges.schema["rule_rank"].dataType)
+    open_edges = cut_lineage(edges.withColumn("_taken", taken))
+    accepted = []
     while True:
-        holders = live.groupBy(*obs).agg(
-            F.min("rule_rank").alias("_first"),
-            F.min(F.when(F.col("accepted"), F.col("rule_rank"))).alias("_taken"),
-        )
-        held = live.join(holders, obs) if not by else null_safe_join(live, holders, obs)
-        free = F.col("_taken").isNull() | (F.col("_taken") >= F.col("rule_rank"))
-        bounds = held.groupBy(*rule, "accepted").agg(
+        first = open_edges.groupBy(*obs).agg(F.least(F.min("rule_rank"), F.min("_taken")).alias("_first"))
+        held = null_safe_join(open_edges, first, obs)
+        bounds = held.groupBy(*rule).agg(
             F.coalesce(F.sum(F.when(F.col("_first") == F.col("rule_rank"), F.col("records"))), F.lit(0)).alias("_sure"),
-            F.coalesce(F.sum(F.when(free, F.col("records"))), F.lit(0)).alias("_most"),
+            F.sum("records").alias("_most"),
         )
         decided = cut_lineage(
-            bounds.select(
-                *rule,
-                (F.col("accepted") | (F.col("_sure") >= least)).alias("_accept"),
-                (~F.col("accepted") & (F.col("_most") < least)).alias("_drop"),
-            )
+            bounds.filter((F.col("_sure") >= least) | (F.col("_most") < least)).select(*rule, (F.col("_sure") >= least).alias("_accept"))
         )
-        open_rules = decided.filter(~F.col("_accept") & ~F.col("_drop")).limit(1).count()
-        # Edges to records an earlier accepted rule holds can no longer matter.
-        useful = held.filter(free).drop("_first", "_taken")
-        live = cut_lineage(
-            attach(useful, decided, rule, salt_on=["obs_id"])
-            .filter(~F.col("_drop"))
-            .withColumn("accepted", F.col("_accept"))
-            .drop("_accept", "_drop")
-        )
-        if not open_rules:
+        if decided.isEmpty():
             break
-    return decided.filter("_accept").select(*rule), live.filter("accepted")
+        new = decided.filter("_accept").select(*rule)
+        accepted.append(new)
+        claims = null_safe_join(open_edges, new, rule).groupBy(*obs).agg(F.min("rule_rank").alias("_claim"))
+        undecided = null_safe_join(open_edges, decided.select(*rule), rule, "left_anti")
+        left = null_safe_join(undecided, claims, obs, "left").withColumn("_taken", F.least("_taken", "_claim"))
+        open_edges = cut_lineage(
+            left.filter(F.col("_taken").isNull() | (F.col("_taken") > F.col("rule_rank"))).drop("_claim")
+        )
+    chosen = accepted[0] if accepted else edges.select(*rule).limit(0)
+    for more in accepted[1:]:
+        chosen = chosen.unionByName(more)
+    return chosen, null_safe_join(edges, chosen, rule, "left_semi")
 
 
 def first_accepted(edges: DataFrame, accepted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The accepted rule of each observation: the lowest one that covers it."""
     rule, obs = [*by, "rule_rank"], [*by, "obs_id"]
-    held = attach(edges, accepted, rule, salt_on=["obs_id"])
+    held = null_safe_join(edges, accepted, rule, "left_semi")
     return held.groupBy(*obs).agg(F.min("rule_rank").alias("rule_rank"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fileledger import fixed_values as V
 from fileledger.functions.hashes import id_order, numeric_id, plain_hash_record, primary_hash
-from fileledger.operators.skew import attach, lookup, with_position
+from fileledger.operators.skew import lookup, null_safe_join, with_position
 
 GROUP_KEYS = ["org", "app", "hash_key"]
 
@@ -85,18 +85,22 @@ def match_candidates(wanted: DataFrame, groups: DataFrame) -> DataFrame:
 def removal_targets(records: DataFrame, groups: DataFrame) -> DataFrame:
     """Every record of an eligible group but its survivor."""
     eligible = groups.filter(F.col("survivor").isNotNull()).select(*GROUP_KEYS, "survivor")
-    members = attach(records, eligible, GROUP_KEYS, salt_on=["fid"])
+    members = null_safe_join(records, eligible, GROUP_KEYS)
     return members.filter(F.col("fid") != F.col("survivor")).drop("survivor").withColumns(
         {"status": F.lit(V.PLANNED), "detail": F.lit("")}
     )
 
 
 def removal_waves(targets: DataFrame, batch_size: int = V.MAX_WAVE_SIZE) -> DataFrame:
-    """Number targets of a group in ID order and cut them into bounded waves."""
+    """Number targets of a group in ID order, of any length, and cut them into bounded waves.
+
+    Only keys and IDs are sorted and numbered; the rows meet their number by key.
+    """
     size = min(V.MAX_WAVE_SIZE, batch_size)
-    numbered = with_position(
-        targets, [F.col("id_num"), F.col("fid")], "position", keys=GROUP_KEYS
-    )
+    slim = targets.select(*GROUP_KEYS, "fid")
+    numbered = with_position(slim, [id_order(F.col("fid"))], "position", keys=GROUP_KEYS)
+    if set(targets.columns) != set(slim.columns):
+        numbered = null_safe_join(targets, numbered, [*GROUP_KEYS, "fid"])
     return numbered.withColumn("wave", F.floor((F.col("position") - 1) / size).cast("long"))
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from fileledger import fixed_values as V
 from fileledger.functions.hashes import plain_hash_record, record_fingerprint, unknown_fields
 from fileledger.functions.text import trimmed
-from fileledger.operators.skew import attach
 
 KEYS = ["app", "fid"]
 _DERIVED = {"app", "org", "fid", "id_num", "hash_key", "plain", "fingerprint"}
@@ -29,19 +28,35 @@ def with_fingerprint(records: DataFrame) -> DataFrame:
     return records.withColumn("fingerprint", record_fingerprint(columns))
 
 
+def _side(df: DataFrame, tag: str, *columns) -> DataFrame:
+    """Rows of one of several tables to be grouped together."""
+    return df.select(F.lit(tag).alias("_tag"), *columns)
+
+
+def _of(tag: str, column: str = "value"):
+    return F.when(F.col("_tag") == tag, F.col(column))
+
+
 def snapshot_diff(baseline: DataFrame, current: DataFrame, targets: DataFrame) -> DataFrame:
     """Classify every record of either snapshot.
 
-    Only keys, fingerprints and statuses travel: the rows themselves stay put.
+    Only keys, fingerprints and statuses travel, all three tables in one exchange. A record that
+    a snapshot holds several times is unchanged if the other holds it as often with the same
+    fingerprints.
     """
-    old = baseline.select(*KEYS, F.col("fingerprint").alias("old_fp"))
-    new = current.select(*KEYS, F.col("fingerprint").alias("new_fp"))
-    status = targets.select(*KEYS, F.col("status").alias("previous_status"))
-    joined = old.join(new, KEYS, "full_outer").join(status, KEYS, "left")
-    absent, before = F.col("new_fp").isNull(), F.col("previous_status")
+    rows = _side(baseline, "old", *KEYS, F.col("fingerprint").alias("value"))
+    rows = rows.unionByName(_side(current, "new", *KEYS, F.col("fingerprint").alias("value")))
+    rows = rows.unionByName(_side(targets, "status", *KEYS, F.col("status").alias("value")))
+    ends = [f(_of(tag)).alias(f"{tag}_{name}") for tag in ("old", "new") for name, f in (("n", F.count), ("low", F.min), ("high", F.max))]
+    joined = rows.groupBy(*KEYS).agg(*ends, F.min(_of("status")).alias("previous_status"))
+    joined = joined.filter("old_n + new_n > 0")
+    same = F.lit(True)
+    for name in ("n", "low", "high"):
+        same = same & (F.col(f"old_{name}") == F.col(f"new_{name}"))
+    absent, before = F.col("new_n") == 0, F.col("previous_status")
     kind = (
-        F.when(F.col("old_fp").isNull(), "new")
-        .when(~absent & (F.col("old_fp") != F.col("new_fp")), "changed")
+        F.when(F.col("old_n") == 0, "new")
+        .when(~absent & ~same, "changed")
         .when(absent & before.isNull(), "missing_unplanned")
         .when(absent & (before == V.PLANNED), "missing_planned")
         .when(absent, "verified_absent")
@@ -95,18 +110,30 @@ def wave_precheck(baseline: DataFrame, live: DataFrame, targets: DataFrame, grou
     Expected records are the baseline group without targets already accepted or
     verified. Inputs carry ``app``, ``fid``, ``hash_key``, ``fingerprint``, ``plain``.
     """
-    gone = targets.filter(F.col("status").isin(V.VERIFIED_ABSENT, V.ACCEPTED)).select(*KEYS)
     keys = ["app", "hash_key", "fid"]
-    expected = baseline.select(*keys, F.col("fingerprint").alias("old_fp")).join(gone, KEYS, "left_anti")
-    present = live.select(*keys, F.col("fingerprint").alias("new_fp"), "plain")
-    group = groups.filter(F.col("survivor").isNotNull()).select("app", "hash_key", "survivor")
-    joined = expected.join(present, keys, "full_outer")
-    checked = attach(joined, group, ["app", "hash_key"], salt_on=["fid"])
-    return checked.groupBy("app", "hash_key").agg(
-        F.bool_and(F.coalesce(F.col("old_fp") == F.col("new_fp"), F.lit(False))).alias("unchanged"),
-        F.bool_or((F.col("fid") == F.col("survivor")) & F.col("new_fp").isNotNull()).alias("survivor_present"),
-        F.bool_and(F.coalesce("plain", F.lit(True))).alias("still_plain"),
-    ).withColumn("safe", F.col("unchanged") & F.col("survivor_present") & F.col("still_plain"))
+    none = F.lit(None)
+    gone = targets.filter(F.col("status").isin(V.VERIFIED_ABSENT, V.ACCEPTED))
+    if "hash_key" not in gone.columns:
+        gone = gone.join(baseline.select(*keys), KEYS)
+    expected = _side(baseline, "old", *keys, F.col("fingerprint").alias("value"), none.cast("boolean").alias("plain"))
+    rows = expected.unionByName(_side(gone, "gone", *keys, none.cast("string").alias("value"), none.cast("boolean").alias("plain")))
+    rows = rows.unionByName(_side(live, "new", *keys, F.col("fingerprint").alias("value"), "plain"))
+    first = groups.filter(F.col("survivor").isNotNull()).select("app", "hash_key", F.col("survivor").alias("fid"))
+    rows = rows.unionByName(_side(first, "survivor", *keys, none.cast("string").alias("value"), none.cast("boolean").alias("plain")))
+    records = rows.groupBy(*keys).agg(
+        F.max(_of("old")).alias("old_fp"), F.max(_of("new")).alias("new_fp"), F.bool_and(_of("new", "plain")).alias("plain"),
+        F.bool_or(F.col("_tag") == "gone").alias("gone"), F.bool_or(F.col("_tag") == "survivor").alias("survivor"),
+    )
+    # An expected record that a target took away counts only where it is still there.
+    records = records.withColumn("old_fp", F.when(~F.col("gone"), F.col("old_fp")))
+    counts = F.col("old_fp").isNotNull() | F.col("new_fp").isNotNull()
+    checked = records.groupBy("app", "hash_key").agg(
+        F.bool_and(F.when(counts, F.coalesce(F.col("old_fp") == F.col("new_fp"), F.lit(False)))).alias("unchanged"),
+        F.bool_or(F.when(counts, F.col("survivor") & F.col("new_fp").isNotNull())).alias("survivor_present"),
+        F.bool_and(F.when(counts, F.coalesce("plain", F.lit(True)))).alias("still_plain"),
+        F.bool_or("survivor").alias("_eligible"),
+    ).filter(F.col("_eligible") & F.col("unchanged").isNotNull()).drop("_eligible")
+    return checked.withColumn("safe", F.col("unchanged") & F.col("survivor_present") & F.col("still_plain"))
 
 
 # --- consolidation -----------------------------------------------------------
@@ -141,6 +168,10 @@ def match_insertions(extra: DataFrame, insertions: DataFrame) -> DataFrame:
         blank = blank & ~F.coalesce(columns["originalKeyFile"], F.lit(False))
     if "extras" in columns:
         blank = blank & (F.coalesce(F.size(unknown_fields(columns["extras"])), F.lit(0)) <= 0)
+    # A filled column of unknown meaning may narrow what the rule matches.
+    for name in columns:
+        if name not in V.KNOWN_FIELDS and name not in V.DERIVED_FIELDS:
+            blank = blank & (F.coalesce(columns[name].cast("string"), F.lit("")) == "")
     is_rule = (
         (text_of("hash") == "")
         & ~F.coalesce(columns["isHashOnly"], F.lit(True))

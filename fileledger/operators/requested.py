@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fileledger import fixed_values as V
 from fileledger.functions.hashes import all_hashes
-from fileledger.operators.skew import attach, lookup
+from fileledger.operators.skew import lookup
 from fileledger.operators.tables import one_row
 from fileledger.session import cut_lineage
 
@@ -37,14 +37,8 @@ def record_hashes(records: DataFrame) -> DataFrame:
 
 
 def requested_hits(records: DataFrame, requested: DataFrame) -> DataFrame:
-    """(app, fid, hash) for every requested hash a record carries.
-
-    A requested hash may be on a third of all records, so records meet the list
-    by key and salt.
-    """
-    return attach(
-        record_hashes(records), requested.select("app", "hash"), ["app", "hash"], salt_on=["fid"]
-    )
+    """(app, fid, hash) for every requested hash a record carries."""
+    return record_hashes(records).join(requested.select("app", "hash"), ["app", "hash"])
 
 
 def requested_plan(records: DataFrame, requested: DataFrame) -> RequestedPlan:

@@ -26,13 +26,12 @@ from fileledger.functions.text import (
 from fileledger.operators import families
 from fileledger.operators.pairs import condition_value, merged_span
 from fileledger.operators.patterns import pattern_pairs
-from fileledger.operators.skew import attach, null_safe_join, with_position
+from fileledger.operators.skew import null_safe_join, with_position
 from fileledger.session import cut_lineage
 from fileledger.settings import RuleSettings
 
 CONDITIONS = ["path", "certificate", "process_path", "created_by"]
 IDENTITY = ["certificate", "process_path", "created_by"]
-_SORT_ID = ["path", "process_path", "certificate", "created_by"]
 
 
 def _condition_columns() -> tuple[Column, Column, Column, Column]:
@@ -296,7 +295,7 @@ def _replace_covered(
     order: Column | None = None,
 ) -> DataFrame:
     """Drop a group's rules its family covers and append the family rule."""
-    joined = attach(rules, found.select(*keys, "family"), keys, salt_on=_SORT_ID, how="left")
+    joined = null_safe_join(rules, found.select(*keys, "family"), keys, "left")
     covered = matches(F.col("family"), F.col("path")) & F.col("family").isNotNull()
     if keep_equal:
         covered = covered & (F.col("path") != F.col("family"))
@@ -357,7 +356,7 @@ def covered_paths(rules: DataFrame, found: DataFrame, by: Sequence[str] = ()) ->
     keys = list(by)
     paths = rules.filter("path is not null").select(*keys, "path").distinct()
     return pattern_pairs(
-        paths, found.select(*keys, F.col("family").alias("pattern")), keys, ["path"],
+        paths, found.select(*keys, F.col("family").alias("pattern")), keys,
         residual=F.col("path") != F.col("pattern"),
     ).groupBy(*keys, "path").agg(F.min("pattern").alias("family"))
 
@@ -427,7 +426,7 @@ def suppress_covered(rules: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     narrow = rules.groupBy(*keys, "path").agg(F.min("ord").alias("ord"))
     mutual = matches(F.col("path"), F.col("pattern")) & (F.col("ord") < F.col("broad_ord"))
     covered = pattern_pairs(
-        narrow, broad, keys, ["path"], residual=(F.col("path") != F.col("pattern")) & ~mutual
+        narrow, broad, keys, residual=(F.col("path") != F.col("pattern")) & ~mutual
     ).select(*keys, "path").distinct()
     return null_safe_join(rules, covered, [*keys, "path"], "left_anti")
 

@@ -65,9 +65,10 @@ def attach(
     salt_on: Sequence[str],
     how: str = "inner",
 ) -> DataFrame:
-    """Join a payload by key when ``df`` may be hot on that key.
+    """Join a payload by key when ``df`` may be hot on that key and is grouped by it next.
 
-    The payload meets only the distinct (key, salt) pairs, then the rows meet it
+    A join alone needs no salts: Spark splits its hot partitions while it runs. It cannot where
+    an aggregation by the same key relies on the partitions of the join. The payload meets only the distinct (key, salt) pairs, then the rows meet it
     on key and salt; no task holds more than one salt of a key. The payload is
     neither replicated up front nor broadcast by hand.
     """

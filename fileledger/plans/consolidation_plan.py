@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fileledger import fixed_values as V
+from fileledger.functions.hashes import id_order
 from fileledger.functions.text import trimmed, usable_note
 from fileledger.operators import coverage, dedup, pairs, rules
 from fileledger.operators.parsing import (
     apply_parsing, combined_review, parse_notes, refine_observations,
 )
-from fileledger.operators.skew import attach, null_safe_join
+from fileledger.operators.skew import null_safe_join
 from fileledger.session import cut_lineage
 from fileledger.settings import RuleSettings, profile_settings
 
@@ -60,9 +61,9 @@ def observed_records(records: DataFrame) -> DataFrame:
     hash and its note names at most one target path.
     """
     eligible = records.filter(F.col("plain") & usable_note(F.col("notes")))
-    parsed = parse_notes(eligible.select("app", "fid", "id_num", "hash", "notes"))
+    parsed = parse_notes(eligible.select("app", "fid", "hash", "notes"))
     return parsed.select(
-        "app", "fid", "id_num", "hash", "notes",
+        "app", "fid", "hash", "notes",
         F.col("note_path").alias("path"),
         F.col("note_certificate_primary").alias("certificate"),
         F.col("note_process_path").alias("process_path"),
@@ -77,14 +78,14 @@ def mine_rules(observed: DataFrame, settings: RuleSettings) -> tuple[DataFrame,
     own = F.col("hash")
     parsed = refine_observations(
         observed.select(
-            "app", "id_num", "notes", "path", "process_path", "created_by",
+            "app", id_order(F.col("fid")).alias("id_order"), "notes", "path", "process_path", "created_by",
             F.col("certificate").alias("certificate_primary"),
             F.coalesce("md5_hash", F.when(F.length(own) == 32, own)).alias("md5_hash"),
             F.coalesce("sha256_hash", F.when(F.length(own) == 64, own)).alias("sha256_hash"),
             F.lit(1).cast("long").alias("count"),
         )
     )
-    candidates = cut_lineage(pairs.candidate_pairs(parsed, settings, "id_num", ["app"]))
+    candidates = cut_lineage(pairs.candidate_pairs(parsed, settings, "id_order", ["app"]))
     final, dropped = rules.rule_chain(candidates, settings, ["app"])
     return rules.ranked_rules(final, ["app"]), dropped
 
@@ -102,7 +103,7 @@ def assign_rules(observed: DataFrame, candidates: DataFrame, windows: bool = Tru
     static = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(r)) for r, bad in reasons.items()]))
     screened = candidates.withColumn("_static", static)
     usable = screened.filter((F.size("_static") == 0) & is_windows).select(*by, "rule_rank")
-    open_edges = attach(edges, usable, [*by, "rule_rank"], salt_on=["obs_id"])
+    open_edges = null_safe_join(edges, usable, [*by, "rule_rank"])
     accepted, _ = coverage.accept_rules(open_edges, by)
     accepted = cut_lineage(accepted)
     assignment = cut_lineage(coverage.first_accepted(open_edges, accepted, by))
@@ -128,11 +129,9 @@ def assign_rules(observed: DataFrame, candidates: DataFrame, windows: bool = Tru
         F.when(rejected, V.STATUS_REJECTED).otherwise(V.STATUS_REVIEW).alias("status"),
         F.when(rejected, F.concat_ws("; ", "_reasons")).otherwise(V.REVIEW_REASON).alias("reason"),
     )
-    # Copies of an observation share its rule; a hot one is spread over salts.
+    # Copies of an observation share its rule.
     matched = values.join(assignment, [*by, "obs_id"]).select(*by, *rules.CONDITIONS, "rule_rank")
-    assignments = attach(observed, matched, [*by, *rules.CONDITIONS], salt_on=["fid"]).select(
-        *by, "fid", "id_num", "rule_rank"
-    )
+    assignments = null_safe_join(observed, matched, [*by, *rules.CONDITIONS]).select(*by, "fid", "rule_rank")
     chosen = null_safe_join(candidates, accepted, [*by, "rule_rank"], "left_semi")
     return ConsolidationPlan(chosen, assignments, assignments.select(*by, "fid"), observed, reviews)
 

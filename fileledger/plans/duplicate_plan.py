@@ -74,7 +74,8 @@ def plan_duplicates(
     snapshot = snapshot.withColumn("org", F.lit(organization))
     groups = dedup.hash_groups(snapshot)
     wanted = dedup.wanted_groups(lookup(candidates, chosen, ["app"], ["hash_key"], "left_semi"), groups, scan_apps)
-    matched = dedup.match_candidates(wanted, groups)
+    # Decided once, for the targets and for whoever asks for the groups.
+    matched = cut_lineage(dedup.match_candidates(wanted, groups))
     targets = dedup.with_application_fields(dedup.removal_targets(snapshot, matched), scoped)
     return DuplicatePlan(reconcile.with_fingerprint(snapshot), matched, targets, scoped)
 

@@ -68,7 +68,6 @@ def removal_waves(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(views.ORG).alias("org"), views.app_id(F.col("o_orderpriority")).alias("app"),
         views.text_hash(F.col("o_orderstatus")).alias("hash_key"),
         (F.col("o_orderkey") + 1).cast("string").alias("fid"),
-        (F.col("o_orderkey") + 1).cast("decimal(38,0)").alias("id_num"),
     )
     return dedup.removal_waves(orders).select(
         "app", F.col("hash_key").alias("hash"), "fid", F.col("position").cast("long").alias("position"), "wave"
