@@ -24,13 +24,12 @@ from fileledger.session import cut_lineage
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Labelled rows to learn from, by language.
 SAMPLE_ROWS = 500
-LONGEST_PIECE = 8
 #: Probability of a character that is no piece of the vocabulary, in any language.
 UNKNOWN = 1e-7
-#: Least probability of a piece, and longest part of a word that is summed at once: longer words
-#: are cut, so that the sums stay in the range of a double.
+#: Least probability of a piece, and length up to which the sums of a word stay in the range of
+#: a double; those of longer words are kept as logarithms.
 LEAST_PROBABILITY = 1e-9
-LONGEST_PART = 30
+LONGEST_PLAIN = 30
 #: Distinct words whose probabilities a worker remembers; texts whose new words are summed together.
 REMEMBERED = 400_000
 TOGETHER = 64
@@ -39,12 +38,12 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def vocabulary(model_file: str) -> list[str]:
-    """Pieces of a sentencepiece vocabulary without case, up to LONGEST_PIECE characters."""
+    """Pieces of a sentencepiece vocabulary without case, of any length."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
     ids = (i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return sorted({p for p in map(sp.id_to_piece, ids) if p == p.lower() and 0 < len(p) <= LONGEST_PIECE})
+    return sorted({p for p in map(sp.id_to_piece, ids) if p and p == p.lower()})
 
 
 def words_of(text: str) -> list[str]:
@@ -55,23 +54,16 @@ def has_letter(words: list[str]) -> bool:
     return any(w.isalpha() or any(map(str.isalpha, w)) for w in words)
 
 
-def parts_of(word: str) -> Iterator[str]:
-    """The word with its start mark, cut where it is longer than a sum can hold."""
-    marked = "▁" + word
-    for i in range(0, len(marked), LONGEST_PART):
-        yield marked[i : i + LONGEST_PART]
-
-
-def _hashes(codes: np.ndarray) -> Iterator[np.ndarray]:
+def _hashes(codes: np.ndarray, longest: int) -> Iterator[np.ndarray]:
     """For each piece length the hash of every substring of that length, by its start."""
     h = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
-    for k in range(1, min(LONGEST_PIECE, codes.shape[1]) + 1):
+    for k in range(1, min(longest, codes.shape[1]) + 1):
         h = h[:, :-1] * _STEP + codes[:, k - 1 :]
         yield h
 
 
-def _codes(parts: list[str], length: int) -> np.ndarray:
-    return np.frombuffer("".join(parts).encode("utf-32-le"), "<u4").reshape(-1, length).astype(np.uint64)
+def _codes(words: list[str], length: int) -> np.ndarray:
+    return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(-1, length).astype(np.uint64)
 
 
 class Pieces:
@@ -83,18 +75,19 @@ class Pieces:
     def __init__(self, names: list[str], table: np.ndarray) -> None:
         self.absent = len(names)
         self.table = np.vstack([table.T, np.zeros(table.shape[0])])
+        self.longest = max(map(len, names), default=1)
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for k in range(1, LONGEST_PIECE + 1):
+        for k in range(1, self.longest + 1):
             own = [i for i, p in enumerate(names) if len(p) == k]
             if own:
-                *_, h = _hashes(_codes([names[i] for i in own], k))
+                *_, h = _hashes(_codes([names[i] for i in own], k), k)
                 order = np.argsort(h[:, 0])
                 self.by_length[k] = h[order, 0], np.array(own)[order]
 
     def places(self, codes: np.ndarray) -> list[np.ndarray]:
         """By piece length: the piece at each start, or ``absent``."""
         out = []
-        for k, h in enumerate(_hashes(codes), 1):
+        for k, h in enumerate(_hashes(codes, self.longest), 1):
             known, piece = self.by_length.get(k, (np.zeros(1, np.uint64), np.array([self.absent])))
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
             out.append(np.where(known[at] == h, piece[at], self.absent))
@@ -104,47 +97,66 @@ class Pieces:
         p = self.table[place, languages]
         return np.where((place == self.absent)[..., None], UNKNOWN, p) if k == 1 else p
 
-    def sums(self, places: list[np.ndarray], languages: slice) -> list[np.ndarray]:
-        """Forward sums: by end, the probability of all segmentations up to there."""
+    def sums(self, places: list[np.ndarray], languages: slice, logs: bool) -> list[np.ndarray]:
+        """Forward sums: by end, the probability of all segmentations up to there, or its logarithm."""
         n = places[0].shape[1]
-        fore = [np.ones_like(self.table[places[0][:, 0], languages])]
+        fore = [(np.zeros_like if logs else np.ones_like)(self.table[places[0][:, 0], languages])]
         for end in range(1, n + 1):
-            fore.append(sum(fore[end - k] * self.weights(places[k - 1][:, end - k], k, languages) for k in range(1, min(len(places), end) + 1)))
+            steps = range(1, min(len(places), end) + 1)
+            parts = ((fore[end - k], self.weights(places[k - 1][:, end - k], k, languages)) for k in steps)
+            fore.append(log_sum(parts) if logs else sum(f * w for f, w in parts))
         return fore
 
+    def backward(self, places: list[np.ndarray], languages: slice, logs: bool) -> list[np.ndarray]:
+        """By start, the probability of all segmentations from there on, or its logarithm."""
+        n = places[0].shape[1]
+        empty = (np.zeros_like if logs else np.ones_like)(self.table[places[0][:, 0], languages])
+        back = [empty] * (n + 1)
+        for start in range(n - 1, -1, -1):
+            steps = range(1, min(len(places), n - start) + 1)
+            parts = ((back[start + k], self.weights(places[k - 1][:, start], k, languages)) for k in steps)
+            back[start] = log_sum(parts) if logs else sum(b * w for b, w in parts)
+        return back
+
     def log_probabilities(self, words: list[str]) -> np.ndarray:
         """A row for each word, a column for each language."""
         out = np.zeros((len(words), self.table.shape[1]))
-        for length, owner, parts in by_length(words):
-            np.add.at(out, owner, np.log(self.sums(self.places(_codes(parts, length)), slice(None))[-1]))
+        for length, owner, marked in by_length(words):
+            logs = length > LONGEST_PLAIN
+            last = self.sums(self.places(_codes(marked, length)), slice(None), logs)[-1]
+            out[owner] = last if logs else np.log(last)
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, language: int) -> np.ndarray:
         """Expected uses of each piece in words of one language, ``counts`` times each."""
         out, own = np.zeros(self.absent + 1), slice(language, language + 1)
-        for length, owner, parts in by_length(words):
-            places = self.places(_codes(parts, length))
-            fore = self.sums(places, own)
-            back = [np.ones((len(parts), 1)) for _ in range(length + 1)]
-            for start in range(length - 1, -1, -1):
-                back[start] = sum(self.weights(places[k - 1][:, start], k, own) * back[start + k] for k in range(1, min(len(places), length - start) + 1))
-            scale = counts[owner, None] / fore[-1]
+        for length, owner, marked in by_length(words):
+            logs = length > LONGEST_PLAIN
+            places = self.places(_codes(marked, length))
+            fore, back = self.sums(places, own, logs), self.backward(places, own, logs)
             for k, place in enumerate(places, 1):
                 for start in range(place.shape[1]):
-                    use = fore[start] * self.weights(place[:, start], k, own) * back[start + k] * scale
-                    out += np.bincount(place[:, start], use[:, 0], self.absent + 1)
+                    w, f, b = self.weights(place[:, start], k, own), fore[start], back[start + k]
+                    use = w * np.exp(f + b - fore[-1]) if logs else f * w * b / fore[-1]
+                    out += np.bincount(place[:, start], use[:, 0] * counts[owner], self.absent + 1)
         return out[:-1]
 
 
+def log_sum(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Logarithm of the sum of exp(a) * w over the parts (a, w)."""
+    exponents, weights = map(np.stack, zip(*parts, strict=True))
+    top = np.where(weights > 0, exponents, -np.inf).max(0)  # a piece of one character always counts
+    return top + np.log((np.exp(np.minimum(exponents - top, 0)) * weights).sum(0))
+
+
 def by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray, list[str]]]:
-    """The parts of the words by their length, with the number of the word they belong to."""
+    """The words with their start marks by length, and their numbers."""
     groups: dict[int, tuple[list[int], list[str]]] = {}
     for i, w in enumerate(words):
-        for part in parts_of(w):
-            owner, parts = groups.setdefault(len(part), ([], []))
-            owner.append(i), parts.append(part)
-    for length, (owner, parts) in groups.items():
-        yield length, np.array(owner), parts
+        owner, marked = groups.setdefault(len(w) + 1, ([], []))
+        owner.append(i), marked.append("▁" + w)
+    for length, (owner, marked) in groups.items():
+        yield length, np.array(owner), marked
 
 
 def _sample(docs: DataFrame, rows: int) -> DataFrame:

@@ -1,9 +1,10 @@
 """Sharding: best-fit-decreasing packing of indivisible groups into fixed-capacity shards.
 
-A group is all rows with the same text. Items of the packing are the groups of at least
-1/FINE of all bytes, of which there are at most FINE, and bundles of smaller groups, dealt
-by hash into BUNDLES bundles. The packing therefore handles at most FINE + BUNDLES items
-at any input size; rows are grouped, dealt and numbered by Spark.
+A group is all rows with the same text. Groups of equal size form a run, ranked by distributed
+prefix sums. The packing goes through the runs from the largest size down and puts as many
+groups of a run as fit into the tightest shard, which is what it would do with one group after
+the other. There are at most sqrt(2 * bytes) sizes, some millions in 100 TB, however many groups.
+Groups meet their shard by size and rank.
 """
 
 from __future__ import annotations
@@ -12,14 +13,10 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fileledger.llm.common import prefix_sums
 from fileledger.session import cut_lineage
 
-FINE = 16384
-BUNDLES = 4096
-
 
 class CapacityTree:
     """Balanced search tree (a treap) of (remaining capacity, bin), for tightest-fit queries."""
@@ -84,23 +81,44 @@ def best_fit_decreasing(sizes: Iterable[int], capacity: int, most: int | None =
     return out
 
 
-def pack_into(sizes: list[int], shards: int) -> list[int]:
+def best_fit_runs(runs: Iterable[tuple[int, int]], capacity: int, most: int) -> list[tuple[int, int, int, int]] | None:
+    """The same for runs (size, count) in decreasing order: (size, first rank, count, bin) of what goes
+    together. The tightest bin that took one item stays the tightest for the next of its size."""
+    tree, bins, out = CapacityTree(), 0, []
+    for size, count in runs:
+        if size > capacity:
+            return None
+        rank = 0
+        while rank < count:
+            found = tree.take_tightest(size)
+            if found is None:
+                if bins >= most:
+                    return None
+                found, bins = (capacity, bins), bins + 1
+            n = min(count - rank, found[0] // size)
+            tree.add(found[0] - n * size, found[1])
+            out.append((size, rank, n, found[1]))
+            rank += n
+    return out
+
+
+def pack_into(runs: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
     """Best fit decreasing at the least capacity found that needs no more than ``shards`` bins."""
-    low = max([-(-sum(sizes) // shards), *sizes[:1]])
+    low = max([-(-sum(s * n for s, n in runs) // shards), *[s for s, _ in runs[:1]]])
     high = max(low, 2 * low)
-    best = best_fit_decreasing(sizes, low, shards)
+    best = best_fit_runs(runs, low, shards)
     if best is not None:
         return best
-    while (best := best_fit_decreasing(sizes, high, shards)) is None:
+    while (best := best_fit_runs(runs, high, shards)) is None:
         high *= 2
     while high - low > max(1, low // 100_000):
         middle = (low + high) // 2
-        got = best_fit_decreasing(sizes, middle, shards)
+        got = best_fit_runs(runs, middle, shards)
         low, high, best = (low, middle, got) if got is not None else (middle, high, best)
     return best
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, fine: int = FINE, bundles: int = BUNDLES) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """Per row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Law ``bytes``: the bytes of the shards are near equal, rows of equal text stay
@@ -116,24 +134,15 @@ def shard_documents(docs: DataFrame, shards: int = 8, fine: int = FINE, bundles:
         F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("_group"),
     )
     sized = cut_lineage(sized)
-    bundle = F.pmod(F.xxhash64("_group"), F.lit(bundles)).cast("int")
-    groups = cut_lineage(sized.groupBy("_group").agg(F.sum("size").alias("bytes")).withColumn("_bundle", bundle))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    large = groups.filter(F.col("bytes") * fine >= total)
-    big = [(r["_group"], r["bytes"]) for r in large.select("_group", "bytes").collect()]
-    small = groups.filter(F.col("bytes") * fine < total).groupBy("_bundle").agg(F.sum("bytes").alias("bytes")).collect()
-    items = sorted([(-b, 0, g) for g, b in big] + [(-r["bytes"], 1, r["_bundle"]) for r in small])
-    bins = pack_into([-b for b, _, _ in items], shards) if items else []
-    named = [(key, no) for (_, kind, key), no in zip(items, bins, strict=True) if kind == 0]
-    dealt = [0] * bundles
-    for (_, kind, key), no in zip(items, bins, strict=True):
-        if kind == 1:
-            dealt[key] = no
-    schema = T.StructType([T.StructField("_group", T.StringType()), T.StructField("_named", T.IntegerType())])
-    # At most FINE rows, see above.
-    names = F.broadcast(spark.createDataFrame(named, schema))
-    shard = F.coalesce(F.col("_named"), F.element_at(F.lit(dealt), bundle + 1)).cast("int")
-    placed = cut_lineage(sized.join(names, "_group", "left").withColumn("shard", shard).drop("_named"))
+    groups = cut_lineage(sized.groupBy("_group").agg(F.sum("size").alias("_bytes")))
+    counted = groups.groupBy("_bytes").agg(F.count("*").alias("n")).collect()  # one row a size, see above
+    moves = pack_into(sorted(((r["_bytes"], r["n"]) for r in counted), reverse=True), shards) if counted else []
+    runs = spark.createDataFrame(moves, "_size long, _first long, _n long, shard int")
+    ranked = prefix_sums(groups, ["_bytes"], ["_group"], F.lit(1), "_rank")
+    inside = (F.col("_bytes") == F.col("_size")) & F.col("_rank").between(F.col("_first"), F.col("_first") + F.col("_n") - 1)
+    # Written, so that the join with the rows reads its exchange directly and a hot group can be split.
+    dealt = cut_lineage(ranked.join(runs, inside).select("_group", "shard"))
+    placed = cut_lineage(sized.join(dealt, "_group"))
     slots = prefix_sums(placed, ["shard"], ["_group", "doc_id"], F.lit(1), "slot")
     return slots.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")

@@ -1,8 +1,10 @@
 """Operators against brute force on small tables with nulls, ties, repeats and clashing columns."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -167,6 +169,45 @@ def test_best_fit_decreasing_is_the_plain_one():
         assert sorted(capacity - x for x in load.values()) == sorted(free)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_runs_are_packed_like_single_groups(seed):
+    rng = random.Random(seed)
+    sizes = sorted((rng.randint(1, 30) ** 2 for _ in range(400)), reverse=True)
+    runs = sorted(Counter(sizes).items(), reverse=True)
+    for capacity in (900, 1500, 9000):
+        bins = sharding.best_fit_decreasing(sizes, capacity)
+        moves = sharding.best_fit_runs(runs, capacity, len(sizes))
+        one, other = Counter(), Counter()
+        for s, b in zip(sizes, bins, strict=True):
+            one[b] += s
+        for s, _, n, b in moves:
+            other[b] += s * n
+        assert sorted(one.values()) == sorted(other.values())
+        for s, n in runs:  # ranks of a size are dealt once each
+            assert sorted(r for size, first, m, _ in moves if size == s for r in range(first, first + m)) == list(range(n))
+    assert sharding.best_fit_runs(runs, sizes[0] - 1, 10**6) is None and sharding.best_fit_runs(runs, 900, 1) is None
+
+
+def test_many_small_groups_are_packed_by_size(spark):
+    """50,000 groups, each far below 1/16384 of all bytes, against best fit one by one."""
+    rng = random.Random(8)
+    rows = [(i, f"{i} " + "x" * rng.randint(1, 90), "en", "a") for i in range(50_000)]
+    got = sharding.shard_documents(table(spark, rows), shards=8).collect()
+    sizes = sorted((len(t) + 1 for _, t, _, _ in rows), reverse=True)
+    even = -(-sum(sizes) // 8)
+    load = Counter()
+    for r in got:
+        load[r.shard] += r["size"]
+    plain = Counter()
+    bins = sharding.best_fit_decreasing(sizes, max(load.values()), 8)
+    for s, b in zip(sizes, bins, strict=True):
+        plain[b] += s
+    # The least capacity is searched to one part in 100,000.
+    assert sorted(load.values()) == sorted(plain.values()) and max(load.values()) <= even + even // 100_000 + 1
+    most = Counter(r.shard for r in got if r["size"] == sizes[0])
+    assert len(most) == 1  # the largest fill one shard before the next is opened
+
+
 def test_packing(spark, rows, docs, empty):
     from tokenizers import Tokenizer
 
@@ -223,6 +264,60 @@ def test_segmentation_sums():
     assert model.expected(["ab"], np.array([2.0]), 0)[1] == pytest.approx(2 * 0.25 * 0.3 / total)
 
 
+@pytest.mark.parametrize("length", [3, 12, 60, 400])
+def test_long_words_and_pieces_are_summed_whole(length):
+    """Against a plain recursion: a piece of twelve letters, words far beyond the range of a product."""
+    rng = random.Random(length)
+    names = ["a", "b", "ab", "▁", "▁a", "abbaabbaabba", "ba" * 7]
+    p = [0.2, 0.1, 0.15, 0.2, 0.05, 0.2, 0.1]
+    model = language.Pieces(names, np.array([p, p[::-1]]))
+    word = "".join(rng.choice(["a", "b", "abbaabbaabba", "c"]) for _ in range(length))[:length]
+    marked = "▁" + word
+    for lang, chances in enumerate((p, p[::-1])):
+        chance = dict(zip(names, chances, strict=True))
+        weight = lambda x: chance.get(x, language.UNKNOWN if len(x) == 1 else 0)
+        fore, back = [Fraction(1)], {len(marked): Fraction(1)}
+        for end in range(1, len(marked) + 1):
+            fore.append(sum(fore[end - k] * Fraction(weight(marked[end - k : end])) for k in range(1, min(14, end) + 1)))
+        for start in range(len(marked) - 1, -1, -1):
+            back[start] = sum(back[start + k] * Fraction(weight(marked[start : start + k])) for k in range(1, min(14, len(marked) - start) + 1))
+        exact = fore[-1]
+        log = math.log(exact.numerator) - math.log(exact.denominator)
+        assert model.log_probabilities([word, "a"])[0, lang] == pytest.approx(log)
+        uses = model.expected([word], np.array([3.0]), lang)
+        for name, use in zip(names, uses, strict=True):
+            want = sum(fore[i] * Fraction(chance[name]) * back[i + len(name)] for i in range(len(marked)) if marked.startswith(name, i))
+            assert use == pytest.approx(float(3 * want / exact))
+
+
+def test_learned_piece_probabilities_are_those_of_plain_em(spark):
+    """One text a language, two rounds of expectation maximisation by hand."""
+    train = spark.createDataFrame([(1, "ab ab ba", "x"), (2, "bb a", "y"), (3, "ab", "x"), (4, "ab", "x")], "doc_id long, text string, lang string")
+    languages, names, table = language.fit_pieces(train, rows=100, rounds=2)
+    assert languages == ["x", "y"] and len(names) > 20_000 and {"▁the"} <= set(names) and max(map(len, names)) > 8
+    counts = {"x": Counter({"ab": 4, "ba": 1}), "y": Counter({"bb": 1, "a": 1})}
+    at = {n: i for i, n in enumerate(names)}
+    want = np.full((2, len(names)), 1 / len(names))
+    for _ in range(2):
+        new = np.zeros_like(want)
+        for i, lang in enumerate(languages):
+            for word, n in counts[lang].items():
+                marked, ways = "▁" + word, []
+                for cuts in range(2 ** (len(marked) - 1)):
+                    ends = [k for k in range(1, len(marked)) if cuts >> (k - 1) & 1] + [len(marked)]
+                    parts = [marked[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+                    if all(x in at or len(x) == 1 for x in parts):
+                        ways.append((math.prod(want[i, at[x]] if x in at else language.UNKNOWN for x in parts), parts))
+                total = sum(w for w, _ in ways)
+                for w, parts in ways:
+                    for x in parts:
+                        if x in at:
+                            new[i, at[x]] += n * w / total
+        pooled, mass = new.sum(0) + 0.01, np.maximum(new.sum(1, keepdims=True), 1.0)
+        want = np.maximum((new + 0.01 * mass * pooled / pooled.sum()) / (1.01 * mass), language.LEAST_PROBABILITY)
+    assert np.allclose(table, want, rtol=1e-9)
+
+
 def test_quality(spark, empty):
     good = [(i, text(i, 80) + ".\n" + text(i + 1, 60) + ".", "en", "s") for i in range(200)]
     bad = [(i, "### " * 40 + "$$$ %%% " * (i % 9), "en", "s") for i in range(200, 300)]
