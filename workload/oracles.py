@@ -446,6 +446,15 @@ WHERE conditions >= 2 AND (safe OR (NOT dangerous AND NOT broad
   AND (safe OR NOT (risky_process AND conditions < 3))"""
 
 
+INSERTED = rf"""wanted AS (SELECT {uuid_of('p_type')} AS app, p_partkey AS rule_no, p_partkey % 8 AS kind FROM part),
+found AS (SELECT w.app, rule_no, kind, CAST(1000000000 + 2 * rule_no + copy AS varchar) AS fid FROM wanted w, range(2) r(copy)
+  WHERE kind <> 0 AND (copy = 0 OR kind = 1)),
+checked AS (SELECT w.app, w.rule_no, min(f.fid) AS fid, CASE WHEN count(f.fid) <> 1 THEN 'Inserted rule missing or ambiguous.'
+    WHEN w.kind IN (2, 5) THEN 'Inserted rule has unexpected matching semantics.'
+    WHEN w.kind = 3 THEN 'Inserted rule original fields disagree with the reviewed conditions.' END AS problem
+  FROM wanted w LEFT JOIN found f USING (app, rule_no) GROUP BY w.app, w.rule_no, w.kind)"""
+
+
 def oracle_sql() -> dict[str, str]:
     plan = with_(*PLAN)
     diff = with_(*PLAN, NOW, DIFF)
@@ -561,4 +570,47 @@ def oracle_sql() -> dict[str, str]:
         "rule_assignment": ASSIGNMENT,
         "consolidation_rules": CONSOLIDATION,
         "dropped_rules": DROPPED,
+        "long_id_waves": f"""SELECT app, hash, fid, position, (position - 1) // 20 AS wave, price FROM (SELECT *,
+              row_number() OVER (PARTITION BY app, hash ORDER BY length(ltrim(fid, '0')), ltrim(fid, '0'), fid) AS position FROM (
+                SELECT {uuid_of('o_orderpriority')} AS app, upper(md5(o_orderstatus)) AS hash, o_totalprice AS price,
+                  CASE (o_orderkey + 1) % 3 WHEN 0 THEN CAST(o_orderkey + 1 AS varchar) WHEN 1 THEN concat('000', o_orderkey + 1)
+                    ELSE concat('1', lpad(CAST(o_orderkey + 1 AS varchar), 44, '0')) END AS fid FROM orders))""",
+        "unknown_fields": with_(REC) + """SELECT app, hash, count(*) AS members,
+            CASE WHEN count(*) >= 2 AND bool_and(plain AND NOT notes LIKE '%-15') THEN CAST(min(id) AS varchar) END AS survivor,
+            CASE WHEN count(*) < 2 THEN 'No current duplicates' WHEN NOT bool_and(plain AND NOT notes LIKE '%-15')
+              THEN 'Ambiguous matching fields or key-file/type flag; entire group preserved' ELSE 'Lowest numeric applicationFileId retained; notes archived' END AS reason
+            FROM rec GROUP BY app, hash""",
+        "padded_ids": with_(REC) + """SELECT 'Invalid or repeated application-file IDs.' AS reason, count(*) AS rows
+            FROM rec WHERE notes LIKE '%-15' HAVING count(*) > 0""",
+        "insertion_matches": with_(INSERTED) + "SELECT app, rule_no, fid, problem FROM checked",
+        "consolidation_difference": with_(INSERTED, f"""old AS (SELECT {uuid_of('p_type')} AS app, p_partkey AS k FROM part),
+            state AS (SELECT k, k % 10 IN (0, 4, 5, 7) AS absent, CASE WHEN k % 10 IN (0, 3) THEN 'Verified' WHEN k % 10 IN (2, 5) THEN 'Dispatched'
+              WHEN k % 10 IN (1, 4) THEN 'Planned' END AS status FROM old),
+            diff AS (SELECT CASE WHEN absent AND status IS NULL THEN 'missing_unplanned' WHEN absent AND status = 'Planned' THEN 'missing_planned'
+                WHEN absent THEN 'verified_absent' WHEN status = 'Verified' THEN 'reappeared' WHEN status = 'Dispatched' THEN 'still_present'
+                ELSE 'unchanged' END AS change FROM state
+              UNION ALL SELECT 'new' FROM found f JOIN checked c USING (app, rule_no) WHERE c.problem IS NOT NULL)""") + """
+            SELECT change AS what, count(*) AS records FROM diff GROUP BY change
+            UNION ALL SELECT CASE change WHEN 'new' THEN 'New application records detected; existing plan cannot proceed.'
+              WHEN 'missing_unplanned' THEN 'Retained or unrelated record disappeared; cleanup stopped.'
+              WHEN 'missing_planned' THEN 'Unsubmitted target disappeared; external change detected.'
+              ELSE 'Previously absent record reappeared; stopped.' END, count(*) FROM diff
+              WHERE change IN ('new', 'missing_unplanned', 'missing_planned', 'reappeared') GROUP BY change
+            UNION ALL SELECT problem, count(*) FROM checked WHERE problem IS NOT NULL GROUP BY problem""",
+        "replacement_records": with_(RULE_SET) + """SELECT app, '' AS hash, false AS "isHashOnly", false AS "keyFile",
+            concat('Consolidation r1 rule ', rule_rank) AS notes, path AS "fullPath", coalesce(process_path, '') AS "processPath",
+            coalesce(certificate, '') AS cert FROM ranked""",
+        "application_health": with_(SIZES, f"""live AS (SELECT {uuid_of('CAST(o_custkey AS varchar)')} AS application_id, count(*) AS live_records,
+              count(*) FILTER (o_totalprice > 50000) AS live_hash_records,
+              count(DISTINCT CASE WHEN o_totalprice > 50000 THEN o_orderpriority END) AS live_distinct_hashes
+              FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_custkey)""") + """
+            SELECT s.application_id, application, reported_hashes, live_records, live_hash_records, live_distinct_hashes
+            FROM sized s LEFT JOIN live USING (application_id)""",
+        "consolidation_progress": """SELECT (SELECT count(*) FROM supplier WHERE s_acctbal > 0) AS rules_verified,
+            count(*) FILTER (l_quantity < 25 AND l_linestatus = 'F') AS deletions_verified, count(*) AS targets FROM lineitem""",
+        "overview": with_(REPORT, SIZES) + """SELECT (SELECT count(DISTINCT app) FROM last) AS applications, (SELECT count(*) FROM last) AS groups,
+            (SELECT count(*) FROM sized WHERE reported_hashes > 1000) AS over_1000,
+            (SELECT count(*) FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linestatus = 'F' AND s_nationkey <> 3) AS verified""",
+        "selective_presence": with_(REC, REQUESTED, NOW) + """SELECT h.app, h.fid, h.hash FROM hit h
+            WHERE EXISTS (SELECT 1 FROM rec_now n WHERE n.app = h.app AND n.id = h.id AND n.hash = h.hash)""",
     }

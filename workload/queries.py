@@ -429,6 +429,101 @@ def consolidation_rules(spark: SparkSession, sf: str) -> DataFrame:
     return plan.reviews
 
 
+# --- operators over less usual rows ----------------------------------------------------
+
+
+def long_id_waves(spark: SparkSession, sf: str) -> DataFrame:
+    """Waves over identifiers that are short, padded, or longer than any number type holds."""
+    key = F.col("o_orderkey") + 1
+    fid = F.when(key % 3 == 0, key.cast("string")).when(key % 3 == 1, F.concat(F.lit("000"), key)).otherwise(
+        F.concat(F.lit("1"), F.lpad(key.cast("string"), 44, "0"))
+    )
+    orders = views.table(spark, sf, "orders").select(
+        F.lit(views.ORG).alias("org"), views.app_id(F.col("o_orderpriority")).alias("app"),
+        views.text_hash(F.col("o_orderstatus")).alias("hash_key"), fid.alias("fid"), F.col("o_totalprice").alias("price"),
+    )
+    return dedup.removal_waves(orders, 20).select(
+        "app", F.col("hash_key").alias("hash"), "fid", F.col("position").cast("long").alias("position"), "wave", "price"
+    )
+
+
+def unknown_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of records of which some carry a filled column that the library does not know."""
+    tagged = views.records(spark, sf).withColumn("customTag", F.when(F.endswith("notes", F.lit("-15")), F.col("notes")))
+    groups = dedup.hash_groups(dedup.record_view(tagged))
+    return groups.select("app", F.col("hash_key").alias("hash"), "members", "survivor", "reason")
+
+
+def padded_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Identifiers that repeat but for leading zeros."""
+    rows = views.records(spark, sf).withColumn("app", F.col("applicationId"))
+    padded = rows.filter(F.endswith("notes", F.lit("-15"))).withColumn("applicationFileId", F.concat(F.lit("00"), "applicationFileId"))
+    found = record_violations(rows.unionByName(padded), views.applications(spark, sf), views.ORG)
+    return found.groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def insertion_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Each inserted rule among new records: found, missing, doubled, changed or narrowed."""
+    return reconcile.match_insertions(views.inserted_records(spark, sf), views.insertions(spark, sf)).select(
+        "app", "rule_no", "fid", "problem"
+    )
+
+
+def consolidation_difference(spark: SparkSession, sf: str) -> DataFrame:
+    """What a consolidation run changed, and what of it stops the run."""
+    baseline = reconcile.with_fingerprint(views.observation_records(spark, sf))
+    part = F.col("fid").cast("long") - 1
+    inserted = dedup.record_view(views.inserted_records(spark, sf).drop("app", "fid"))
+    kept = baseline.filter(~(part % 10).isin(0, 4, 5, 7)).drop("fingerprint")
+    current = reconcile.with_fingerprint(kept.unionByName(inserted, allowMissingColumns=True))
+    status = F.when((part % 10).isin(0, 3), "Verified").when((part % 10).isin(2, 5), "Dispatched").when((part % 10).isin(1, 4), "Planned")
+    deletions = baseline.select("app", "fid", status.alias("status")).filter("status IS NOT NULL")
+    # The fingerprint covers the columns both have.
+    common = [c for c in baseline.columns if c in current.columns]
+    baseline = reconcile.with_fingerprint(baseline.select(*common).drop("fingerprint"))
+    diff, bad = reconcile.consolidation_diff(baseline, current, views.insertions(spark, sf), deletions)
+    changes = diff.groupBy(F.col("change").alias("what")).agg(F.count(F.lit(1)).alias("records"))
+    return changes.unionByName(bad.groupBy(F.col("reason").alias("what")).agg(F.count(F.lit(1)).alias("records")))
+
+
+def replacement_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules as the records they would be inserted as."""
+    return consolidation_plan.replacement_records(_ranked(spark, sf), "r1", views.ORG).select(
+        "app", "hash", "isHashOnly", "keyFile", "notes", "fullPath", "processPath", "cert"
+    )
+
+
+def application_health(spark: SparkSession, sf: str) -> DataFrame:
+    """Reported sizes of large applications next to their live records."""
+    live = views.table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(
+        views.app_id(F.col("o_custkey").cast("string")).alias("app"),
+        F.when(F.col("o_totalprice") > 50000, views.text_hash(F.col("o_orderpriority"))).alias("hash_key"),
+    )
+    report = large_report(views.size_report_rows(spark, sf), views.ORG).rows
+    return insights.with_live_counts(report, insights.live_counts(live)).select(
+        "application_id", "application", "reported_hashes", "live_records", "live_hash_records", "live_distinct_hashes"
+    )
+
+
+def consolidation_progress(spark: SparkSession, sf: str) -> DataFrame:
+    items = views.table(spark, sf, "lineitem")
+    status = F.when(F.col("l_linestatus") == "F", "Verified").otherwise("Dispatched").alias("status")
+    rules_ = views.table(spark, sf, "supplier").select(F.when(F.col("s_acctbal") > 0, "Verified").alias("status"))
+    return insights.consolidation_progress(rules_, items.filter("l_quantity < 25").select(status), items.select(status))
+
+
+def overview(spark: SparkSession, sf: str) -> DataFrame:
+    """Headline numbers over the report, the large applications and the runs."""
+    large = large_report(views.size_report_rows(spark, sf), views.ORG).rows
+    return insights.overview(_report(spark, sf), large, run_history(spark, sf))
+
+
+def selective_presence(spark: SparkSession, sf: str) -> DataFrame:
+    """Planned targets that a later snapshot still holds under their hash."""
+    now = dedup.record_view(views.records_now(spark, sf))
+    return requested.selective_presence(_requested(spark, sf).targets, now).select("app", "fid", "hash")
+
+
 def dropped_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Mined rules that a path-only family takes along, with the family, for review."""
     observed = cut_lineage(_observed(spark, sf))
@@ -447,6 +542,8 @@ def queries() -> dict[str, Query]:
         requested_counts, requested_preview, recovered_targets, note_parse, usable_notes, path_normalize,
         version_collapse, path_heads, certificate_vendors, record_hashes, observation_rows, candidate_pairs,
         pair_export, base_rules, rules_final, rule_suppression, rule_risk, dangerous_filter, rule_coverage,
-        rule_assignment, consolidation_rules, dropped_rules,
+        rule_assignment, consolidation_rules, dropped_rules, long_id_waves, unknown_fields, padded_ids,
+        insertion_matches, consolidation_difference, replacement_records, application_health,
+        consolidation_progress, overview, selective_presence,
     ]
     return {q.__name__: q for q in names}

@@ -148,6 +148,37 @@ def observation_records(spark: SparkSession, sf: str) -> DataFrame:
     return record_view(rows)
 
 
+def insertions(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule that a run has inserted for every part."""
+    return _inserted(spark, sf).select("app", "rule_no", "notes", "fullPath", "processPath", "cert", "installedBy")
+
+
+def _inserted(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("p_partkey")
+    return table(spark, sf, "part").select(
+        app_id(F.col("p_type")).alias("app"), key.alias("rule_no"), F.concat(F.lit("Consolidation r1 rule "), key).alias("notes"),
+        F.concat(F.lit("c:\\program files\\"), F.lower("p_brand"), F.lit("\\*\\"), F.col("p_name"), F.lit(".exe")).alias("fullPath"),
+        F.concat(F.lit("c:\\program files\\"), F.lower("p_brand"), F.lit("\\launcher.exe")).alias("processPath"),
+        F.lit("").alias("cert"), F.concat("p_brand", F.lit(" ")).alias("installedBy"),
+    )
+
+
+def inserted_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The records those rules became: some missing, doubled, narrowed or with other originals."""
+    kind = F.col("rule_no") % 8
+    rows = _inserted(spark, sf).filter(kind != 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(kind == 1, 1).otherwise(0))))
+    return rows.select(
+        "app", F.col("app").alias("applicationId"), F.lit(ORG).alias("organizationId"),
+        (F.lit(10**9) + 2 * F.col("rule_no") + F.col("copy")).cast("string").alias("applicationFileId"),
+        (F.lit(10**9) + 2 * F.col("rule_no") + F.col("copy")).cast("string").alias("fid"),
+        F.lit("").alias("hash"), F.lit(False).alias("isHashOnly"), F.lit(False).alias("keyFile"), "notes", "fullPath",
+        "processPath", "cert", F.trim("installedBy").alias("installedBy"),
+        F.when(kind == 2, "named").otherwise("").alias("name"),
+        F.when(kind == 3, "c:\\other").when(kind == 4, F.concat("fullPath", F.lit(" "))).alias("originalFullPath"),
+        F.when(kind == 5, "tag").alias("customTag"),
+    )
+
+
 def free_notes(spark: SparkSession, sf: str) -> DataFrame:
     """Part notes, whole documents and page addresses as notes."""
     parts = table(spark, sf, "part").select(
