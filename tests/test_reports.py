@@ -1,11 +1,12 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from fileledger.operators import insights, requested
 from fileledger.operators.dedup import record_view
 from fileledger.operators.validate import ValidationError
-from fileledger.sources import reports, snapshots
+from fileledger.sources import files, reports, snapshots
 from tests.helpers import APP, APP2, H, ORG, applications, frame, record
 
 
@@ -46,6 +47,42 @@ def test_quoted_line_breaks_and_json_lines(spark, tmp_path):
     assert {r["hash"] for r in report.rows.collect()} == {H, "C" * 64}
 
 
+@pytest.mark.parametrize("form", ["array", "pretty", "data", "lone"])
+def test_json_arrays_are_read_by_many_tasks(spark, tmp_path, form):
+    rows = [row(hash_=f"{i:064X}", Name='a "b" \\ ü', Count=i if i % 2 else None) for i in range(400 if form != "lone" else 1)]
+    document = {"data": rows} if form == "data" else rows
+    path = write(tmp_path, "r.json", json.dumps(document, indent=2 if form == "pretty" else None) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        found = files.read_json_rows(spark, path)
+        tasks = {r[0] for r in found.select(F.spark_partition_id()).distinct().collect()}
+        report = reports.read_duplicate_report(spark, path, ORG)
+        got = {r["hash"]: (r["name"], r["count"]) for r in report.rows.collect()}
+        order = [r["Hash"] for r in found.orderBy(files.ORDER).select("Hash").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(tasks) > 3 or form == "lone"
+    assert got == {r["Hash"]: (r["Name"], None if r["Count"] is None else str(r["Count"])) for r in rows}
+    assert order == [r["Hash"] for r in rows]
+
+
+@pytest.mark.parametrize("text", [
+    json.dumps([row(Name="br{ace"), row(hash_="C" * 64, Name="end}")]), json.dumps([row(Name={"n": 1}), row(hash_="C" * 64)]),
+    json.dumps({"total": 2, "data": [row(), row(hash_="C" * 64)]}), json.dumps({"data": [row(), row(hash_="C" * 64)], "next": None}),
+    json.dumps(row()) + "\n" + json.dumps(row(hash_="C" * 64)),
+])
+def test_other_json_documents_are_read_whole(spark, tmp_path, text):
+    path = write(tmp_path, "r.json", text)
+    multi_line = not text.startswith('{"OrganizationId"')
+    assert {r["Hash"] for r in files.read_json_rows(spark, path, multi_line).collect()} == {H, "C" * 64}
+
+
+@pytest.mark.parametrize("text", ['[{"Hash": "a"} {"Hash": "b"}]', '[{"Hash": "a"}, {"Hash": b}]', '[{"Hash": "a"}', '[{"Hash" "a"}, {"Hash": "b"}]'])
+def test_malformed_json_is_rejected(spark, tmp_path, text):
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        files.read_json_rows(spark, write(tmp_path, "r.json", text)).collect()
+
+
 @pytest.mark.parametrize("bad", [row(org=APP), row(app="x"), row(hash_="12"), {"Hash": H}])
 def test_bad_reports_are_rejected_whole(spark, tmp_path, bad):
     with pytest.raises(ValidationError):
