@@ -20,6 +20,7 @@ group meet only those outside it, so that one outsider costs a large group one p
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -244,19 +245,26 @@ def passing(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return met.mapInArrow(check, "a long, b long")
 
 
-def node_texts(wanted: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
+class Owners(NamedTuple):
+    """A row that has the text of each node, and whether some rows are equal in id and text."""
+
+    rows: DataFrame
+    repeated: bool
+
+
+def node_texts(wanted: DataFrame, docs: DataFrame, owners: Owners) -> DataFrame:
     """(node, text) of the wanted nodes, once each, by the key of a row that has the text.
 
     The few keys are broadcast where they are counted to be few, so that other texts are not
-    moved.
+    moved. Joins with a hot node can be split, as what they read is either written or scanned.
     """
-    wanted = in_few_tasks(owners.join(wanted, "node"))
+    wanted = in_few_tasks(owners.rows.join(wanted, "node"))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
-    found = docs.select(*row_keys(), "text").join(wanted, ["row1", "row2"])
-    return found.groupBy("node").agg(F.first("text").alias("text"))
+    found = docs.select(*row_keys(), "text").join(wanted, ["row1", "row2"]).select("node", "text")
+    return cut_lineage(found.groupBy("node").agg(F.first("text").alias("text"))) if owners.repeated else found
 
 
-def node_sets(wanted: DataFrame, docs: DataFrame, owners: DataFrame, width: int) -> DataFrame:
+def node_sets(wanted: DataFrame, docs: DataFrame, owners: Owners, width: int) -> DataFrame:
     """(node, hashes): the sorted shingle hashes of each wanted node, eight bytes each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +276,7 @@ def node_sets(wanted: DataFrame, docs: DataFrame, owners: DataFrame, width: int)
     return node_texts(wanted, docs, owners).mapInArrow(sets, "node long, hashes binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, owners: Owners, width: int, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union on the full sets."""
     ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     texts = node_texts(ends, docs, owners)
@@ -334,7 +342,7 @@ def links_between(table: pa.Table, threshold: float, percent: int) -> pa.Table:
 
 
 def apart(
-    members: DataFrame, groups: DataFrame, nodes: DataFrame, docs: DataFrame, owners: DataFrame, width: int, percent: int
+    members: DataFrame, groups: DataFrame, nodes: DataFrame, docs: DataFrame, owners: Owners, width: int, percent: int
 ) -> tuple[DataFrame, DataFrame]:
     """What shares a bucket and lies in different groups: pairs of small buckets that may
     reach the threshold, and verified links of large ones."""
@@ -381,7 +389,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = with_own_nodes(cut_lineage(sketch_documents(docs, width)))
     filled = rows.filter("node is not null")
     nodes = cut_lineage(filled.select("node", "n_shingles", "registers").dropDuplicates(["node"]))
-    owners = filled.groupBy("node").agg(F.min(F.struct("row1", "row2")).alias("row")).select("node", "row.*")
+    chosen = filled.groupBy("node").agg(F.min(F.struct("row1", "row2")).alias("row")).select("node", "row.*")
+    owners = Owners(chosen, not filled.groupBy("row1", "row2").count().filter("count > 1").isEmpty())
     keys = band_keys(nodes)
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).filter("n > 1")
     members = cut_lineage(keys.join(shared, "key"))
