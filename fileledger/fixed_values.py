@@ -144,6 +144,20 @@ SEGMENT_TMP = r"\.tmp(?:-\d+)?"
 VOLATILE_MARK = "<VOLATILE>"
 
 # Share of distinct values above which a non-volatile position is wildcarded.
+# Presets of rule mining. Narrow keeps user profiles, versions, whole paths and siblings apart;
+# broad adds pairs with creators and merges siblings to their heads.
+PROFILES = {
+    "conservative": {"levels": 4, "narrow": True, "broad": False},
+    "balanced": {"levels": 3, "narrow": False, "broad": False},
+    "aggressive": {"levels": 2, "narrow": False, "broad": True},
+}
+CONSOLIDATION_LEVELS = 4
+LEAST_LEVELS = 2
+MOST_WILDCARDS = 2
+EXAMPLE_PATHS = 5
+RISKY_PROCESS_CONDITIONS = 3
+FAMILY_MEMBERS = 3
+FAMILY_STRENGTHS = ["off", "conservative", "balanced", "aggressive"]
 DISTINCT_SHARE = {"aggressive": 0.65, "balanced": 0.80}
 
 # --- macOS clean-up --------------------------------------------------------
@@ -236,3 +250,19 @@ REJECT_MACOS = "macOS candidate application is not yet live validated"
 REVIEW_REASON = "Expands beyond exact hashes; review conditions before applying"
 STATUS_REJECTED = "Preserved / review"
 STATUS_REVIEW = "Review required"
+
+# Messages of the checks that compare snapshots, plans and requests.
+MESSAGE_NEW = "New application records detected; existing plan cannot proceed."
+MESSAGE_CHANGED = "Record fields changed; existing plan cannot proceed."
+MESSAGE_MISSING_UNPLANNED = "Retained or unrelated record disappeared; cleanup stopped."
+MESSAGE_MISSING_PLANNED = "Unsubmitted target disappeared; external change detected."
+MESSAGE_REAPPEARED = "Previously absent record reappeared; stopped."
+MESSAGE_METADATA = "Application metadata changed; build a new plan."
+MESSAGE_RULE_MISSING = "Inserted rule missing or ambiguous."
+MESSAGE_RULE_SEMANTICS = "Inserted rule has unexpected matching semantics."
+MESSAGE_RULE_ORIGINALS = "Inserted rule original fields disagree with the reviewed conditions."
+MESSAGE_RULE_CHANGED = "Inserted rule changed."
+MESSAGE_TARGET_CHANGED = "Saved target changed hash or rule type; recovery blocked."
+MESSAGE_CANDIDATE_ORGANIZATION = "Candidate organization mismatch."
+MESSAGE_IDENTITY = "Invalid organization or application ID."
+MESSAGE_HASH = "Invalid report hash; expected 32, 40 or 64 hexadecimal characters."

@@ -120,9 +120,9 @@ def collapse_versions(path: Column) -> Column:
 
 def generalized_path(path: Column, settings: RuleSettings) -> Column:
     """A normalised path after the profile and version wildcards a profile allows."""
-    if settings.wildcard_user_profiles:
+    if settings.paths.any_profile:
         path = wildcard_user_profile(path)
-    if settings.collapse_version_dirs:
+    if settings.paths.any_version:
         path = collapse_versions(path)
     return path
 
@@ -215,7 +215,7 @@ def head_depth(directory: Column, requested: int, settings: RuleSettings) -> Col
     name never becomes part of the key of a shallow tree.
     """
     requested = max(1, requested)
-    if not settings.adaptive_program_files_depth:
+    if not settings.paths.fit_program_files:
         return F.lit(requested)
     depth = F.size(directory)
     deep = F.least(F.lit(max(requested, 3)), depth)
@@ -235,8 +235,8 @@ def group_head(
     root_: Column, parts: Column, directory: Column, sep: Column, settings: RuleSettings
 ) -> Column:
     """Leading folders that identify where a path belongs."""
-    levels = head_depth(directory, settings.wildcard_head_levels, settings)
-    source = directory if settings.use_directory_head_for_grouping else parts
+    levels = head_depth(directory, settings.paths.levels, settings)
+    source = directory if settings.paths.folders_only else parts
     return join_path(root_, F.slice(source, F.lit(1), F.greatest(F.lit(1), levels)), sep)
 
 
@@ -253,7 +253,7 @@ def wildcard_at_depth(
     folders = join_path(root_, F.slice(directory, F.lit(1), wanted), sep)
     # One wildcard is the leaf itself.
     return F.when(F.size(directory) == 0, path).when(
-        stars(folders) < settings.max_wildcards, F.concat(folders, sep, F.lit("*"), kept)
+        stars(folders) < settings.paths.wildcards, F.concat(folders, sep, F.lit("*"), kept)
     )
 
 

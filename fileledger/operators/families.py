@@ -64,7 +64,7 @@ def language_families(paths: DataFrame, keys: Sequence[str], settings: RuleSetti
     sep = F.when(F.contains("prefix", F.lit("\\")), F.lit("\\")).otherwise(F.lit("/"))
     family = _below(F.col("prefix"), sep, F.lit("*"))
     return stats.select(*keys, family.alias("family")).filter(
-        F.col("family").isNotNull() & (stars(F.col("family")) <= settings.max_compression_wildcards)
+        F.col("family").isNotNull() & (stars(F.col("family")) <= settings.families.wildcards)
     )
 
 
@@ -79,7 +79,7 @@ def extension_families(
             F.bool_or(is_user_writable(F.col("path"))).alias("writable"),
             F.min(ext).alias("low_ext"), F.max(ext).alias("high_ext"),
         ).filter(
-            (F.col("members") >= (least or settings.family_min_group))
+            (F.col("members") >= (least or settings.families.least_family))
             & ~F.col("writable")
             & (F.col("low_ext") == F.col("high_ext"))
             & F.col("low_ext").isin(V.FAMILY_EXTENSIONS)
@@ -89,21 +89,21 @@ def extension_families(
     return stats.select(*keys, family.alias("family")).filter(
         F.col("family").isNotNull()
         & ~is_dangerous_user_wildcard(F.col("family"))
-        & (stars(F.col("family")) <= settings.max_compression_wildcards)
+        & (stars(F.col("family")) <= settings.families.wildcards)
     )
 
 
 def certificate_anchors(paths: DataFrame, keys: Sequence[str], settings: RuleSettings) -> DataFrame:
     """Groups of at least three paths outside writable folders: ``<vendor folder>\\*``."""
     safe = paths.filter(~is_user_writable(F.col("path"))).select(*keys, "path")
-    stats = with_prefix(prefix_stats(safe, keys).filter(F.col("members") >= settings.family_min_group))
+    stats = with_prefix(prefix_stats(safe, keys).filter(F.col("members") >= settings.families.least_family))
     first = F.try_element_at("prefix_parts", F.lit(1))
     needed = F.when(first.isin([*V.PROGRAM_FILES, "programdata"]), 2).otherwise(3)
     family = _below(F.col("prefix"), F.col("low_sep"), F.lit("*"))
     return stats.filter(F.size("prefix_parts") >= needed).select(*keys, family.alias("family")).filter(
         F.col("family").isNotNull()
         & ~is_dangerous_user_wildcard(F.col("family"))
-        & (stars(F.col("family")) <= settings.max_compression_wildcards)
+        & (stars(F.col("family")) <= settings.families.wildcards)
     )
 
 
@@ -160,7 +160,7 @@ def compress_sets(sets: DataFrame, keys: Sequence[str], settings: RuleSettings)
         F.min("low_root").alias("low_root"), F.max("high_root").alias("high_root"),
         F.min("low_depth").alias("low_depth"), F.max("high_depth").alias("high_depth"),
     )
-    share = V.DISTINCT_SHARE.get(settings.compression_mode)
+    share = V.DISTINCT_SHARE.get(settings.families.mode)
     varied = F.lit(False) if share is None else F.col("distinct_values") / F.col("n") >= share
     token = F.when(F.col("distinct_values") == 1, F.col("value")).when(
         F.col("volatile") | varied, volatile_wildcard(F.col("value"))
@@ -180,11 +180,11 @@ def compress_sets(sets: DataFrame, keys: Sequence[str], settings: RuleSettings)
         ).alias("tokens"),
     )
     compressed = cut_lineage(compressed)
-    budget = settings.max_compression_wildcards
+    budget = settings.families.wildcards
     return (
         compressed.filter(
             F.col("decided")
-            & (F.col("n") >= settings.compression_min_group)
+            & (F.col("n") >= settings.families.least_members)
             & (F.col("low_root") == F.col("high_root"))
             & (F.col("low_depth") == F.col("high_depth"))
             & F.col("added").between(1, budget)
@@ -206,7 +206,7 @@ def similar_path_families(paths: DataFrame, keys: Sequence[str], settings: RuleS
             )
         )["family"].alias("family")
     )
-    least = max(settings.family_min_group, settings.compression_min_group)
+    least = max(settings.families.least_family, settings.families.least_members)
     by_extension = extension_families(paths, keys, settings, least)
     either = best.withColumn("rank", F.lit(0)).unionByName(by_extension.withColumn("rank", F.lit(1)))
     return either.groupBy(*keys).agg(F.min_by("family", "rank").alias("family"))

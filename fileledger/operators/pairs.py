@@ -40,17 +40,17 @@ def with_path_condition(
     fallback = wildcard_head(head, sep)
     if not wildcard:
         wc = norm
-    elif prefix == "process" and not settings.dynamic_wildcard_depth:
+    elif prefix == "process" and not settings.paths.fit_depth:
         wc = fallback
-    elif settings.dynamic_wildcard_depth:
-        depth = head_depth(folders, settings.wildcard_head_levels, settings)
+    elif settings.paths.fit_depth:
+        depth = head_depth(folders, settings.paths.levels, settings)
         deeper = F.coalesce(wildcard_at_depth(norm, root_, folders, sep, depth, settings), norm)
-        best = F.when(stars(leaf) <= settings.max_wildcards, leaf).otherwise(deeper)
-        wc = F.when(stars(best) > settings.max_wildcards, fallback).otherwise(best)
+        best = F.when(stars(leaf) <= settings.paths.wildcards, leaf).otherwise(deeper)
+        wc = F.when(stars(best) > settings.paths.wildcards, fallback).otherwise(best)
     else:
-        wc = F.when(stars(leaf) > settings.max_wildcards, fallback).otherwise(leaf)
+        wc = F.when(stars(leaf) > settings.paths.wildcards, fallback).otherwise(leaf)
     df = df.withColumn(f"{prefix}_wc", wc)
-    df = df.withColumn(f"{prefix}_key", head if settings.use_heads_in_pairs else norm)
+    df = df.withColumn(f"{prefix}_key", head if settings.pairs.by_head else norm)
     return df.drop(*c.values())
 
 
@@ -81,7 +81,7 @@ def condition_pairs(
     """Two-condition combinations of each observation, keyed and wildcarded."""
     staged = with_path_condition(observations, "path", "path", settings, wildcard=True)
     staged = with_path_condition(
-        staged, "process_path", "process", settings, wildcard=settings.allow_process_path_wildcards
+        staged, "process_path", "process", settings, wildcard=settings.pairs.any_process
     )
     certificate = F.when(
         ~looks_like_path(F.col("certificate_primary")), certificate_condition(F.col("certificate_primary"))
@@ -106,7 +106,7 @@ def condition_pairs(
             ]
         return F.struct(*fields)
 
-    types = list(V.PAIR_TYPES) if settings.include_created_by_pairs else list(V.PAIR_TYPES)[:3]
+    types = list(V.PAIR_TYPES) if settings.pairs.creators else list(V.PAIR_TYPES)[:3]
     exploded = staged.select(
         *by, F.col("path").alias("_path"), "origin", "notes", "row_count",
         F.explode(F.array(*[pair(t) for t in types])).alias("_pair"),
@@ -181,7 +181,7 @@ def candidate_pairs(
     examples = (
         top_per_group(
             by_path.filter("_path is not null").select(*keys, "_path"),
-            keys, [F.col("_path")], settings.max_example_paths,
+            keys, [F.col("_path")], settings.pairs.examples,
         )
         .groupBy(*keys)
         # At most max_example_paths values per pair, for display.
@@ -190,11 +190,11 @@ def candidate_pairs(
     result = null_safe_join(totals, examples, keys, "left").withColumn(
         "example_paths", F.coalesce("example_paths", F.lit(""))
     )
-    if settings.include_example_notes and settings.max_example_notes > 1:
+    if settings.pairs.notes > 1:
         notes = (
             top_per_group(
                 pairs.filter("notes is not null").select(*keys, "origin", "notes"),
-                keys, [F.col("origin")], settings.max_example_notes,
+                keys, [F.col("origin")], settings.pairs.notes,
             )
             .groupBy(*keys)
             .agg(F.transform(F.sort_array(F.collect_list(F.struct("origin", "notes"))), lambda n: n["notes"]).alias("_notes"))

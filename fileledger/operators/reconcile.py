@@ -14,11 +14,11 @@ _DERIVED = {"app", "org", "fid", "id_num", "hash_key", "plain", "fingerprint"}
 
 # Classes that stop a plan, with the message they stop it with.
 BLOCKING = {
-    "new": "New application records detected; existing plan cannot proceed.",
-    "changed": "Record fields changed; existing plan cannot proceed.",
-    "missing_unplanned": "Retained or unrelated record disappeared; cleanup stopped.",
-    "missing_planned": "Unsubmitted target disappeared; external change detected.",
-    "reappeared": "Previously absent record reappeared; stopped.",
+    "new": V.MESSAGE_NEW,
+    "changed": V.MESSAGE_CHANGED,
+    "missing_unplanned": V.MESSAGE_MISSING_UNPLANNED,
+    "missing_planned": V.MESSAGE_MISSING_PLANNED,
+    "reappeared": V.MESSAGE_REAPPEARED,
 }
 
 
@@ -89,7 +89,7 @@ def metadata_violations(planned: DataFrame, current: DataFrame) -> DataFrame:
     joined = planned.join(now, "applicationId", "left")
     same = F.col("name").eqNullSafe(F.col("_name")) & F.col("osType").eqNullSafe(F.col("_os"))
     return joined.filter(~same).select(
-        F.lit("Application metadata changed; build a new plan.").alias("reason"),
+        F.lit(V.MESSAGE_METADATA).alias("reason"),
         F.col("applicationId").alias("key"),
     )
 
@@ -193,10 +193,10 @@ def match_insertions(extra: DataFrame, insertions: DataFrame) -> DataFrame:
         F.bool_and("blank").alias("blank"), F.bool_and("originals_agree").alias("originals_agree"),
     )
     problem = (
-        F.when(F.col("found") != 1, "Inserted rule missing or ambiguous.")
-        .when(~F.col("blank"), "Inserted rule has unexpected matching semantics.")
-        .when(~F.col("originals_agree"), "Inserted rule original fields disagree with the reviewed conditions.")
-        .when(F.col("record_fp").isNotNull() & (F.col("record_fp") != F.col("fingerprint")), "Inserted rule changed.")
+        F.when(F.col("found") != 1, V.MESSAGE_RULE_MISSING)
+        .when(~F.col("blank"), V.MESSAGE_RULE_SEMANTICS)
+        .when(~F.col("originals_agree"), V.MESSAGE_RULE_ORIGINALS)
+        .when(F.col("record_fp").isNotNull() & (F.col("record_fp") != F.col("fingerprint")), V.MESSAGE_RULE_CHANGED)
     )
     return per_rule.select("app", "rule_no", "fid", problem.alias("problem"))
 

@@ -88,7 +88,7 @@ def recover_targets(
     present = F.col("_hashes").isNotNull()
     changed = present & ~(F.array_contains("_hashes", F.col("hash")) & F.col("_only"))
     bad = joined.filter(changed & F.lit(recovery)).select(
-        F.lit("Saved target changed hash or rule type; recovery blocked.").alias("reason"),
+        F.lit(V.MESSAGE_TARGET_CHANGED).alias("reason"),
         F.concat_ws("/", "app", "fid").alias("key"),
     )
     kept = V.PLANNED if recovery else V.STILL_PRESENT

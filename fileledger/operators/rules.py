@@ -73,12 +73,12 @@ def condition_count() -> Column:
 
 def enforce_high_risk(rules: DataFrame, settings: RuleSettings) -> DataFrame:
     """Rules anchored at a high-risk process need three conditions."""
-    if not settings.enforce_high_risk_process_three_conditions:
+    if not settings.rules.risky_process_conditions:
         return rules
     weak = (
         F.col("process_path").isNotNull()
         & risk.is_high_risk_process(F.col("process_path"))
-        & (condition_count() < settings.high_risk_process_min_conditions)
+        & (condition_count() < settings.rules.risky_process_conditions)
     )
     return rules.filter(~weak | risk.is_safe_python_rule(*_condition_columns()))
 
@@ -166,11 +166,11 @@ def pair_rules(pairs: DataFrame, settings: RuleSettings, by: Sequence[str] = ())
         }
     )
     kept = enforce_high_risk(counted, settings).filter(
-        (F.col("source_rows") >= settings.min_source_rows)
+        (F.col("source_rows") >= settings.rules.least_rows)
         & (F.col("condition_count") >= 2)
-        & (F.col("wildcard_count") <= settings.max_wildcards)
+        & (F.col("wildcard_count") <= settings.paths.wildcards)
     )
-    if settings.require_path:
+    if settings.rules.needs_path:
         kept = kept.filter(F.coalesce("path", F.lit("")) != "")
     order = rule_order(
         0,
@@ -213,7 +213,7 @@ def sibling_rules(rules: DataFrame, settings: RuleSettings, by: Sequence[str] =
             "condition_count": condition_count(),
             "wildcard_count": stars(F.col("path")) + stars(F.col("process_path")),
         }
-    ).filter((F.col("condition_count") >= 2) & (F.col("wildcard_count") <= settings.max_wildcards))
+    ).filter((F.col("condition_count") >= 2) & (F.col("wildcard_count") <= settings.paths.wildcards))
     return result.withColumn(
         "ord",
         rule_order(
@@ -232,12 +232,12 @@ def _merged_path(settings: RuleSettings) -> Column:
 
     # A single path is generalised like any single observation.
     leaf = F.col("own_leaf")
-    own_depth = head_depth(own, settings.wildcard_head_levels, settings)
-    single = F.when(stars(leaf) <= settings.max_wildcards, leaf).otherwise(
+    own_depth = head_depth(own, settings.paths.levels, settings)
+    single = F.when(stars(leaf) <= settings.paths.wildcards, leaf).otherwise(
         F.coalesce(wildcard_at_depth(F.col("path"), root_, own, sep, own_depth, settings), F.col("path"))
     )
 
-    least = max(1, settings.min_dynamic_head_depth)
+    least = max(1, settings.paths.least_levels)
     common = F.size(folders)
     first, second = F.try_element_at(folders, F.lit(1)), F.try_element_at(folders, F.lit(2))
     vendor_depth = F.when(second == "common files", 4).otherwise(2)
@@ -257,20 +257,20 @@ def _merged_path(settings: RuleSettings) -> Column:
     leaf_mark = F.concat(F.lit("*"), F.when(installer, F.col("low_ext")).otherwise(F.lit("")))
 
     def capped(pattern: Column) -> Column:
-        return F.when(stars(pattern) <= settings.max_wildcards, pattern)
+        return F.when(stars(pattern) <= settings.paths.wildcards, pattern)
 
     def tail(*marks: Column) -> Column:
         return capped(join_path(F.col("root"), F.concat(shared, F.array(*marks)), F.col("sep")))
 
     siblings = F.when((rest_low == 1) & (rest_high == 1), tail(leaf_mark))
-    if settings.max_wildcards >= 2:
+    if settings.paths.wildcards >= 2:
         siblings = siblings.when((rest_low == 2) & (rest_high == 2), tail(F.lit("*"), leaf_mark))
-    if settings.aggressive_merge:
+    if settings.rules.siblings_to_heads:
         head = wildcard_head(group_head(root_, parts, own, sep, settings), sep)
         siblings = siblings.otherwise(capped(head))
     same_tree = one_root & (F.col("sep") == F.col("high_sep"))
     fallback = F.when((F.col("lines") >= 2) & same_tree, siblings)
-    if not settings.dynamic_wildcard_depth:
+    if not settings.paths.fit_depth:
         return fallback
     return F.when(F.col("lines") == 1, single).otherwise(F.coalesce(shallow, fallback))
 
@@ -278,7 +278,7 @@ def _merged_path(settings: RuleSettings) -> Column:
 def base_rules(pairs: DataFrame, settings: RuleSettings, by: Sequence[str] = ()) -> DataFrame:
     """Pair rules and merged siblings, one per condition combination and type, in rule order."""
     rules = pair_rules(pairs, settings, by)
-    if settings.merge_sibling_paths and settings.enable_rule_merging:
+    if settings.rules.siblings:
         rules = cut_lineage(rules)
         rules = rules.unionByName(sibling_rules(rules, settings, by), allowMissingColumns=True)
     rules = enforce_high_risk(rules, settings)
@@ -319,7 +319,7 @@ def _family_stage(
 
 def compress_similar(rules: DataFrame, settings: RuleSettings, by: Sequence[str], stage: int) -> DataFrame:
     """Best path compression per group of equal identity conditions."""
-    if not settings.enable_path_compression or settings.compression_mode == "off":
+    if settings.families.mode == "off":
         return rules
     return _family_stage(rules, families.similar_path_families, settings, by, stage, keep_equal=True)
 
@@ -329,7 +329,7 @@ def compress_languages(rules: DataFrame, settings: RuleSettings, by: Sequence[st
 
 
 def compress_extensions(rules: DataFrame, settings: RuleSettings, by: Sequence[str], stage: int) -> DataFrame:
-    if not settings.enable_extension_family_compression:
+    if not settings.families.by_extension:
         return rules
     return _family_stage(rules, families.extension_families, settings, by, stage)
 
@@ -337,9 +337,8 @@ def compress_extensions(rules: DataFrame, settings: RuleSettings, by: Sequence[s
 def global_families(rules: DataFrame, settings: RuleSettings, by: Sequence[str] = ()) -> DataFrame | None:
     """Path-only families over all rules of a scope: ``family`` and where it goes in order; None without any."""
     if (
-        not settings.enable_path_compression
-        or not settings.global_families
-        or settings.compression_mode in ("off", "conservative")
+        not settings.global_families
+        or settings.families.mode in ("off", "conservative")
     ):
         return None
     keys = list(by)

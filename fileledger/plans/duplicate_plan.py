@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fileledger import fixed_values as V
 from fileledger.operators import dedup, reconcile
 from fileledger.operators.validate import (
     all_violations, application_violations, record_violations, require, violations,
@@ -28,9 +29,9 @@ def candidate_violations(candidates: DataFrame, organization: str) -> DataFrame:
         candidates,
         F.concat_ws("/", "app", "hash_key"),
         {
-            "Candidate organization mismatch.": F.col("org") != organization,
-            "Invalid organization or application ID.": canonical_uuid(F.col("app")).isNull(),
-            "Invalid report hash; expected 32, 40 or 64 hexadecimal characters.": valid_hash(
+            V.MESSAGE_CANDIDATE_ORGANIZATION: F.col("org") != organization,
+            V.MESSAGE_IDENTITY: canonical_uuid(F.col("app")).isNull(),
+            V.MESSAGE_HASH: valid_hash(
                 F.col("hash_key")
             ).isNull(),
         },

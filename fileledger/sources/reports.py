@@ -43,10 +43,10 @@ def duplicate_report(rows: DataFrame, organization: str, order: str = ORDER) ->
         typed,
         F.concat_ws("/", "application_id", "hash"),
         {
-            "Invalid organization or application ID.": F.col("organization_id").isNull()
+            V.MESSAGE_IDENTITY: F.col("organization_id").isNull()
             | F.col("application_id").isNull(),
             "Report contains another organization.": F.col("organization_id") != organization,
-            "Invalid report hash; expected 32, 40 or 64 hexadecimal characters.": F.col("hash").isNull(),
+            V.MESSAGE_HASH: F.col("hash").isNull(),
         },
     )
     return Report(latest_report_rows(typed, "_order"), bad, repeated_rows(typed))
@@ -96,7 +96,7 @@ def large_report(rows: DataFrame, organization: str) -> Report:
         typed,
         F.col("application_id"),
         {
-            "Invalid organization or application ID.": F.col("organization_id").isNull()
+            V.MESSAGE_IDENTITY: F.col("organization_id").isNull()
             | F.col("application_id").isNull(),
             "Report contains another organization.": F.col("organization_id") != organization,
             "Invalid hash count.": F.col("reported_hashes").isNull(),

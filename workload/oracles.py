@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fileledger import fixed_values as V
+
 ORG = "11111111-1111-1111-1111-111111111111"
 
 # White space as the note format understands it.
@@ -177,11 +179,8 @@ paths AS (SELECT raw, {norm(tidy('raw'))} AS path FROM raws),
 uniq AS (SELECT DISTINCT path FROM paths)"""
 _SEP = r"CASE WHEN contains(path, '\') THEN '\' ELSE '/' END"
 _BASE = r"regexp_extract(path, '([^\\/]*)[\\/]*$', 1)"
-LANGS = (
-    "en-us en-gb en fr-fr fr de-de de es-es es it-it it ja-jp ja ko-kr ko pt-br pt ru-ru ru zh-cn zh-tw "
-    "zh-hans zh-hant cs-cz cs hu-hu hu pl-pl pl tr-tr tr nl-nl nl sv-se sv da-dk da fi-fi fi nb-no no"
-)
-_LANG = "(" + ", ".join(f"'{x}'" for x in LANGS.split()) + ")"
+_LANG = "(" + ", ".join(f"'{x}'" for x in V.LANGUAGE_FOLDERS) + ")"
+_INSTALLERS = "|".join(V.INSTALLER_EXTENSIONS)
 _GUID = r"\{?[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}\}?"
 _COMMON = rf"v?\d+(?:\.\d+){{1,8}}|r\d{{1,3}}|20\d{{2}}|{_GUID}"
 
@@ -207,7 +206,7 @@ def leaf_of(x: str) -> str:
     sep = rf"CASE WHEN contains({x}, '\') THEN '\' ELSE '/' END"
     return rf"""CASE WHEN contains({x}, '*') OR len(string_split({x}, {sep})) < 3 THEN {x}
       ELSE concat(replace(array_to_string(list_slice(string_split({x}, {sep}), 1, -2), chr(1)), chr(1), {sep}), {sep}, '*',
-        regexp_extract({x}, '(\.(?:msi|msp|msix|msixbundle|appx|appxbundle))$', 1)) END"""
+        regexp_extract({x}, '(\.(?:{_INSTALLERS}))$', 1)) END"""
 
 
 PATH_NORMALIZE = with_(MIXED) + rf"""SELECT raw, path, {_PROFILE} AS profile, {leaf_of('path')} AS leaf,
@@ -228,7 +227,7 @@ lev AS (SELECT *, CASE WHEN dirs[1] IN ('program files', 'program files (x86)')
 head AS (SELECT *, CASE WHEN root = '/' THEN '/' ELSE root END ||
     CASE WHEN root = '/' OR len(dirs) = 0 THEN '' ELSE sep END || replace(array_to_string(list_slice(dirs, 1, levels), chr(1)), chr(1), sep) AS head FROM lev),
 built AS (SELECT *, length(leaf) - length(replace(leaf, '*', '')) AS stars,
-    CASE WHEN len(dirs) = 0 THEN norm ELSE head || sep || '*' || regexp_extract(norm, '(\.(?:msi|msp|msix|msixbundle|appx|appxbundle))$', 1) END AS deep FROM head),
+    CASE WHEN len(dirs) = 0 THEN norm ELSE head || sep || '*' || regexp_extract(norm, '(\.(?:{_INSTALLERS}))$', 1) END AS deep FROM head),
 suggested AS (SELECT *, CASE WHEN stars <= 2 THEN leaf
     WHEN length(deep) - length(replace(deep, '*', '')) <= 2 THEN deep ELSE rtrim(head, sep) || sep || '*' END AS wildcard FROM built)"""
 PATH_HEADS = with_(MIXED, HEADS) + "SELECT path, head, wildcard FROM suggested"
