@@ -63,11 +63,13 @@ def unpack(data: bytes) -> bytes:
 
 
 def packed(x: np.ndarray) -> pa.Array:
-    return pa.array([pack(x.tobytes())], pa.binary())
+    """One value: the numbers' first bytes, then their second bytes and so on, compressed."""
+    return pa.array([pack(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())], pa.binary())
 
 
 def numbers(data: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(unpack(data), kind)
+    planes = np.frombuffer(unpack(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
 def token_blocks(docs: DataFrame, held: Column) -> DataFrame:
