@@ -37,6 +37,28 @@ def _of(tag: str, column: str = "value"):
     return F.when(F.col("_tag") == tag, F.col(column))
 
 
+def _classified(records: DataFrame) -> DataFrame:
+    """Change and next status of records with ``in_old``, ``in_new``, ``same`` and ``previous_status``."""
+    absent, before = ~F.col("in_new"), F.col("previous_status")
+    kind = (
+        F.when(~F.col("in_old"), "new")
+        .when(~absent & ~F.col("same"), "changed")
+        .when(absent & before.isNull(), "missing_unplanned")
+        .when(absent & (before == V.PLANNED), "missing_planned")
+        .when(absent, "verified_absent")
+        .when(before == V.VERIFIED_ABSENT, "reappeared")
+        .when(before.isNotNull() & (before != V.PLANNED), "still_present")
+        .otherwise("unchanged")
+    )
+    next_status = (
+        F.when(before.isNull(), F.lit(None).cast("string"))
+        .when(absent, V.VERIFIED_ABSENT)
+        .when(before == V.PLANNED, V.PLANNED)
+        .otherwise(V.STILL_PRESENT)
+    )
+    return records.select(*KEYS, before, kind.alias("change"), next_status.alias("status"))
+
+
 def snapshot_diff(baseline: DataFrame, current: DataFrame, targets: DataFrame) -> DataFrame:
     """Classify every record of either snapshot.
 
@@ -49,28 +71,27 @@ def snapshot_diff(baseline: DataFrame, current: DataFrame, targets: DataFrame) -
     rows = rows.unionByName(_side(targets, "status", *KEYS, F.col("status").alias("value")))
     ends = [f(_of(tag)).alias(f"{tag}_{name}") for tag in ("old", "new") for name, f in (("n", F.count), ("low", F.min), ("high", F.max))]
     joined = rows.groupBy(*KEYS).agg(*ends, F.min(_of("status")).alias("previous_status"))
-    joined = joined.filter("old_n + new_n > 0")
     same = F.lit(True)
     for name in ("n", "low", "high"):
         same = same & (F.col(f"old_{name}") == F.col(f"new_{name}"))
-    absent, before = F.col("new_n") == 0, F.col("previous_status")
-    kind = (
-        F.when(F.col("old_n") == 0, "new")
-        .when(~absent & ~same, "changed")
-        .when(absent & before.isNull(), "missing_unplanned")
-        .when(absent & (before == V.PLANNED), "missing_planned")
-        .when(absent, "verified_absent")
-        .when(before == V.VERIFIED_ABSENT, "reappeared")
-        .when(before.isNotNull() & (before != V.PLANNED), "still_present")
-        .otherwise("unchanged")
-    )
-    next_status = (
-        F.when(before.isNull(), F.lit(None).cast("string"))
-        .when(absent, V.VERIFIED_ABSENT)
-        .when(before == V.PLANNED, V.PLANNED)
-        .otherwise(V.STILL_PRESENT)
-    )
-    return joined.select(*KEYS, before, kind.alias("change"), next_status.alias("status"))
+    found = {"in_old": F.col("old_n") > 0, "in_new": F.col("new_n") > 0, "same": F.coalesce(same, F.lit(False))}
+    return _classified(joined.withColumns(found).filter("in_old or in_new"))
+
+
+def stored_snapshot_diff(baseline: DataFrame, current: DataFrame, targets: DataFrame) -> DataFrame:
+    """The same for two snapshots stored by record in as many buckets.
+
+    Records meet inside their bucket, so of the three tables only targets are exchanged, and not
+    even they if they are stored alike. Each snapshot holds a record once. Every target is a
+    record of the baseline.
+    """
+    status = targets.select(*KEYS, F.col("status").alias("previous_status"))
+    old = baseline.select(*KEYS, F.col("fingerprint").alias("old_fp")).join(status, KEYS, "left")
+    met = old.join(current.select(*KEYS, F.col("fingerprint").alias("new_fp")), KEYS, "full_outer")
+    return _classified(met.withColumns({
+        "in_old": F.col("old_fp").isNotNull(), "in_new": F.col("new_fp").isNotNull(),
+        "same": F.coalesce(F.col("old_fp") == F.col("new_fp"), F.lit(False)),
+    }))
 
 
 def diff_violations(diff: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fileledger.operators.reconcile import with_fingerprint
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with a header; nested values must be flattened before."""
@@ -69,3 +71,20 @@ def write_snapshot(records: DataFrame, path: str) -> None:
         .mode("errorifexists")
         .parquet(path)
     )
+
+
+def write_stored_snapshot(records: DataFrame, table: str, path: str, buckets: int) -> None:
+    """A record view with its fingerprint as a table in buckets by record.
+
+    Two such tables with as many buckets are compared without an exchange. Buckets go by record
+    rather than by hash: one much repeated hash would fill one of them.
+    """
+    keyed = records if "fingerprint" in records.columns else with_fingerprint(records)
+    (
+        keyed.repartition(buckets, "app", "fid")
+        .write.bucketBy(buckets, "app", "fid")
+        .sortBy("app", "fid")
+        .option("path", path)
+        .mode("errorifexists")
+        .saveAsTable(table)
+    )
