@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from fileledger import fixed_values as V
 from fileledger.functions import risk
 from fileledger.functions.paths import (
-    common_prefix, directory_segments, group_head, join_path,
+    common_prefix, directory_segments, extension, group_head, join_path,
     macos_process_path, macos_target_path, normalize_path, root, segments, separator, shorten_leaf,
     site_packages_path, stars, wildcard_at_depth, wildcard_head, head_depth,
 )
@@ -433,9 +433,21 @@ def suppress_covered(rules: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 # --- the whole chain ------------------------------------------------------------------
 
 
+def idle_passes(rules: DataFrame) -> set[Callable]:
+    """Family passes that can find nothing from these rules on: no pass brings in a locale folder
+    or a program extension that no rule has."""
+    path = F.col("path")
+    locale = F.arrays_overlap(segments(path), F.array(*[F.lit(x) for x in V.LANGUAGE_FOLDERS]))
+    seen = rules.filter("path is not null").agg(
+        F.bool_or(F.coalesce(locale, F.lit(False))).alias("locale"), F.bool_or(extension(path).isin(V.FAMILY_EXTENSIONS)).alias("program")
+    ).first()
+    return {p for p, found in ((compress_languages, seen["locale"]), (compress_extensions, seen["program"])) if not found}
+
+
 def rule_chain(pairs: DataFrame, settings: RuleSettings, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Final rules with their ``ord``, in the fixed order of passes, and the rules dropped with global families."""
     rules = cut_lineage(base_rules(pairs, settings, by))
+    idle = idle_passes(rules)
     unchanged: dict[str, DataFrame] = {}
     dropped = rules
     for stage, compress in enumerate(
@@ -448,15 +460,15 @@ def rule_chain(pairs: DataFrame, settings: RuleSettings, by: Sequence[str] = ())
         if compress is compress_globally:
             dropped = rules
         # A pass that found nothing finds nothing again in the same table.
-        if unchanged.get(compress.__name__) is rules:
+        if compress in idle or unchanged.get(compress.__name__) is rules:
             continue
         before, rules = rules, compress(rules, settings, by, stage)
         if rules is before:
             unchanged[compress.__name__] = rules
     rules = cut_lineage(filter_dangerous(distinct_rules(enforce_high_risk(rules, settings), by)))
     rules = add_certificate_anchors(rules, settings, by, 7)
-    rules = compress_languages(rules, settings, by, 8)
-    rules = compress_extensions(rules, settings, by, 9)
+    for stage, compress in ((8, compress_languages), (9, compress_extensions)):
+        rules = rules if compress in idle else compress(rules, settings, by, stage)
     rules = suppress_covered(rules.withColumn("certificate", certificate_condition(F.col("certificate"))), by)
     rules = enforce_high_risk(filter_dangerous(rules), settings)
     return distinct_rules(rules, by), dropped_family_rules(dropped, settings, by)
