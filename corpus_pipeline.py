@@ -26,29 +26,34 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that the classifier predicts to be good."""
+    """Texts that the classifier predicts to be good. Null texts count as empty; repeated rows go or stay together."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: five words, similarity 0.8.
 
-    Rows are told apart by a hash of the whole row, as doc_ids may repeat or be null; of equal
-    rows one stays.
+    Rows are told apart by 128 bits of the whole row, as doc_ids may repeat or be null; of equal
+    rows one stays. Null texts and texts without a word have no near copy, and stay.
     """
     columns = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in docs.columns]
-    rows = docs.select(F.xxhash64(*columns).alias("doc_id"), F.struct(*docs.columns).alias("row"))
+    key = F.concat_ws("-", F.xxhash64(*columns), F.xxhash64(F.lit("row"), *columns))
+    rows = docs.select(key.alias("doc_id"), F.struct(*docs.columns).alias("row"))
     kept = minhash.near_duplicates(rows.select("doc_id", "row.text"), width=5, percent=80).filter("kept").select("doc_id")
     return rows.join(kept.distinct(), "doc_id").dropDuplicates(["doc_id"]).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies and parts of the texts, so that the sources have their target weights."""
+    """Copies and parts of the texts, so that the sources have their target weights.
+
+    Null texts have no word and stay out; ties of the random order go by id and size; repeated rows
+    are mixed one by one.
+    """
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the texts in sequences of 2048 tokens."""
+    """Pieces of the texts in sequences of 2048 tokens. Null and empty texts are the end id alone."""
     return packing.pack_documents(docs)
 
 
