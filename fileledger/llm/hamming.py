@@ -85,8 +85,9 @@ def nearest_codes(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFr
         every = every.withColumn("_sum", F.sum("many").over(within))
         limit = F.min(F.when(F.col("_sum") >= k + 1, F.col("distance"))).over(Window.partitionBy("q"))
         every = every.withColumn("_limit", limit).filter(F.col("_limit").isNull() | (F.col("distance") <= F.col("_limit")))
-        found = cut_lineage(every.drop("_sum", "_limit"))
-        reached = cut_lineage(every.filter("_limit is not null").groupBy("q").agg(F.max("_limit").alias("_limit")))
+        every = cut_lineage(every)
+        found = every.drop("_sum", "_limit")
+        reached = every.filter("_limit is not null").groupBy("q").agg(F.max("_limit").alias("_limit"))
         left = open_codes.join(reached, "q", "left").withColumn("bound", F.coalesce("_limit", "bound")).drop("_limit")
         covered = F.size("asked") * (radius + 1) - 1
         open_codes = cut_lineage(left.filter(F.col("bound") > covered))
