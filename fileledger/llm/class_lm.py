@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -79,8 +80,7 @@ def token_blocks(docs: DataFrame, held: Column) -> DataFrame:
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         block = (task.partitionId() if task else 0) << 32
-        ids: defaultdict[bytes, int] = defaultdict()
-        ids.default_factory = ids.__len__
+        ids: defaultdict[bytes, int] = defaultdict(count().__next__)
         doc_ids, flags, tokens, size = [], [], [], 0
 
         def row() -> pa.RecordBatch:
@@ -109,7 +109,8 @@ def token_blocks(docs: DataFrame, held: Column) -> DataFrame:
                     doc_ids.append(batch.column(0).slice(first, at + 1 - first))
                     yield row()
                     first, block, size = at + 1, block + 1, 0
-                    ids.clear(), doc_ids.clear(), flags.clear(), tokens.clear()
+                    ids = defaultdict(count().__next__)
+                    doc_ids, flags, tokens = [], [], []
             doc_ids.append(batch.column(0).slice(first))
         if tokens:
             yield row()

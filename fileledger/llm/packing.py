@@ -52,8 +52,8 @@ def byte_letters() -> dict[int, str]:
 class Remembered(dict):
     """A dictionary that finds what it lacks, and starts anew when full."""
 
-    def __init__(self, find: Callable, most: int) -> None:
-        self.find, self.most = find, most
+    def __init__(self, most: int) -> None:
+        self.most = most
 
     def __missing__(self, key):
         if len(self) >= self.most:
@@ -62,22 +62,36 @@ class Remembered(dict):
         return found
 
 
-class WordIds:
+class RunIds(Remembered):
+    """Ids of runs of lower-case letters, digits or signs, straight from the merges."""
+
+    def __init__(self, merge: Callable, most: int) -> None:
+        super().__init__(most)
+        self.merge, self.letters = merge, byte_letters()
+
+    def find(self, run: str) -> bytes:
+        # Printable ASCII stands for itself.
+        merged = self.merge(run if run.isascii() else run.encode().decode("latin-1").translate(self.letters))
+        return struct.pack(f"<{len(merged)}I", *[t.id for t in merged])
+
+
+class WordIds(Remembered):
     """Token ids of texts as little-endian unsigned 32-bit bytes, with a bounded memory of words.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of
     its words. Words are cut at ASCII white space only; other spaces are left to the tokenizer.
     A new word goes through the whole tokenizer, except for plain words where the steps before
-    the merges are the known ones: their runs go to the merges directly.
+    the merges are the known ones: their runs go to the merges directly. Nothing refers back to
+    this object, so its memory is free when its task ends.
     """
 
     def __init__(self, tokenizer_json: str, remembered: int = REMEMBERED) -> None:
+        super().__init__(remembered)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.words = Remembered(self.word, remembered)
-        self.runs = Remembered(self.run, remembered)
+        self.runs = RunIds(self.tokenizer.model.tokenize, remembered)
         steps = json.loads(tokenizer_json)
         normalizers = (steps["normalizer"] or {}).get("normalizers")
         cutters = (steps["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
@@ -86,15 +100,8 @@ class WordIds:
             and [c["type"] for c in cutters] == ["Split", "ByteLevel"]
             and all("<|" in t["content"] for t in steps["added_tokens"])
         )
-        self.letters = byte_letters()
-        self.merge = self.tokenizer.model.tokenize
-
-    def run(self, run: str) -> bytes:
-        # Printable ASCII stands for itself.
-        merged = self.merge(run if run.isascii() else run.encode().decode("latin-1").translate(self.letters))
-        return struct.pack(f"<{len(merged)}I", *[t.id for t in merged])
 
-    def word(self, word: bytes) -> bytes:
+    def find(self, word: bytes) -> bytes:
         text = word.decode()
         if self.direct and PLAIN.fullmatch(text) and "<|" not in text:
             low = text.lower()
@@ -103,7 +110,7 @@ class WordIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.encode().split()))
+        return b"".join(map(self.__getitem__, text.encode().split()))
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int) -> DataFrame:
