@@ -38,8 +38,8 @@ TREES = 14
 SIGNS = 24
 SUCCESSORS = 3
 LIST = 6
-#: Share of new list entries at which rounds end (delta of the paper).
-FEW_NEW = 0.001
+#: Share of new list entries at which rounds end; the audit tells whether that was too early.
+FEW_NEW = 0.01
 #: Cosine by which rounded vectors may fall short of the exact one.
 ROUNDING = 0.02
 #: Neighbours that meet in one task; a hub's others meet in groups of the same size.
