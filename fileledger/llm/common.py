@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def hand_back() -> None:
+    """Return what a task no longer needs to the machine: its worker goes on to other tasks, and
+    workers of earlier stages share the executor's memory with those of the present one."""
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def tokenizer_file(name: str) -> str:
     """Place of a public tokenizer file; only the driver reads it."""
     import public_tokenizers

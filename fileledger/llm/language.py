@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fileledger.llm.common import held_out, tokenizer_file
+from fileledger.llm.common import hand_back, held_out, tokenizer_file
 from fileledger.session import cut_lineage
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -281,6 +281,8 @@ def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
         identifier = Identifier(*shared.value)
         for batch in batches:
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score in identifier(batch.column(at))], pa.bool_()))
+        del identifier
+        hand_back()
 
     return docs.mapInArrow(keep, docs.schema)
 

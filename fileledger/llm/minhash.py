@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fileledger.llm.common import components, in_few_tasks
+from fileledger.llm.common import components, hand_back, in_few_tasks
 from fileledger.session import cut_lineage
 
 INDEX_BITS = 7
@@ -184,6 +184,8 @@ def sketch_documents(docs: DataFrame, width: int) -> DataFrame:
                 [*batch.columns[:3], pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(node2, pa.int64()), pa.array(regs, pa.binary())],
                 ["doc_id", "row1", "row2", "n_shingles", "node", "node2", "registers"],
             )
+        del shingles
+        hand_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, row1 long, row2 long, n_shingles long, node long, node2 long, registers binary"
@@ -299,6 +301,8 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: Owners, width: int, perc
                 common = int(np.isin(p, q, assume_unique=True, kind="sort").sum())
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+        last.clear()
+        hand_back()
 
     first = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "x"}), "a")
     both = first.join(texts.withColumnsRenamed({"node": "b", "text": "y"}), "b").select("a", "b", "x", "y")

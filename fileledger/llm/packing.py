@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fileledger.llm.common import prefix_sums, tokenizer_file
+from fileledger.llm.common import hand_back, prefix_sums, tokenizer_file
 from fileledger.session import cut_lineage
 
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 #: The steps before the merges of a tokenizer whose plain words can go to the merges directly.
@@ -134,6 +134,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int)
                 [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, size, crc)]],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        del words
+        hand_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

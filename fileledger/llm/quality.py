@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fileledger.llm.common import held_out
+from fileledger.llm.common import hand_back, held_out
 from fileledger.session import cut_lineage
 
 STATISTICS = (
@@ -65,6 +65,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
         for batch in batches:
             x = [statistics_of(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
+        hand_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(measure, f"doc_id {kind}, x array<double>")
@@ -177,6 +178,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0,
         for batch in batches:
             x = np.array([statistics_of(t.as_py() or "") for t in batch.column(at)]).reshape(-1, len(STATISTICS))
             yield batch.filter(pa.array(_scores(score, x) >= limit, pa.bool_()))
+        hand_back()
 
     return docs.mapInArrow(keep, docs.schema)
 
