@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fileledger.operators import coverage, dedup, families, rules
 from fileledger.operators.pairs import candidate_pairs
 from fileledger.operators.parsing import apply_parsing
+from fileledger.operators.patterns import pattern_pairs
 from fileledger.plans import consolidation_plan as cp
 from fileledger.settings import RuleSettings, profile_settings
 from tests.helpers import frame, record, source
@@ -250,6 +251,20 @@ def test_coverage_equals_brute_force(spark):
         assert {r["rule_rank"]: r["n"] for r in got.collect()} == want
 
 
+def test_lookups_are_never_broadcast(spark):
+    # What an explode makes has no estimate: tables that look small must not reach the driver.
+    numbers = spark.range(1, 4).withColumn("certificate", F.concat(F.lit("CN="), "id"))
+    numbers = numbers.withColumns({"process_path": F.concat(F.lit("p"), "id"), "created_by": F.lit(None).cast("string")})
+    exact = numbers.withColumn("path", F.concat(F.lit(PF), "id", F.lit("\\b.exe")))
+    broad = numbers.withColumn("path", F.concat(F.lit(PF), "id", F.lit("\\*")))
+    edges = coverage.coverage_edges(coverage.distinct_condition_values(exact), broad.withColumnRenamed("id", "rule_rank"))
+    found_pairs = pattern_pairs(exact, broad.select(F.col("path").alias("pattern")), [])
+    for df in (edges, found_pairs):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert edges.count() == 3 and found_pairs.count() == 3
+
+
 def test_static_reasons(spark):
     launcher = PF + r"v\run.exe"
     cases = {
