@@ -97,6 +97,21 @@ def test_certificates(spark):
     check(spark, text.certificate_condition, {"CN=x, O=Autodesk, Inc.": "o=autodesk", "cn=Portswigger Ltd": "o=portswigger", "o = a": "o=a", None: None})
 
 
+def test_values_are_evaluated_once(spark):
+    df = spark.createDataFrame([("CN=a; O=b", r"C:\a\b.exe")], "c string, p string")
+    plan = df.select(
+        text.certificate_vendor(F.col("c")).alias("v"), text.certificate_condition(F.col("c")).alias("o"),
+        paths.embedded_parts(F.col("p")).alias("e"),
+    )._jdf.queryExecution().optimizedPlan().toString()
+    # Twice for the two forms of a certificate, once for the cell.
+    assert plan.count("lower(") == 2 and plan.count("translate(") == 1
+    check(spark, text.none_if_empty, {"": None, " ": " ", None: None, "a": "a"})
+    check(spark, lambda c: F.to_json(text.note_hashes(c)), {
+        "x " + "a" * 32: '{"md5":"' + "a" * 32 + '"}', "a" * 40 + " " + "b" * 32: '{"sha1":"' + "a" * 40 + '"}',
+        "b" * 32 + " " + "c" * 64: '{"sha256":"' + "c" * 64 + '"}', "none": "{}",
+    })
+
+
 def test_matching(spark):
     cases = {("a*", "ABC", True): True, ("a*", "ABC", False): False, ("", "x", True): True, ("a", "", True): False,
              ("a%_", "a%_", True): True, ("a%", "abc", True): False, (r"c:\*\x", r"c:\a\b\x", True): True, (None, None, True): True, ("*", None, True): False,
