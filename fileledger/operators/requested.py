@@ -43,7 +43,9 @@ def requested_hits(records: DataFrame, requested: DataFrame) -> DataFrame:
 
 def requested_plan(records: DataFrame, requested: DataFrame) -> RequestedPlan:
     """Targets with their smallest matching hash, and the hashes found or not found."""
-    # Four results follow from the hits; they are found once.
+    # The list is read for the hits, for its applications, twice for the counts and for what was not
+    # found; four results follow from the hits. Both are made once.
+    requested = cut_lineage(requested)
     hits = cut_lineage(requested_hits(records, requested))
     targets = hits.groupBy("app", "fid").agg(F.min("hash").alias("hash")).withColumns(
         {"status": F.lit(V.PLANNED), "detail": F.lit("")}

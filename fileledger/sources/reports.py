@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fileledger import fixed_values as V
 from fileledger.functions.hashes import canonical_uuid, hash_text, is_hash, valid_hash
-from fileledger.functions.text import none_if_empty, trimmed
+from fileledger.functions.text import none_if_empty, once, trimmed
 from fileledger.operators.validate import all_violations, require, require_columns, violations
 from fileledger.sources.files import ORDER, read_csv_rows, read_report_rows, trimmed_headers
 
@@ -136,14 +136,18 @@ def requested_hashes(rows: DataFrame) -> Report:
     )
     kind = F.upper(trimmed(F.col("recordtype"))) if "recordtype" in rows.columns else F.lit("")
     kind = F.coalesce(none_if_empty(kind), F.lit("HASH"))
-    aliased = kind
-    for alias, name in V.RECORD_TYPE_ALIASES.items():
-        aliased = F.when(kind == alias, F.lit(name)).otherwise(aliased)
+
+    def unaliased(text: Column) -> Column:
+        aliased = text
+        for alias, name in V.RECORD_TYPE_ALIASES.items():
+            aliased = F.when(text == alias, F.lit(name)).otherwise(aliased)
+        return aliased
+
     typed = rows.select(
         canonical_uuid(trimmed(F.col("applicationid"))).alias("app"),
         hash_text(F.col("hash")).alias("hash"),
         trimmed(F.col("ostype")).try_cast("int").alias("os"),
-        aliased.alias("kind"),
+        once(kind, unaliased).alias("kind"),
     )
     bad = violations(
         typed,

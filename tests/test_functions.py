@@ -166,3 +166,34 @@ def test_risk_predicates(spark):
     check(spark, risk.is_user_writable, {r"c:\users\x": True, r"c:\programdata\x": True, r"c:\program files\x": False})
     check(spark, risk.is_python_package_artifact, {"/users/b/p/.venv/lib/x.so": True, "/users/b/p/.venv/lib/x.py": False, "/users/b/.venv/x.so": False})
     check(spark, risk.is_overbroad_macos, {"/applications/*/*": True, "/users/*/library/*": True, "/applications/x.app/*": False})
+
+
+def test_trimming_reads_only_the_ends(spark):
+    spaces = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    values = ["", "ab", "é", *spaces, *[f"{s}a{s}b{s}{s}" for s in spaces], "".join(spaces), "​a", "x\x00", "\x1b", "ü "]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v string")
+    pattern = F.regexp_replace("v", f"^{text._SPACE}+|{text._SPACE}+$", "")
+    trimmed = df.select("v", text.strip(F.col("v")).alias("x"), pattern.alias("y"))
+    assert trimmed.filter("not (x <=> y)").collect() == []
+    plan = df.select(hashes.valid_hash(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
+
+
+def test_uuids_in_usual_spellings_are_not_searched_for_decorations(spark):
+    plain = "0a1b2c3d-2222-3333-4444-5555deadbeef"
+    bare = plain.replace("-", "")
+    odd = [
+        plain, plain.upper(), bare, "{" + plain + "}", "{" + bare + "}", "{" + plain, plain + "}", "{{" + plain + "}}", plain + "\n",
+        bare + "\n", "{" + plain + "}\n", "}" + plain, plain + "{", bare + "\r\n", plain + " ", " " + bare, "urn:uuid:{" + bare + "}",
+        bare + "0", bare[:-1], plain[:-1] + "g", bare[:-1] + "G", "0a1b-" + bare[4:], "-" + bare + "-", bare[:8] + "uuid:" + bare[8:], "", None,
+        plain[:8] + plain[9:], "{" + plain + "}}", plain + "\n\n", "٠" + bare[1:],
+    ]
+    df = spark.createDataFrame([(v,) for v in odd], "v string")
+    undecorated = F.regexp_replace(F.lower("v"), hashes._DECORATION, "")
+    hyphenated = F.regexp_replace(undecorated, hashes._DIGITS, "$1-$2-$3-$4-$5")
+    expected = F.nullif(F.regexp_extract(hyphenated, hashes._CANONICAL, 0), F.lit(""))
+    found = df.select("v", hashes.canonical_uuid(F.col("v")).alias("x"), expected.alias("y"))
+    assert found.filter("not (x <=> y)").collect() == []
+    assert found.filter("x is not null").count() > 10
+    plan = found.select("x")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.index("regexp_replace")

@@ -190,3 +190,19 @@ def test_application_search(spark):
     for bad in (apps.unionByName(apps), applications(spark, APP, os_type=2), applications(spark, APP).selectExpr("applicationId", f"'{APP}' organizationId", "name", "osType", "isBuiltIn"), applications(spark, APP).selectExpr("applicationId", "organizationId", "name", "osType", "true isBuiltIn")):
         with pytest.raises(ValidationError):
             snapshots.search_results(bad, ORG, 1)
+
+
+def test_a_request_list_is_read_once(spark):
+    rows = [(APP, "1" * 32, 1, "HASH"), (APP, "2" * 32, 1, "HASH"), (APP2, "1" * 32, 1, "HASH")]
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(row):
+        reads.add(1)
+        return row
+
+    wanted = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(read), "app string, hash string, os int, kind string")
+    records = record_view(frame(spark, [record(1, "1" * 32), record(2, "1" * 32), record(3, "3" * 32)]))
+    plan = requested.requested_plan(records, wanted)
+    assert plan.counts.first().asDict() == {"requested": 3, "scanned": 3, "planned": 2, "unmatched": 2}
+    assert plan.unmatched.count() == 2
+    assert reads.value == 3
