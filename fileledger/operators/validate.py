@@ -32,10 +32,13 @@ def all_violations(*tables: DataFrame) -> DataFrame:
 
 
 def require(found: DataFrame) -> None:
-    """Reject the input when any violation exists."""
-    sample = found.limit(1).collect()
-    if sample:
-        raise ValidationError(f"{sample[0]['reason']} ({sample[0]['key']})")
+    """Reject the input when any violation exists, naming the first by reason and key.
+
+    All tasks look at once; a limit would ask one task, then a few more, and so on through a valid input.
+    """
+    first = found.agg(F.min(F.struct("reason", "key")).alias("first")).collect()[0]["first"]
+    if first is not None:
+        raise ValidationError(f"{first['reason']} ({first['key']})")
 
 
 def require_columns(df: DataFrame, names: list[str], message: str) -> None:

@@ -73,10 +73,9 @@ def plan_duplicates(
     if validate:
         require(record_violations(snapshot, scoped, organization))
     snapshot = snapshot.withColumn("org", F.lit(organization))
-    groups = dedup.hash_groups(snapshot)
-    wanted = dedup.wanted_groups(lookup(candidates, chosen, ["app"], ["hash_key"], "left_semi"), groups, scan_apps)
+    reported = lookup(candidates, chosen, ["app"], ["hash_key"], "left_semi")
     # Decided once, for the targets and for whoever asks for the groups.
-    matched = cut_lineage(dedup.match_candidates(wanted, groups))
+    matched = cut_lineage(dedup.planned_groups(snapshot, reported, scan_apps))
     targets = dedup.with_application_fields(dedup.removal_targets(snapshot, matched), scoped)
     return DuplicatePlan(reconcile.with_fingerprint(snapshot), matched, targets, scoped)
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fileledger.operators import dedup, reconcile
-from fileledger.operators.validate import ValidationError
+from fileledger.operators.validate import ValidationError, require
 from fileledger.plans.duplicate_plan import plan_duplicates, reconcile_plan
 from tests.helpers import APP, APP2, H, ORG, applications, candidates, frame, record
 
@@ -177,3 +177,49 @@ def test_inserted_rules_are_matched_once(spark):
     assert {r["reason"] for r in missing.collect()} == {
         "Inserted rule missing or ambiguous.", "New application records detected; existing plan cannot proceed.",
     }
+
+
+def counted(spark, df):
+    """The rows of ``df``, and how often one of them was read."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(row):
+        reads.add(1)
+        return row
+
+    return spark.createDataFrame(spark.sparkContext.parallelize(df.collect(), 2).map(read), df.schema), reads
+
+
+def test_planned_groups_are_the_wanted_groups_matched(spark):
+    hashes = [c * 32 for c in "ABCDEF"]
+    rows = [record(f"{n}", hashes[n % 5], app=(APP, APP2)[n % 3 == 0], keyFile=n == 12) for n in range(1, 23)]
+    rows += [record(100, "invalid"), record(101, "invalid"), record(102, ""), record(103, None)]
+    view = dedup.record_view(frame(spark, rows)).withColumn("fid", F.when(F.col("fid") != "7", F.col("fid")))
+    wanted = [(ORG, APP, hashes[0]), (ORG, APP, hashes[0]), (ORG, APP2, hashes[1]), (ORG, APP, hashes[5]), (ORG, APP2, "INVALID"),
+              (APP, APP, hashes[1]), (None, APP, hashes[1]), (ORG, None, hashes[1]), (ORG, APP, None), (ORG, APP, "")]
+    wanted = spark.createDataFrame(wanted, "org string, app string, hash_key string")
+    groups = dedup.hash_groups(view)
+    for apps in (None, [], [APP], [APP, APP2, APP, None]):
+        scan = None if apps is None else spark.createDataFrame([(a,) for a in apps], "app string")
+        expected = dedup.match_candidates(dedup.wanted_groups(wanted, groups, scan), groups)
+        found = dedup.planned_groups(view, wanted, scan)
+        assert found.columns == expected.columns
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, expected.collect()))
+
+
+def test_a_plan_reads_the_records_once_for_its_groups(spark):
+    records, reads = counted(spark, frame(spark, [record(i) for i in range(1, 11)]))
+    scan = spark.createDataFrame([(APP,)], "app string")
+    plan = plan_duplicates(records, applications(spark, APP), candidates(spark, (APP, H)), ORG, scan, validate=False)
+    assert plan.groups.first()["survivor"] == "1"
+    assert reads.value == 10
+
+
+def test_a_valid_input_is_looked_through_at_once(spark):
+    found = spark.range(0, 100, 1, 50).filter("id < 0").selectExpr("'bad' as reason", "string(id) as key")
+    spark.sparkContext.setJobGroup("looked-through", "")
+    require(found)
+    spark.sparkContext.setJobGroup("others", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("looked-through")) <= 2
+    with pytest.raises(ValidationError, match=r"bad \(1\)"):
+        require(spark.range(1, 9).selectExpr("'bad' as reason", "string(id) as key"))
