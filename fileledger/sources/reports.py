@@ -53,9 +53,12 @@ def duplicate_report(rows: DataFrame, organization: str, order: str = ORDER) ->
 
 
 def latest_report_rows(typed: DataFrame, order: str) -> DataFrame:
-    """Last row per (organization, application, hash), pre-aggregated before the exchange."""
+    """Last row per (organization, application, hash), pre-aggregated before the exchange.
+
+    Rows are sorted by hash first, which tells most of them apart by its first digits.
+    """
     return (
-        typed.groupBy("organization_id", "application_id", "hash")
+        typed.groupBy("hash", "application_id", "organization_id")
         .agg(F.max(F.struct(F.col(order).alias("at"), "name", "count")).alias("last"))
         .select("organization_id", "application_id", "hash", "last.name", "last.count")
     )

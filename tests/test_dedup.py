@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,3 +225,29 @@ def test_a_valid_input_is_looked_through_at_once(spark):
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("looked-through")) <= 2
     with pytest.raises(ValidationError, match=r"bad \(1\)"):
         require(spark.range(1, 9).selectExpr("'bad' as reason", "string(id) as key"))
+
+
+def sorts(df):
+    """Columns by which the physical plan sorts, first ones first."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [re.sub(r"#\d+L?", "", found) for found in re.findall(r"Sort \[(\w+#\d+|coalesce\(\w+#\d+)", plan)]
+
+
+def test_groups_are_sorted_by_hash_first(spark):
+    view = dedup.record_view(frame(spark, [record(1), record(2), record(3, app=APP2)]))
+    groups = dedup.hash_groups(view)
+    matched = dedup.planned_groups(view, candidates(spark, (APP, H), (APP2, H)))
+    targets = dedup.removal_targets(view, matched.hint("merge"))
+    for df in (groups, matched):
+        assert set(sorts(df)) == {"hash_key"}
+    assert "coalesce(hash_key" in sorts(targets) and not {"coalesce(org", "coalesce(app"} & set(sorts(targets))
+    assert groups.columns[:3] == dedup.GROUP_KEYS and ids(targets) == [2]
+
+
+def test_the_hash_of_a_record_is_found_once(spark):
+    raw = frame(spark, [record(1, H.lower()), record(2, "", originalHash=H), record(3, None), record(4, " x ")])
+    view = dedup.record_view(raw)
+    assert [tuple(r) for r in view.orderBy("fid").select("hash_key", "plain").collect()] == [(H, True), (H, True), ("", False), ("X", False)]
+    assert view.columns == [*raw.columns, "fid", "id_num", "hash_key", "plain", "app", "org"]
+    plan = view.select("hash_key", "plain")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("btrim") <= 1 and "lambda" not in plan.split("map_filter")[0]

@@ -1,5 +1,7 @@
 """Column functions, many cases per plan."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from fileledger.functions import hashes, paths, risk, text
@@ -197,3 +199,14 @@ def test_uuids_in_usual_spellings_are_not_searched_for_decorations(spark):
     assert found.filter("x is not null").count() > 10
     plan = found.select("x")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("RLIKE") < plan.index("regexp_replace")
+
+
+def test_usual_uuids_and_hashes_need_no_lambda(spark):
+    plain = "0a1b2c3d-2222-3333-4444-5555deadbeef"
+    rows = spark.createDataFrame([(plain,)], "v string")
+    constant = rows.select(hashes.canonical_uuid(F.lit("{" + plain.upper() + "}")).alias("x"))
+    assert constant.first()["x"] == plain
+    assert "lambda" not in constant._jdf.queryExecution().optimizedPlan().toString()
+    hashed = rows.select(hashes.valid_hash(F.md5("v")).alias("x"), hashes.valid_hash(F.col("v")).alias("y"))
+    assert tuple(hashed.first()) == (hashlib.md5(plain.encode()).hexdigest().upper(), None)
+    assert "lambda" not in hashed._jdf.queryExecution().optimizedPlan().toString()

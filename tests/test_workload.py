@@ -5,8 +5,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from fileledger.functions.hashes import canonical_uuid
+from workload import views
 from workload.check import _rows
 from workload.oracles import oracle_sql
 from workload.queries import queries
@@ -40,3 +43,15 @@ def test_query_equals_sql(spark, db, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_a_report_counts_the_orders_once(spark):
+    plan = views.report_rows(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("o_orderpriority") and plan.count("Aggregate [") == 1
+
+
+def test_application_ids_are_the_digest_with_hyphens(spark):
+    rows = spark.createDataFrame([("1-URGENT",), ("",), (None,)], "v string")
+    found = rows.select(views.app_id(F.col("v")).alias("x"), canonical_uuid(F.md5("v")).alias("y")).collect()
+    assert all(r["x"] == r["y"] for r in found) and found[2]["x"] is None
+    assert "lambda" not in rows.select(views.app_id(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
