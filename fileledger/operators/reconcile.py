@@ -10,6 +10,8 @@ from fileledger.functions.hashes import plain_hash_record, record_fingerprint, u
 from fileledger.functions.text import trimmed
 
 KEYS = ["app", "fid"]
+# For sorts and joins: an application's records are told apart by their ID.
+SORT_KEYS = ["fid", "app"]
 _DERIVED = {"app", "org", "fid", "id_num", "hash_key", "plain", "fingerprint"}
 
 # Classes that stop a plan, with the message they stop it with.
@@ -70,7 +72,7 @@ def snapshot_diff(baseline: DataFrame, current: DataFrame, targets: DataFrame) -
     rows = rows.unionByName(_side(current, "new", *KEYS, F.col("fingerprint").alias("value")))
     rows = rows.unionByName(_side(targets, "status", *KEYS, F.col("status").alias("value")))
     ends = [f(_of(tag)).alias(f"{tag}_{name}") for tag in ("old", "new") for name, f in (("n", F.count), ("low", F.min), ("high", F.max))]
-    joined = rows.groupBy(*KEYS).agg(*ends, F.min(_of("status")).alias("previous_status"))
+    joined = rows.groupBy(*SORT_KEYS).agg(*ends, F.min(_of("status")).alias("previous_status"))
     same = F.lit(True)
     for name in ("n", "low", "high"):
         same = same & (F.col(f"old_{name}") == F.col(f"new_{name}"))

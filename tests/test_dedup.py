@@ -251,3 +251,11 @@ def test_the_hash_of_a_record_is_found_once(spark):
     assert view.columns == [*raw.columns, "fid", "id_num", "hash_key", "plain", "app", "org"]
     plan = view.select("hash_key", "plain")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("btrim") <= 1 and "lambda" not in plan.split("map_filter")[0]
+
+
+def test_a_comparison_sorts_records_by_id_first(spark, planned):
+    rows, plan = planned
+    current = reconcile.with_fingerprint(dedup.record_view(frame(spark, rows)))
+    diff = reconcile.snapshot_diff(plan.baseline, current, plan.targets)
+    assert "fid" in sorts(diff) and "app" not in sorts(diff)
+    assert diff.columns == ["app", "fid", "previous_status", "change", "status"]
