@@ -249,7 +249,9 @@ def consolidation_diff(
 
 def plan_applied(records: DataFrame, targets: DataFrame, new_rules: DataFrame | None = None) -> DataFrame:
     """The table a plan leads to: records without targets, plus replacement rules."""
-    kept = records.join(targets.select(*KEYS), KEYS, "left_anti")
+    kept = records.join(targets.select(*KEYS), SORT_KEYS, "left_anti").select(
+        *KEYS, *[c for c in records.columns if c not in KEYS]
+    )
     if new_rules is None:
         return kept
     return kept.unionByName(new_rules, allowMissingColumns=True)

@@ -259,3 +259,10 @@ def test_a_comparison_sorts_records_by_id_first(spark, planned):
     diff = reconcile.snapshot_diff(plan.baseline, current, plan.targets)
     assert "fid" in sorts(diff) and "app" not in sorts(diff)
     assert diff.columns == ["app", "fid", "previous_status", "change", "status"]
+
+
+def test_an_applied_plan_sorts_records_by_id_first(spark, planned):
+    _, plan = planned
+    cleaned = reconcile.plan_applied(plan.baseline, plan.targets.hint("merge"))
+    assert "fid" in sorts(cleaned) and "app" not in sorts(cleaned)
+    assert cleaned.columns == ["app", "fid", *[c for c in plan.baseline.columns if c not in ("app", "fid")]]
