@@ -143,19 +143,20 @@ def wave_precheck(baseline: DataFrame, live: DataFrame, targets: DataFrame, grou
     rows = rows.unionByName(_side(live, "new", *keys, F.col("fingerprint").alias("value"), "plain"))
     first = groups.filter(F.col("survivor").isNotNull()).select("app", "hash_key", F.col("survivor").alias("fid"))
     rows = rows.unionByName(_side(first, "survivor", *keys, none.cast("string").alias("value"), none.cast("boolean").alias("plain")))
-    records = rows.groupBy(*keys).agg(
+    records = rows.groupBy("hash_key", "fid", "app").agg(
         F.max(_of("old")).alias("old_fp"), F.max(_of("new")).alias("new_fp"), F.bool_and(_of("new", "plain")).alias("plain"),
         F.bool_or(F.col("_tag") == "gone").alias("gone"), F.bool_or(F.col("_tag") == "survivor").alias("survivor"),
     )
     # An expected record that a target took away counts only where it is still there.
     records = records.withColumn("old_fp", F.when(~F.col("gone"), F.col("old_fp")))
     counts = F.col("old_fp").isNotNull() | F.col("new_fp").isNotNull()
-    checked = records.groupBy("app", "hash_key").agg(
+    checked = records.groupBy("hash_key", "app").agg(
         F.bool_and(F.when(counts, F.coalesce(F.col("old_fp") == F.col("new_fp"), F.lit(False)))).alias("unchanged"),
         F.bool_or(F.when(counts, F.col("survivor") & F.col("new_fp").isNotNull())).alias("survivor_present"),
         F.bool_and(F.when(counts, F.coalesce("plain", F.lit(True)))).alias("still_plain"),
         F.bool_or("survivor").alias("_eligible"),
-    ).filter(F.col("_eligible") & F.col("unchanged").isNotNull()).drop("_eligible")
+    ).filter(F.col("_eligible") & F.col("unchanged").isNotNull())
+    checked = checked.select("app", "hash_key", "unchanged", "survivor_present", "still_plain")
     return checked.withColumn("safe", F.col("unchanged") & F.col("survivor_present") & F.col("still_plain"))
 
 

@@ -266,3 +266,12 @@ def test_an_applied_plan_sorts_records_by_id_first(spark, planned):
     cleaned = reconcile.plan_applied(plan.baseline, plan.targets.hint("merge"))
     assert "fid" in sorts(cleaned) and "app" not in sorts(cleaned)
     assert cleaned.columns == ["app", "fid", *[c for c in plan.baseline.columns if c not in ("app", "fid")]]
+
+
+def test_a_wave_check_sorts_records_by_hash_first(spark, planned):
+    _, plan = planned
+    groups = dedup.hash_groups(plan.baseline)
+    found = reconcile.wave_precheck(plan.baseline, plan.baseline, plan.targets, groups)
+    assert "hash_key" in sorts(found) and "app" not in sorts(found)
+    assert found.columns == ["app", "hash_key", "unchanged", "survivor_present", "still_plain", "safe"]
+    assert found.filter("safe").count() == found.count() == 1
