@@ -41,6 +41,31 @@ def test_query_equals_sql(spark, db, name):
     assert _rows(frame.columns, frame.collect()) == _rows(columns, cursor.fetchall())
 
 
+@pytest.fixture(scope="module")
+def dear(spark, tmp_path_factory):
+    """Six versions of one program; half of them cost 990 or more."""
+    folder = tmp_path_factory.mktemp("dear")
+    prices = [900.0, 989.9, 950.0, 990.0, 2000.0, 1500.0]
+    rows = [(k, "red bolt", "Brand#1", "LARGE", k + 1, price) for k, price in enumerate(prices)]
+    shape = "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    spark.createDataFrame(rows, shape).coalesce(1).write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+def _on_parts(folder, name):
+    connection = duckdb.connect()
+    connection.execute(f"create view part as select * from '{folder}/part.parquet/*.parquet'")
+    cursor = connection.execute(oracle_sql()[name])
+    return _rows([d[0] for d in cursor.description], cursor.fetchall())
+
+
+def test_consolidation_takes_records_of_dear_parts(spark, dear):
+    found = queries()["consolidation_rules"](spark, dear)
+    rows = found.collect()
+    assert _rows(found.columns, rows) == _on_parts(dear, "consolidation_rules")
+    assert max(r["covered_observations"] for r in rows) == 6
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
