@@ -66,6 +66,14 @@ def test_consolidation_takes_records_of_dear_parts(spark, dear):
     assert max(r["covered_observations"] for r in rows) == 6
 
 
+def test_coverage_counts_records_of_dear_parts(spark, dear):
+    found = queries()["rule_coverage"](spark, dear)
+    rows = found.collect()
+    assert _rows(found.columns, rows) == _on_parts(dear, "rule_coverage")
+    broad = [r["covered_observations"] for r in rows if r["path"] == "c:\\program files\\*.exe"]
+    assert broad == [6]
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
